@@ -72,15 +72,14 @@ def find_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     slots = [(s, b) for b, (first, local) in enumerate(buckets) for s in range(first >> (bits - depth), (first >> (bits - depth)) + (1 << (depth - local)))]
     directory = F.broadcast(spark.createDataFrame(slots, "slot int, bucket int"))  # 2**bits rows at most
 
-    shared = rows.join(keys.where("n > 1").select("key"), "key", "left_semi")
-    owned = shared.groupBy("key", "norm").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("short"), "id")).alias("first"))
-    chained = (
-        owned.select("key", F.sha2("norm", 256).alias("sha"), "group_size", F.col("first.id").alias("keep_id"), slot_of(F.col("key"), depth).alias("slot"))
-        .join(directory, "slot")
-        .repartitionByRange(F.col("bucket"), F.col("key"))
-        .select("key", "sha", "group_size", "keep_id")
-    )
-    found = entries.join(chained, ["key", "sha"], "left").withColumn("slot", slot_of(F.col("key"), depth)).join(directory, "slot")
+    def routed(found: DataFrame) -> DataFrame:
+        return found.withColumn("slot", slot_of(F.col("key"), depth)).join(directory, "slot").drop("slot") if depth else found.withColumn("bucket", F.lit(0))
+
+    # Not broadcast however few they are: then the texts move in proportion to the input at every size.
+    again = keys.where("n > 1").select("key").hint("shuffle_hash")
+    owned = rows.join(again, "key", "left_semi").groupBy("key", "norm").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("short"), "id")).alias("first"))
+    chained = routed(owned.select("key", F.sha2("norm", 256).alias("sha"), "group_size", F.col("first.id").alias("keep_id"))).repartitionByRange("bucket", "key").drop("bucket")
+    found = routed(entries.join(chained, ["key", "sha"], "left"))
     size = F.coalesce("group_size", F.lit(1).cast(T.LongType()))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return found.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket")
