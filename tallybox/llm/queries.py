@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybox.llm import exact_dedup, html_text, license_scan, mixing, packing, quality, secret_scan, token_files
+from tallybox.llm import exact_dedup, html_text, license_scan, mixing, near_dedup, packing, quality, secret_scan, token_files
 from tallybox.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op5_html_extraction, op6_token_files, op7_mixing, op8_quality_rules, op9_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_best_fit_packing, op5_html_extraction, op6_token_files, op7_mixing, op8_quality_rules, op9_exact_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
