@@ -88,7 +88,7 @@ def find_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """The rows of ``df`` that stay, with all its columns."""
     gone = find_copies(df, id_col, text_col, **limits).where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
-    return df.join(gone, df[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    return df.join(gone.hint("shuffle_hash"), df[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 ORACLE = r"""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallybox.llm.common import WORD, text_of, written
 
 WEIGHTS = (5, 2, 1)
-MOST, SEED = 3, 17
+MOST, SEED, BROADCAST = 3, 17, 50_000
 
 
 def n_words(col: str = "text") -> Column:
@@ -50,23 +50,29 @@ def copies(rate: Column, id_col: str, seed: int) -> Column:
     return F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
 
 
+def _beside(df: DataFrame, source_col: str, targets: DataFrame) -> DataFrame:
+    """``df`` with its source's target and rate as mix_size, mix_target and mix_rate.
+
+    The table of sources is written, counted, and broadcast up to BROADCAST rows; more
+    sources than that are joined by a shuffle, whose hot keys Spark splits.
+    """
+    own = written(targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate")), "mix-targets")
+    own = F.broadcast(own) if own.count() <= BROADCAST else own
+    return df.join(own, F.col(source_col).eqNullSafe(F.col("mix_source")), "inner")
+
+
 def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """One row per row: id, size, source_size, target, copies, taken."""
     sized = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size")), "mix-sizes")
-    targets = source_targets(sized).select(F.col("source").alias("own"), "source_size", "target", "rate")
-    planned = sized.join(targets, F.col("source").eqNullSafe(F.col("own")), "inner")
-    return planned.withColumn("copies", copies(F.col("rate"), "id", seed)).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
-    )
+    planned = _beside(sized, "source", source_targets(sized)).withColumn("copies", copies(F.col("mix_rate"), "id", seed))
+    return planned.select(F.col("id").alias(id_col), "size", F.col("mix_size").alias("source_size"), F.col("mix_target").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of ``df``, each as often as the plan takes it, with all its columns."""
     targets = source_targets(df.select(F.col(source_col).alias("source"), n_words(text_col).alias("size")))
-    rates = targets.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
-    joined = df.join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")), "inner")
-    joined = joined.withColumn("mix_copies", copies(F.col("mix_rate"), id_col, seed)).where("mix_copies > 0")
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*df.columns)
+    joined = _beside(df, source_col, targets).withColumn("mix_copies", copies(F.col("mix_rate"), id_col, seed)).where("mix_copies > 0")
+    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*(df[c] for c in df.columns))
 
 
 ORACLE = rf"""

@@ -100,15 +100,14 @@ def _signed(df: DataFrame, shingle: int, signer: Signer) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, bands: int) -> DataFrame:
-    """(rep, n_shingles, keys) to (key, id, n_shingles), a row for each band."""
+    """(rep, keys) to (key, id), a row for each band."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            keys = np.frombuffer(b"".join(x.as_py() for x in b.column(2)), np.int64)
-            own = pa.array(np.repeat(np.arange(b.num_rows), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(own), b.column(1).take(own)], ["key", "id", "n_shingles"])
+            keys = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands)))], ["key", "id"])
 
-    return classes.select("rep", "n_shingles", "keys").mapInArrow(run, f"key bigint, id {classes.schema['rep'].dataType.simpleString()}, n_shingles bigint")
+    return classes.select("rep", "keys").mapInArrow(run, "key bigint, id bigint")
 
 
 class Block:
@@ -226,9 +225,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     members = written(filed.join(shared.hint("shuffle_hash"), "key"), "buckets")
     company = members.groupBy("id").agg(F.sum("n").alias("company"))
     pivots = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("least"))).alias("best")).select("key", (-F.col("best.least")).alias("pivot"))
-    joined = members.join(pivots, "key").where("id <> pivot").select("pivot", "id", "n_shingles").distinct()
-    joined = written(joined, "groups")
-    heavy = joined.groupBy("pivot").agg(F.sum("n_shingles").alias("n")).select("pivot", F.ceil(F.col("n") / block).cast("int").alias("blocks")).where("blocks > 1")
+    joined = written(members.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct(), "groups")
+    heavy = joined.join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id").groupBy("pivot").agg(F.sum("n_shingles").alias("n")).select("pivot", F.ceil(F.col("n") / block).cast("int").alias("blocks")).where("blocks > 1")
     split = joined.join(heavy, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     split = written(split.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "blocks")
 
@@ -261,7 +259,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``df`` that stay, one document of each group, with all its columns."""
     gone = near_groups(df, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
-    return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
+    return df.join(gone.hint("shuffle_hash"), df[id_col] == gone["gone_id"], "left_anti")
 
 
 def brute_groups(docs: list[tuple[int, str | None]], shingle: int, percent: int) -> dict[int, tuple[int, int]]:

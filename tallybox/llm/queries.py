@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tallybox.llm import exact_dedup, html_text, license_scan, mixing, near_dedup, packing, quality, secret_scan, token_files, toxicity
 from tallybox.llm.common import table
 
@@ -51,8 +52,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_token_files, op7_mixing, op8_quality_rules, op9_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_token_files, op7_mixing, op8_quality_rules, op9_exact_dedup, op10_license_scan)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": license_scan.oracle()}
+    return {"op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": license_scan.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
