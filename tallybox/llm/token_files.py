@@ -35,54 +35,62 @@ END, SHARD = 2, 4_000_000
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit ranks."""
-    n = len(ranks)
+def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document; counts: ranks of each, in order."""
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    code = np.zeros(-(-n // 4) * 4, np.uint8)
-    code[:n] = size - 1
+    ends, quads = np.cumsum(counts), np.cumsum(-(-counts // 4))
+    code = np.zeros(int(quads[-1]) * 4 if len(quads) else 0, np.uint8)
+    code[np.arange(len(ranks)) + np.repeat((quads + counts // -4) * 4 - (ends - counts), counts)] = size - 1
     code = code.reshape(-1, 4)
-    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    top = int(size.max()) if n else 1
+    control = (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).tobytes()
+    top = int(size.max()) if len(size) else 1
     four = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :top]
-    return control.tobytes(), four[np.arange(top) < size[:, None]].tobytes()
-
-
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The inverse of encode_ranks."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    at = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    out = raw[at]
+    data = four[np.arange(top, dtype=np.uint8) < size[:, None]].tobytes()
+    stops = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], ends])].tolist()
+    quads = np.concatenate([[0], quads]).tolist()
+    return [control[a:b] for a, b in zip(quads, quads[1:], strict=False)], [data[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+
+
+def decode_ranks(control: list[bytes], data: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """The ranks of all documents in order: the inverse of encode_ranks."""
+    size = LENGTHS[np.frombuffer(b"".join(control), np.uint8)].ravel()
+    ends, quads = np.cumsum(counts), np.cumsum(-(-counts // 4))
+    n = int(ends[-1]) if len(ends) else 0
+    size = size[np.arange(n) + np.repeat((quads + counts // -4) * 4 - (ends - counts), counts)]
+    at = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(b"".join(data) + bytes(3), np.uint8)
+    out = raw[at].astype(np.uint32)
     for k in range(1, int(size.max()) if n else 1):
-        out |= np.where(size > k, raw[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+        more = size > k
+        out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
 def _tokenised(df: DataFrame, id_col: str, text_col: str, end: int, vocabulary: str | None) -> DataFrame:
-    last = np.array([end], ID)
+    """(id, ids): ids of two or four bytes, as the vocabulary needs."""
+    last = np.array([end], ID).tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
         for b in it:
-            ids = [np.concatenate([np.frombuffer(tok.encode(t.as_py()), ID), last]) for t in b.column(1)]
-            ids = [(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() + bytes([2 if x.max() < 1 << 16 else 4]) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+            ids = [np.frombuffer(tok.encode(t.as_py()) + last, ID).astype(f"<u{tok.width}").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([tok.width] * len(ids), pa.int32())], ["id", "ids", "width"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, width int")
 
 
-def _ids(b: bytes) -> np.ndarray:
-    """Ids of the intermediate table, whose last byte is their width."""
-    return np.frombuffer(b, f"<u{b[-1]}", count=(len(b) - 1) // b[-1])
+def _ids(ids: pa.Array, width: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch of the intermediate table, and how many each document has."""
+    parts, wide = ids.to_pylist(), width[0].as_py()
+    return np.frombuffer(b"".join(parts), f"<u{wide}"), np.array([len(p) // wide for p in parts], np.int64)
 
 
 def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in it:
-        for x in b.column(0):
-            n = np.bincount(_ids(x.as_py()))
+        if b.num_rows:
+            n = np.bincount(_ids(b.column(0), b.column(1))[0])
             if len(n) > len(total):
                 total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
             total[: len(n)] += n
@@ -96,7 +104,7 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     kind = df.schema[id_col].dataType.simpleString()
     _tokenised(df, id_col, text_col, end, vocabulary).write.option("compression", "zstd").parquet(f"{folder}/tokenised")
     plain = spark.read.parquet(f"{folder}/tokenised")
-    counts = plain.select("ids").mapInArrow(_counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = plain.select("ids", "width").mapInArrow(_counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(((r["n"], r["id"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))  # a row for each id of the vocabulary at most
     spark.createDataFrame([(k, i, n) for k, (n, i) in enumerate(ranked)], "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(max((i for _, i in ranked), default=0) + 1, np.uint32)
@@ -104,9 +112,10 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = [_ids(x.as_py()) for x in b.column(1)]
-            coded = [encode_ranks(rank[x]) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["id", "n_tokens", "control", "data"])
+            if b.num_rows:
+                found, n = _ids(b.column(1), b.column(2))
+                control, data = encode_ranks(rank[found], n)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["id", "n_tokens", "control", "data"])
 
     def placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -136,7 +145,10 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     def decoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            parts = [ids[decode_ranks(c.as_py(), d.as_py(), n.as_py())].tobytes() for n, c, d in zip(b.column(2), b.column(3), b.column(4), strict=True)]
+            n = b.column(2).to_numpy()
+            found = ids[decode_ranks(b.column(3).to_pylist(), b.column(4).to_pylist(), n)].tobytes()
+            stops = [0, *(np.cumsum(n) * ID.itemsize).tolist()]
+            parts = [found[x:y] for x, y in zip(stops, stops[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(parts, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
     placed = rows.join(F.broadcast(base), F.col("shard") == F.col("own")).select("id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "control", "data")

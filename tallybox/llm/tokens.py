@@ -2,12 +2,15 @@
 
 The tokenizer of ``word_bpe_49k.json`` drops white space and never joins characters
 across it, so the ids of a text are those of its words in order. Words recur, so
-each Python worker keeps the ids of words it has met in a table of bounded size.
+each Python worker keeps the ids of words it has met: the first ones, among them all
+frequent ones, in a table that stays, and later ones in a table that is emptied when
+full. Both are bounded.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
@@ -27,38 +30,52 @@ def byte_letters() -> list[str]:
 class WordTokenizer:
     """encode(text) gives the ids of a text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.limit = self.whole.model, limit
+        self.tokenize, self.limit = self.whole.model.tokenize, limit
+        self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.letters = byte_letters()
         self.marks = {c: self._whole(c) for c in MARKS}
         self.known: dict[bytes, bytes] = {}
+        self.later: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
+    def _keep(self, w: bytes, ids: bytes) -> None:
+        if len(self.known) < self.limit:
+            self.known[w] = ids
+        else:
+            if len(self.later) > self.limit // 4:
+                self.later.clear()
+            self.later[w] = ids
+
     def _letters(self, low: str) -> bytes:
         key = low.encode()
-        ids = self.known.get(key)
+        ids = self.known.get(key) or self.later.get(key)
         if ids is None:
-            spelled = low if low.isascii() else "".join(map(self.letters.__getitem__, key))
-            ids = self.known[key] = np.array([t.id for t in self.model.tokenize(spelled)], ID).tobytes()
+            spelled = low if len(key) == len(low) else "".join(map(self.letters.__getitem__, key))
+            ids = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+            self._keep(key, ids)
         return ids
 
     def word(self, w: bytes) -> bytes:
-        ids = self.known.get(w)
+        ids = self.later.get(w)
         if ids is None:
             s = w.decode()
-            tail = s[-1] if s[-1] in self.marks and len(s) > 1 else ""
+            tail = self.marks.get(s[-1], b"") if len(s) > 1 else b""
             core = s[:-1] if tail else s
             if core.isalpha() and max(core) <= "\xff":  # neither normal form nor splitting changes these
-                ids = self._letters(core.lower()) + (self.marks[tail] if tail else b"")
+                low = core.lower()
+                ids = self._letters(low) + tail
+                if not tail and low == s:
+                    return ids
             else:
                 ids = self._whole(s)
-            self.known[w] = ids
+            self._keep(w, ids)
         return ids
 
     def encode(self, text: str | None) -> bytes:
@@ -67,8 +84,6 @@ class WordTokenizer:
         words = text.encode().split()
         got = list(map(self.known.get, words))
         if None in got:
-            if len(self.known) > self.limit:
-                self.known.clear()
             got = [self.word(w) if ids is None else ids for w, ids in zip(words, got, strict=True)]
         return b"".join(got)
 
