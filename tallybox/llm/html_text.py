@@ -4,7 +4,7 @@ A page is cut into blocks at block-level tags. First pass: blocks are classified
 link density, length and the density of stop words; the structure around a block
 (menus, footers, forms, adverts, reader comments) decides at once. Second pass:
 ambiguous short blocks take the label of the nearest decided neighbours, within the
-article if they stand in one. Good blocks are joined in page order.
+article if they stand in one, past link lists and boxes in it. Good blocks are joined in page order.
 
 Each page is read on its own, whole. Null and empty pages have an empty text; repeated
 pages give repeated rows; an empty table gives an empty table; other columns than the
@@ -44,7 +44,7 @@ HEAD_OPEN = re.compile(r"<body[\s>]", re.IGNORECASE)
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.33, 0.10, 0.22
-GOOD, BAD, OPEN = 1, -1, 0
+GOOD, BAD, OPEN, APART = 1, -1, 0, -2
 
 
 def _bad(tag: str, attrs: str, in_article: bool) -> bool:
@@ -117,7 +117,7 @@ def labels(found: list[tuple[str, int, bool, int]]) -> list[int]:
     for text, linked, bad, article in found:
         n = len(text)
         if bad or linked > LINKS * n:
-            first.append(BAD)
+            first.append(APART if article else BAD)  # links and boxes in an article say nothing of its text
             continue
         if n < SHORT:
             first.append(OPEN)
@@ -134,14 +134,14 @@ def labels(found: list[tuple[str, int, bool, int]]) -> list[int]:
     out = []
     for k, label in enumerate(first):
         if label != OPEN:
-            out.append(label)
+            out.append(GOOD if label == GOOD else BAD)
             continue
         region = found[k][3]
         near = []
         for step in (-1, 1):
             j = k + step
             while 0 <= j < len(first) and found[j][3] == region:
-                if first[j] != OPEN:
+                if first[j] in (GOOD, BAD):
                     near.append((abs(j - k), first[j]))
                     break
                 j += step

@@ -24,7 +24,8 @@ table; other columns are ignored by ``near_groups`` and kept by ``drop_near``.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -178,8 +179,6 @@ def _checked(rows: DataFrame, shingle: int, percent: int, signer: Signer) -> Dat
                 yield (pivot.as_py(), block.as_py()), role.as_py(), own.as_py(), shingle_set(text.as_py(), shingle, hashes)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import groupby
-
         kind, found = pa.from_numpy_dtype(np.int64), []
         for _, own in groupby(groups(it), key=lambda r: r[0]):
             ids, sets, first = [], [], None
@@ -252,7 +251,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     reps = classes.select("k1", "k2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
     found = signed.select("id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
@@ -264,7 +263,7 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **h
 
 def brute_groups(docs: list[tuple[int, str | None]], shingle: int, percent: int) -> dict[int, tuple[int, int]]:
     """id to (n_shingles, component) by comparing all pairs of sets of words, for tests."""
-    sets: dict[int, Callable | set] = {}
+    sets: dict[int, set] = {}
     for i, t in docs:
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
         w = [x for x in w.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if x]

@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,14 +90,13 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     cut = written(pieces(df, id_col, text_col, length, end, vocabulary), "pieces")
     groups = max(1, -(-cut.count() // group))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, places = pack(pdf["length"].tolist(), length, open_bins)
-        pdf["sequence_id"] = pdf["dealt"].astype("int64") * (1 << 32) + np.array(bins, np.int64)
-        pdf["offset"] = np.array(places, np.int64)
-        return pdf.drop(columns="dealt")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])
+        bins, places = pack(rows["length"].to_pylist(), length, open_bins)
+        own = rows["dealt"].to_numpy() * (1 << 32) + np.array(bins, np.int64)
+        return rows.drop_columns("dealt").append_column("sequence_id", pa.array(own, pa.int64())).append_column("offset", pa.array(places, pa.int64()))
 
     kind = df.schema[id_col].dataType.simpleString()
     dealt = cut.withColumn("dealt", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
-    out = dealt.groupBy("dealt").applyInPandas(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    out = dealt.groupBy("dealt").applyInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)
