@@ -296,7 +296,7 @@ def contour_intersection(t: Tables) -> DataFrame:
     return s.select("image_id", F.col("a_ann_id").alias("idx_1"), F.col("b_ann_id").alias("idx_2"), F.col("pixels").alias("cells"))
 
 
-@query("SELECT ann_id, round(1.5 * x1 - 0.25 * y2 + 7, 6) AS x1, round(1.5 * x2 - 0.25 * y1 + 7, 6) AS x2 FROM gt")
+@query("SELECT ann_id, round(1.5::DOUBLE * x1 - 0.25::DOUBLE * y2 + 7, 6) AS x1, round(1.5::DOUBLE * x2 - 0.25::DOUBLE * y1 + 7, 6) AS x2 FROM gt")
 def affine_bounds(t: Tables) -> DataFrame:
     """Bounds of box contours under a fixed 3 x 3 matrix."""
     p = t.gt.select("ann_id", _points("x1, y1", "x2, y1", "x2, y2", "x1, y2").alias("p"))
