@@ -48,13 +48,14 @@ def average_precision(matches: DataFrame, thresholds: list[int], by: str = "data
     grid = F.explode(F.array(*map(F.lit, thresholds)))
     rows = matches.select(by, "idx_1", "idx_2", "conf2", "iou").withColumn("t", grid)
     hit = (F.col("idx_1") != -1) & (F.col("idx_2") != -1) & (F.col("iou") >= F.col("t") / 100)
+    positive = F.col("idx_1") != -1
     if mode == "compat":
-        rows = rows.where(hit | (F.col("idx_2") == -1))
-        positives = rows.groupBy(by, "t").agg(F.count("*").alias("n_gt"))
-    else:
-        positives = rows.groupBy(by, "t").agg(F.count_if(F.col("idx_1") != -1).alias("n_gt"))
-    found = rows.where("idx_2 <> -1").select(by, "t", F.col("idx_2").alias("ann_id"), F.col("conf2").alias("conf"), hit.cast("int").alias("tp"))
-    curve = pr_curve(found, positives, by, "t")
+        rows, positive = rows.where(hit | (F.col("idx_2") == -1)), F.lit(True)
+    # one sort for all: missed instances have no confidence, come last and count among the positives only
+    w = Window.partitionBy(by, "t").orderBy(F.desc_nulls_last("conf2"), "idx_2")
+    run, every = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by, "t")
+    curve = rows.select(by, "t", "idx_2", F.sum(hit.cast("int")).over(run).alias("tps"), F.row_number().over(w).alias("seen"), F.count_if(positive).over(every).alias("n_gt")).where("idx_2 <> -1")
+    curve = curve.select(by, "t", (F.col("tps") / F.col("n_gt")).alias("recall"), (F.col("tps") / F.col("seen")).alias("precision"))
     return trapezoid(curve, by, "t", x="recall", y="precision").withColumnRenamed("area", "ap")
 
 
