@@ -34,7 +34,7 @@ RULES = {
     "chars_per_word": ("word_chars", True, 0.5, 6.0),
     "symbols_per_word": ("n_symbols", False, 0.1, 0.5),
     "dup_lines_per_word": ("n_dup_lines", False, 0.02, 0.2),
-    "repeats_per_word": ("n_repeat_words", False, 0.05, 0.5),
+    "repeats_per_word": ("n_repeat_words", False, 0.15, 0.6),
 }
 
 
