@@ -166,7 +166,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     sample = df.select(F.col(id_col).alias("own"), text_of(text_col).alias("text")).join(chosen, "own").select("toxic", "text", (F.conv(F.substring(order, 32, 1), 16, 10).cast("int") < 3).alias("fits"))
 
     grams = sample.where(~F.col("fits")).select("toxic", "text").mapInArrow(_counted, "gram bigint, context bigint, word bigint, n0 bigint, n1 bigint, degree bigint")
-    grams = grams.groupBy("gram", "degree", "context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 > 2")
+    grams = grams.groupBy("gram", "degree", "context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    most = F.greatest("n0", "n1")
+    grams = grams.where(most - discount * F.sqrt(most) - F.col("degree") > 0)  # others survive the discount in neither class and don't speak
     columns = ["gram", "context", "word", "n0", "n1", "degree"]
     rows = [grams.where(F.col("degree") == k).orderBy(-(F.col("n0") + F.col("n1")), "gram").limit(most_grams).select(columns).toPandas().to_numpy(dtype=np.int64) for k in (1, 2)]
     model = build(np.concatenate(rows), discount)
