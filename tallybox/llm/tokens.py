@@ -30,7 +30,7 @@ def byte_letters() -> list[str]:
 class WordTokenizer:
     """encode(text) gives the ids of a text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
