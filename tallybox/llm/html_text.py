@@ -38,7 +38,7 @@ BAD_TAGS = frozenset("aside dialog footer form menu nav".split())
 BAD_NAMES = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|alerts?|banners?|breadcrumbs?|comments?|consent|cookies?|disqus|dialog|footer|gdpr|legal|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|overlay|pagination|pager|popups?|promos?|promoted|recommended|related|replies|reply|respond|search|share|sharing|sidebars?|signup|social|sponsor(?:ed)?|subscribe|tags?|toolbar|topbar|widgets?)(?:$|[^a-z])")
 COMMENT_NAMES = re.compile(r"(?:^|[^a-z])(?:comments?|disqus|replies|reply|respond)(?:$|[^a-z])")
 BAD_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
-PIECE = re.compile(rf"""<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!/?][^>]*>""", re.DOTALL | re.IGNORECASE)
+PIECE = re.compile(rf"""<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*)>|<[!/?a-zA-Z][^<>]*>""", re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 HEAD_OPEN = re.compile(r"<body[\s>]", re.IGNORECASE)
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
