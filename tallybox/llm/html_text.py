@@ -131,26 +131,27 @@ def labels(found: list[tuple[str, int, bool, int]]) -> list[int]:
         else:
             first.append(BAD)
 
+    def decided(order: range) -> dict[int, tuple[int, int]]:
+        """For each block the last decided one before it, in this order and its own region: (place, label)."""
+        seen, last, region = {}, None, None
+        for k in order:
+            if found[k][3] != region:
+                last, region = None, found[k][3]
+            if last:
+                seen[k] = last
+            if first[k] in (GOOD, BAD):
+                last = (k, first[k])
+        return seen
+
+    sides = decided(range(len(first))), decided(range(len(first) - 1, -1, -1))
     out = []
     for k, label in enumerate(first):
         if label != OPEN:
             out.append(GOOD if label == GOOD else BAD)
             continue
-        region = found[k][3]
-        near = []
-        for step in (-1, 1):
-            j = k + step
-            while 0 <= j < len(first) and found[j][3] == region:
-                if first[j] in (GOOD, BAD):
-                    near.append((abs(j - k), first[j]))
-                    break
-                j += step
-        if not near:
-            out.append(GOOD if region else BAD)
-        else:
-            least = min(d for d, _ in near)
-            closest = {label for d, label in near if d == least}
-            out.append(closest.pop() if len(closest) == 1 else GOOD if region else BAD)
+        near = [(abs(s[k][0] - k), s[k][1]) for s in sides if k in s]
+        closest = {label for d, label in near if d == min(d for d, _ in near)}
+        out.append(closest.pop() if len(closest) == 1 else GOOD if found[k][3] else BAD)
     return out
 
 

@@ -334,6 +334,16 @@ def test_page_text():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
 
 
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for page in ("<p>x" * 30_000, "<a " * 30_000, '<a "' * 3_000, "<!--" * 30_000, "<article>" * 5_000 + "<p>x" * 5_000):
+        assert html_text.main_text(page) is not None
+    assert time.time() - began < 20
+    assert html_text.main_text('<article><p class="x>' + "the day of the year and " * 10 + "</p></article>").startswith("the day")
+
+
 def test_pages_have_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
