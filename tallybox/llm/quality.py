@@ -2,11 +2,12 @@
 
 Every text gives a few counts. Ratios of these counts enter mergeable quantile
 sketches, one for each language and source; sketches of small groups merge into one
-for the language, and those of small languages into one for all. The quartiles of a
-row's sketch set its limits: a ratio may lie ``spread`` interquartile ranges beyond a
-quartile, plus a slack for what a single word does to a short text. Rows join their
-group's limits and are judged. A fixed base rule for very short and very repetitive
-texts comes first.
+for the language, and those of small languages into one for all. A row's sketch sets
+its limits. A ratio may lie ``spread`` interquartile ranges beyond a quartile, plus a
+slack for what a single word does to a short text. Ratios that are zero in most texts
+have quartiles of zero, so they also keep to the tail of their group: a high quantile,
+plus only what one more word or line adds. Rows join their group's limits and are
+judged. A fixed base rule for very short and very repetitive texts comes first.
 
 Null texts have no words and fail the base rule. Null languages and sources are
 groups of their own. Repeated rows are judged alike. An empty table gives an empty
@@ -29,6 +30,8 @@ from tallybox.llm.common import WordHash, window_hashes, words_of, written
 SYMBOLS, WHITE = "#*$%&|<>", " \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RUN, SPREAD, LEAST = 5, 3.0, 200
+#: Size of a sketch: ranks within 0.4 %, so that the quantiles of TAILS can be told from the largest values.
+SKETCH = 800
 #: ratio: (numerator, low limit too, slack, slack over the square root of the words)
 RULES = {
     "chars_per_word": ("word_chars", True, 0.5, 6.0),
@@ -36,6 +39,13 @@ RULES = {
     "dup_lines_per_word": ("n_dup_lines", False, 0.02, 0.2),
     "repeats_per_word": ("n_repeat_words", False, 0.15, 0.6),
 }
+#: ratio: (quantile, how many times its distance from the median may lie beyond it, counts that one more word, line or repeat adds).
+#: Symbols take a lower quantile, as texts made of symbols can be a tenth of a group.
+TAILS = {
+    "symbols_per_word": (0.85, 3.0, 3),
+    "dup_lines_per_word": (0.98, 0.0, 1),
+    "repeats_per_word": (0.98, 0.0, 2 * RUN),
+}
 
 
 def repeat_words(h: np.ndarray, run: int = RUN) -> int:
@@ -91,15 +101,15 @@ def _ratio(name: str) -> Column:
 
 
 def limits(counted: DataFrame, least: int = LEAST, spread: float = SPREAD) -> DataFrame:
-    """One row per group of ``counted``: g0, g1, and (low, high) quartile fences of every ratio.
+    """One row per group of ``counted``: g0, g1, (low, high) quartile fences of every ratio, and the tail of those in TAILS.
 
     Only rows that pass the base rule enter the sketches. A group with fewer than
     ``least`` of them takes its language's sketch, and then that of all rows.
     """
     passed = F.when(~base_failed(), F.lit(1))
-    own = counted.groupBy("g0", "g1").agg(F.count(passed).alias("n"), *(F.kll_sketch_agg_double(F.when(~base_failed(), _ratio(r))).alias(r) for r in RULES))
+    own = counted.groupBy("g0", "g1").agg(F.count(passed).alias("n"), *(F.kll_sketch_agg_double(F.when(~base_failed(), _ratio(r)), SKETCH).alias(r) for r in RULES))
     own = written(own, "quality-sketches")
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RULES)]
+    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r, SKETCH).alias(r) for r in RULES)]
     lang, every = own.groupBy("g0").agg(*merged), own.agg(*merged)
 
     def wide(df: DataFrame, tag: str) -> DataFrame:
@@ -109,12 +119,15 @@ def limits(counted: DataFrame, least: int = LEAST, spread: float = SPREAD) -> Da
     by = own.join(wide(lang, "l"), F.col("g0").eqNullSafe(F.col("l_g0"))).join(F.broadcast(wide(every, "e")), F.col("e_n") >= 0)
     pick = lambda c: F.when(F.col("n") >= least, F.col(c)).when(F.col("l_n") >= least, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
     used = by.select("g0", "g1", F.greatest("n", "l_n", "e_n").alias("n"), *(pick(r).alias(r) for r in RULES))
-    quartiles = F.array(F.lit(0.25), F.lit(0.75))
-    out = used.select("g0", "g1", *(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(r, quartiles)).alias(r) for r in RULES))
+    ranks = {r: F.array(*map(F.lit, (0.25, 0.75, 0.5, TAILS[r][0] if r in TAILS else 0.75))) for r in RULES}
+    out = used.select("g0", "g1", *(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(r, ranks[r])).alias(r) for r in RULES))
     fences = []
     for r in RULES:
         low, high = F.col(r)[0], F.col(r)[1]
         fences += [(low - spread * (high - low)).alias(f"{r}_low"), (high + spread * (high - low)).alias(f"{r}_high")]
+    for r, (_, beyond, _) in TAILS.items():
+        middle, far = F.col(r)[2], F.col(r)[3]
+        fences.append((far + beyond * (far - middle)).alias(f"{r}_tail"))
     return written(out.select("g0", "g1", *fences), "quality-limits")
 
 
@@ -126,6 +139,8 @@ def within() -> Column:
         ok = ok & (_ratio(r) <= F.col(f"{r}_high") + room)
         if low:
             ok = ok & (_ratio(r) >= F.col(f"{r}_low") - room)
+    for r, (_, _, more) in TAILS.items():
+        ok = ok & (F.col(RULES[r][0]) <= F.col(f"{r}_tail") * F.col("n_words") + more + 1e-9)
     return ok
 
 

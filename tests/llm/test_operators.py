@@ -271,6 +271,21 @@ def test_quality_counts_and_limits(docs):
     assert differ <= 0.02 * len(rows)  # sketches answer ranks within their error
 
 
+def test_quality_tails_follow_the_group(spark):
+    """The same text is an outlier in a group without repeats, duplicate lines or symbols, and kept where they are common."""
+    new = iter(range(10**9))
+    words = lambda n: " ".join(f"w{next(new)}" for _ in range(n))
+    line = words(9)
+    odd = {"repeats": f"{line} {words(84)} {line}", "lines": "x\nx\nx\nx\n" + words(96), "symbols": words(96) + " # # # #"}
+    rows = [(words(100), "plain") for _ in range(300)]
+    for kind, text in odd.items():
+        rows += [(text, "plain"), *((words(100), kind) for _ in range(225)), *((text, kind) for _ in range(75))]
+    df = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate(rows)], "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    for i, (text, source) in enumerate(rows):
+        assert got[i] == (source != "plain" or text not in odd.values())
+
+
 def test_mixing_keeps_to_targets(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 40)), None if i % 10 == 0 else f"s{i % 4}") for i in range(4000)]
     got = mixing.mix_plan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
