@@ -8,6 +8,15 @@ at least t, one size is at most (2 - t) / t times the other. A unit has at least
 many bigrams as distinct words less one, which rules long units out before their
 bigrams are formed. DataFrame functions only; nothing is shuffled.
 
+Between line and text there are passages: notices wrapped over lines of a longer text,
+and sentences that share their line with others. What a matching line holds is set
+aside, and the words of all other lines are read on. A template of which enough
+bigrams occur there is laid on at each place of its anchors, so many of its longest
+bigrams that a match must have one of them, and the window of its length is compared.
+Windows that overlap are one passage, which takes its best template, the longer of
+two that are equal. Work is in proportion to words. A text that matches as a whole
+has no passages.
+
 Null and empty texts match nothing. Repeated units of one text count once. The best
 template has the highest coefficient, then the smallest name. An empty table gives
 an empty table; other columns are ignored.
@@ -48,6 +57,7 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 SEPARATORS = r"[^\p{L}\p{N}]+"
+BREAK = "|"  # not a word: no bigram of a template has it
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -59,10 +69,21 @@ def _bounds(n: int, t: float) -> tuple[int, int]:
     return ceil(n * t / (2 - t) - 1e-9), floor(n * (2 - t) / t + 1e-9)
 
 
+def _n_pairs(text: str) -> int:
+    return len(re.sub(r"[\W_]+", " ", text.lower()).split()) - 1
+
+
+def _anchors(text: str, t: float) -> dict[str, int]:
+    """The longest bigrams of a template, so many that a match lacks not all of them, and the place where each first stands."""
+    words, own = re.sub(r"[\W_]+", " ", text.lower()).split(), template_bigrams(text)
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    return {b: pairs.index(b) for b in sorted(own, key=lambda b: (-len(b), b))[: len(own) - _bounds(len(own), t)[0] + 1]}
+
+
 def match_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row: id, n_units, license_id, dice, licenses; see the module.
 
-    n_units: distinct units that match. licenses: names of all templates matched,
+    n_units: distinct units that match, and passages. licenses: names of all templates matched,
     sorted, comma-joined. license_id is null and dice 0 where none matches.
     """
     known = {k: b for k, v in sorted(templates.items()) if (b := template_bigrams(v))}
@@ -75,11 +96,14 @@ def match_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def bigrams(w: Column) -> Column:
         return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
+    def fit(w: Column) -> Column:
+        return (F.size(w) > low) & (F.size(F.array_distinct(w)) <= high + 1)
+
     text = F.col("text")
-    units = F.array_distinct(F.transform(F.concat(F.split(text, "\n"), F.array(text)), words))
-    units = F.filter(units, lambda w: (F.size(w) > low) & (F.size(F.array_distinct(w)) <= high + 1))
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = rows.select("id", F.filter(F.transform(units, bigrams), lambda b: F.size(b).between(low, high)).alias("sets"))
+    rows = rows.select("id", F.transform(F.split(text, "\n"), words).alias("lines"), words(text).alias("whole"))
+    units = F.filter(F.array_distinct(F.concat("lines", F.array("whole"))), fit)
+    rows = rows.select("*", F.filter(F.transform(units, bigrams), lambda b: F.size(b).between(low, high)).alias("sets"))
 
     def scored(b: Column) -> Column:
         """Structs (coefficient, name) of the templates that fit a unit's size, null where not."""
@@ -89,7 +113,57 @@ def match_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             each.append(F.when(F.size(b).between(*sizes[k]), F.struct(dice.alias("dice"), F.lit(k).alias("name"))))
         return F.filter(F.array(*each), lambda m: m["dice"] >= threshold - 1e-12)
 
-    hits = rows.select("id", F.filter(F.transform("sets", scored), lambda h: F.size(h) > 0).alias("hits")).select("id", F.size("hits").cast("long").alias("n_units"), F.flatten("hits").alias("all"))
+    def matched(w: Column) -> Column:
+        return fit(w) & (F.size(scored(bigrams(w))) > 0)
+
+    anchors = {k: _anchors(templates[k], threshold) for k in known}
+    telling = F.array(*map(F.lit, sorted({max(a.split(), key=lambda w: (len(w), w)) for own in anchors.values() for a in own})))
+    every = F.array(*map(F.lit, sorted({x for b in known.values() for x in b})))
+    none = F.array().cast("array<string>")
+    rest = F.flatten(F.transform("lines", lambda w: F.when(matched(w), F.array(F.lit(BREAK))).otherwise(w)))
+    rest = F.when(F.arrays_overlap("whole", telling) & ~matched(F.col("whole")), F.filter(rest, lambda w: w != "")).otherwise(none)
+    hits = rows.select("id", F.filter(F.transform("sets", scored), lambda h: F.size(h) > 0).alias("hits"), rest.alias("rest"))
+    pairs = F.zip_with(F.slice("rest", 1, F.size("rest") - 1), F.slice("rest", 2, F.size("rest") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    hits = hits.select("id", "hits", F.when(F.size("rest") > 1, pairs).otherwise(none).alias("pairs"))
+    hits = hits.select("*", F.array_intersect("pairs", every).alias("present"))
+
+    def windows(k: str) -> Column:
+        """Structs (start, end, low, less, name) of the places where the template may stand; low is the negative coefficient."""
+        own, n = F.array(*map(F.lit, known[k])), _n_pairs(templates[k])
+        marks, offsets = F.array(*map(F.lit, anchors[k])), F.array(*(F.lit(anchors[k][a]) for a in anchors[k]))
+
+        def start(b: Column, i: Column) -> Column:
+            at = F.array_position(marks, b)
+            return F.when(at > 0, i - F.element_at(offsets, at.cast("int")))
+
+        def window(s: Column) -> Column:
+            held = F.array_distinct(F.slice("pairs", F.greatest(s, F.lit(0)) + 1, n + F.least(s, F.lit(0))))
+            dice = F.size(F.array_intersect(held, own)) * 2.0 / (F.size(held) + len(known[k]))
+            return F.struct(s.alias("start"), (s + n + 1).alias("end"), (-dice).alias("low"), F.lit(-n).alias("less"), F.lit(k).alias("name"))
+
+        starts = F.array_distinct(F.filter(F.transform("pairs", start), lambda s: s.isNotNull()))
+        enough = F.size(F.array_intersect("present", own)) >= _bounds(len(known[k]), threshold)[0]
+        return F.when(enough, F.transform(starts, window)).otherwise(F.array().cast("array<struct<start:int,end:int,low:double,less:int,name:string>>"))
+
+    found = F.flatten(F.array(*map(windows, known)))
+    found = F.array_sort(F.filter(F.when(F.size("present") > 0, found), lambda m: m["low"] <= 1e-12 - threshold))
+
+    def joined(so_far: Column, m: Column) -> Column:
+        """One window more, by start: it joins the passage at hand or begins another."""
+        rank = F.struct(m["low"].alias("low"), m["less"].alias("less"), m["name"].alias("name"))
+        same = m["start"] < so_far["end"]
+        return F.struct(
+            F.greatest(so_far["end"], m["end"]).alias("end"), F.when(same, F.least(so_far["best"], rank)).otherwise(rank).alias("best"),
+            F.when(same, so_far["n"]).otherwise(so_far["n"] + 1).alias("n"), F.when(same, so_far["done"]).otherwise(F.array_union(so_far["done"], F.array(so_far["best"]))).alias("done"),
+        )
+
+    ranked = "struct<low:double,less:int,name:string>"
+    empty = F.struct(F.lit(-(10**9)).alias("end"), F.lit(None).cast(ranked).alias("best"), F.lit(0).alias("n"), F.array().cast(f"array<{ranked}>").alias("done"))
+    passages = F.aggregate(F.coalesce(found, F.array().cast("array<struct<start:int,end:int,low:double,less:int,name:string>>")), empty, joined)
+    hits = hits.select("id", "hits", passages.alias("passages"))
+    more = F.filter(F.array_union("passages.done", F.array("passages.best")), lambda m: m.isNotNull())
+    more = F.transform(more, lambda m: F.struct((-m["low"]).alias("dice"), m["name"].alias("name")))
+    hits = hits.select("id", (F.size("hits") + F.col("passages.n")).cast("long").alias("n_units"), F.concat(F.flatten("hits"), more).alias("all"))
     best = F.array_min(F.transform("all", lambda m: F.struct((-m["dice"]).alias("low"), m["name"].alias("name"))))
     return hits.withColumn("best", best).select(
         F.col("id").alias(id_col), "n_units", F.col("best.name").alias("license_id"), F.coalesce(-F.col("best.low"), F.lit(0.0)).alias("dice"),

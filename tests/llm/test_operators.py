@@ -334,6 +334,28 @@ def test_licences_by_plain_dice(spark):
         assert got[i]["dice"] == pytest.approx(best if best >= license_scan.THRESHOLD else 0.0)
 
 
+def test_licences_in_passages(spark):
+    import textwrap
+
+    def wrapped(k, lead=""):
+        return textwrap.fill(license_scan.TEMPLATES[k], 72, initial_indent=lead, subsequent_indent=lead)
+
+    prose = "\n".join(f"line {i} says a thing about number {i * 7} and no more" for i in range(80))
+    cases = [
+        (f"{prose}\n{wrapped('mit-text', ' * ')}\n{prose}", "mit-text", 1, "mit-text"),
+        (f"{prose}\n{wrapped('isc')}\n\n{wrapped('gpl-3.0-notice', '# ')}\n{prose}", "gpl-3.0-notice", 2, "gpl-3.0-notice,isc"),
+        ("Copyright 2020 Foo Ltd. Released under the MIT License.", "mit", 1, "mit"),
+        (f"{prose} Licensed under CC BY-NC 4.0. {prose}\nReleased under the MIT License.\n{prose}", "cc-by-nc-4.0", 2, "cc-by-nc-4.0,mit"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.\n" + prose, "agpl-3.0", 1, None),
+        (f"{prose} this software and the license of any person {prose}", None, 0, ""),
+        (f"{wrapped('isc')[:120]}\n{prose}", None, 0, ""),
+    ]
+    got = {r["doc_id"]: r for r in license_scan.match_licenses(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id bigint, text string")).collect()}
+    for i, (_, name, n, names) in enumerate(cases):
+        assert (got[i]["license_id"], got[i]["n_units"], got[i]["dice"]) == (name, n, float(name is not None))
+        assert names is None or got[i]["licenses"] == names
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p><p>no</p>";</script></head><body><header><p>Site of the year and of the world</p></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies to improve the site and for the ads that you see.</p></div>
 <main><article><h1>A short title</h1><p>The first paragraph of the text is long enough to be told from a menu,&nbsp;and it has   many of the words that are in every text &amp; more.</p>
