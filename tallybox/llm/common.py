@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+    """A new path below ``spark.checkpoint.dir``; a temporary folder where that is unset and all runs on this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -45,10 +49,30 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def coded_words(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Slices of a column of texts, of some ``size`` bytes, as (distinct words, code of each word, ends).
+
+    Row k of a slice has the codes from ``ends[k]`` to ``ends[k + 1]``. Texts are cut at
+    ASCII white space; the empty string stands before and after white space at an edge.
+    A longer text is a slice of its own. Null texts have no words but the empty one.
+    """
+    texts = texts.fill_null("")
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = int(total[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + size, side="right")))
+        split = pc.ascii_split_whitespace(texts.slice(at, to - at))
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        yield coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), ends - ends[0]
+        at = to
+
+
 class WordHash:
     """64-bit hashes of words, remembered in a table of bounded size."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.limit, self.seen = limit, {}
 
     def __call__(self, words: Iterable[bytes]) -> np.ndarray:

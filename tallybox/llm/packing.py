@@ -69,8 +69,8 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         tok = tokenizer(vocabulary)
         for b in it:
             row, piece, start, size, crc = [], [], [], [], []
-            for i, text in enumerate(b.column(1)):
-                ids = tok.encode(text.as_py()) + last
+            for i, own in enumerate(tok.column(b.column(1))):
+                ids = own + last
                 n = len(ids) // ID.itemsize
                 for k, at in enumerate(range(0, n, length)):
                     m = min(length, n - at)

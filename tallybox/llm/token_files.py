@@ -73,7 +73,7 @@ def _tokenised(df: DataFrame, id_col: str, text_col: str, end: int, vocabulary:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
         for b in it:
-            ids = [np.frombuffer(tok.encode(t.as_py()) + last, ID).astype(f"<u{tok.width}").tobytes() for t in b.column(1)]
+            ids = [np.frombuffer(x + last, ID).astype(f"<u{tok.width}").tobytes() for x in tok.column(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([tok.width] * len(ids), pa.int32())], ["id", "ids", "width"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -1,23 +1,31 @@
 """Encoding with a public tokenizer, word by word, with remembered words.
 
 The tokenizer of ``word_bpe_49k.json`` drops white space and never joins characters
-across it, so the ids of a text are those of its words in order. Words recur, so
-each Python worker keeps the ids of words it has met: the first ones, among them all
-frequent ones, in a table that stays, and later ones in a table that is emptied when
-full. Both are bounded.
+across it, so the ids of a text are those of its words in order. Texts are encoded
+many at once: the distinct words of a slice of a column are encoded, and the ids of
+all its words are gathered from theirs. Words recur, so each Python worker keeps the
+ids of short words it has met: the first ones, among them all frequent ones, in a
+table that stays, and later ones in a table that is emptied when full. Both are
+bounded in number and in bytes. Another vocabulary is encoded by whole texts.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from tallybox.llm.common import coded_words
 
 TOKENIZER = "word_bpe_49k.json"
 #: Marks that are ids of their own after a letter, at the end of a word.
 MARKS = ".,;:!?"
 ID = np.dtype("<u4")
+#: Longer words are not kept.
+LONGEST = 40
 
 
 def byte_letters() -> list[str]:
@@ -28,64 +36,79 @@ def byte_letters() -> list[str]:
 
 
 class WordTokenizer:
-    """encode(text) gives the ids of a text as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.by_words = os.path.basename(path) == TOKENIZER  # the rules below hold for this vocabulary
         self.tokenize, self.limit = self.whole.model.tokenize, limit
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.letters = byte_letters()
         self.marks = {c: self._whole(c) for c in MARKS}
-        self.known: dict[bytes, bytes] = {}
-        self.later: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.later: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
-    def _keep(self, w: bytes, ids: bytes) -> None:
+    def _keep(self, w: str, ids: bytes) -> None:
+        if len(w) > LONGEST:
+            return
         if len(self.known) < self.limit:
             self.known[w] = ids
         else:
-            if len(self.later) > self.limit // 4:
+            if len(self.later) > self.limit // 3:
                 self.later.clear()
             self.later[w] = ids
 
-    def _letters(self, low: str) -> bytes:
-        key = low.encode()
-        ids = self.known.get(key) or self.later.get(key)
-        if ids is None:
-            spelled = low if len(key) == len(low) else "".join(map(self.letters.__getitem__, key))
-            ids = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
-            self._keep(key, ids)
-        return ids
-
-    def word(self, w: bytes) -> bytes:
-        ids = self.later.get(w)
-        if ids is None:
-            s = w.decode()
-            tail = self.marks.get(s[-1], b"") if len(s) > 1 else b""
-            core = s[:-1] if tail else s
-            if core.isalpha() and max(core) <= "\xff":  # neither normal form nor splitting changes these
-                low = core.lower()
-                ids = self._letters(low) + tail
-                if not tail and low == s:
-                    return ids
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Only letters in lower case are kept; the rest of a word takes little time."""
+        known, later, marks, tokenize, keep = self.known, self.later, self.marks, self.tokenize, self._keep
+        out = list(map(known.get, words))
+        for i, w in enumerate(words):
+            if out[i] is not None:
+                continue
+            tail = marks.get(w[-1], b"") if len(w) > 1 else b""
+            core = w[:-1] if tail else w
+            plain = core.isascii()
+            if core.isalpha() and (plain or max(core) <= "\xff"):  # neither normal form nor splitting changes these
+                core = core.lower()
+                ids = known.get(core) or later.get(core)
+                if ids is None:
+                    spelled = core if plain else "".join(map(self.letters.__getitem__, core.encode()))
+                    ids = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+                    keep(core, ids)
+                out[i] = ids + tail
             else:
-                ids = self._whole(s)
-            self._keep(w, ids)
-        return ids
+                ids = later.get(w)
+                if ids is None:
+                    ids = self._whole(w)
+                    keep(w, ids)
+                out[i] = ids
+        return out
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column."""
+        if not self.by_words:
+            for t in texts:
+                yield self._whole(t.as_py() or "")
+            return
+        for words, codes, ends in coded_words(texts):
+            own = self.words(words)
+            size = np.fromiter(map(len, own), np.int64, len(own)) // ID.itemsize
+            each = size[codes]
+            stops = np.cumsum(each)
+            at = np.repeat((np.cumsum(size) - size)[codes] - (stops - each), each) + np.arange(int(stops[-1]) if len(stops) else 0)
+            found = memoryview(np.frombuffer(b"".join(own), ID)[at].tobytes())
+            cuts = (np.concatenate([[0], stops])[ends] * ID.itemsize).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield found[a:b].tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words = text.encode().split()
-        got = list(map(self.known.get, words))
-        if None in got:
-            got = [self.word(w) if ids is None else ids for w, ids in zip(words, got, strict=True)]
-        return b"".join(got)
+        return next(self.column(pa.array([text], pa.string())))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
