@@ -1,22 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary texts, count in how many training
-texts an expression (a word or a pair of words) occurs. Counts are discounted by what
-chance may have added to them; the discounted share goes to the next lower order, with
-one weight for both classes, and from words to a backoff that the classes share: the
-rate at which both use the word, and a floor. So an expression too rare to survive the
-discount is as likely under either class and does not speak, while one that is
-frequent in one class only does.
-
-A text's evidence is the difference of its log-likelihoods, normalised by length, over
-the run of a few words where it is greatest: a long text doesn't dilute a short
-insult. A logistic curve fitted on training texts that were not counted turns the
-evidence into a score.
+The model of a class is the Kneser-Ney distribution of words: a word counts as often
+as it follows a different word in the training texts of the class (its continuation
+count), an absolute discount is taken off every count, and the freed share goes to a
+backoff distribution that both classes use: the part of their continuation
+distributions that they have in common, and a floor for every word, unknown ones too.
+Each distribution sums to one. An expression too rare to survive the discount in
+either class is as likely under both, but for a constant, and does not speak; one that
+is frequent in one class only does.
+
+A text is scored by the difference of its toxic and its ordinary log-likelihood,
+normalised by length: of the whole text, and of the passage of RUN words where it is
+greatest, so that a long text doesn't dilute a short insult. A logistic curve of the
+two, fitted on training texts that were not counted, turns them into a score.
 
 Models are fitted on a bounded sample: at most ``per_class`` labelled texts of each
-class, by hash order, of which a fifth fits the curve;
-and at most ``most_grams`` expressions of each order, by the number of texts. Scores
-cover every whole text and use nothing but the text.
+class, by hash order, of which a fifth fits the curve. All that survives in the sample
+is used. Scores cover every whole text and use nothing but the text.
 
 Null and empty texts have no evidence and get the curve's value at zero. Repeated
 labels of one id count as toxic if one of them is. Null labels are skipped. Without
@@ -33,14 +33,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import WordHash, mix, text_of
+from tallybox.llm.common import coded_words, text_of, written
 
-PER_CLASS, MOST_GRAMS = 10_000, 400_000
-DISCOUNT, FLOOR, RUN, THRESHOLD = 1.5, 1.5, 2, 0.7
-STRIP = b".,;:!?\"'()[]{}*#$%&<>|-"
+PER_CLASS = 10_000
+DISCOUNT, FLOOR, RUN, THRESHOLD = 3.0, 1.0, 2, 0.7
+STRIP = ".,;:!?\"'()[]{}*#$%&|<>-"
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -48,113 +51,97 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def expressions(text: str | None, hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and of each word after the one before it (from the second)."""
-    h = hashes(w.strip(STRIP) for w in (text or "").encode("utf-8", "surrogatepass").lower().split())
-    return h, mix(mix(h[:-1]) + h[1:])
+def hashed_words(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of each text the 64-bit hashes of its words, A-Z in lower case and without marks at their ends; marks alone are no words."""
+    for words, codes, ends in coded_words(pc.ascii_lower(texts)):
+        stripped = [w.strip(STRIP) for w in words]
+        every = np.fromiter((xxhash.xxh64_intdigest(w) for w in stripped), np.uint64, len(words))[codes]
+        real = np.fromiter(map(bool, stripped), bool, len(words))[codes]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield every[a:b][real[a:b]]
 
 
-def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) to (gram, context, word, n0, n1): texts of each class that hold an expression."""
-    hashes = WordHash()
+def _followed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) to (word, before, in0, in1), a row for each distinct pair of words of a text; before is 0 for the first."""
     for b in it:
         parts = []
-        for toxic, text in zip(b.column(0), b.column(1), strict=True):
-            h, pair = expressions(text.as_py(), hashes)
-            words = np.unique(h)
-            kinds, at = np.unique(pair, return_index=True)
-            own = np.zeros((len(words) + len(kinds), 5), np.int64)
-            own[: len(words), 0] = words.view(np.int64)
-            own[len(words) :, 0] = kinds.view(np.int64)
-            own[len(words) :, 1] = h[:-1][at].view(np.int64)
-            own[len(words) :, 2] = h[1:][at].view(np.int64)
-            own[:, 3 + toxic.as_py()] = 1
-            own[: len(words), 2] = 0
-            parts.append(np.column_stack([own, np.r_[np.ones(len(words), np.int64), np.full(len(kinds), 2)]]))
+        for toxic, h in zip(b.column(0).to_pylist(), hashed_words(b.column(1)), strict=True):
+            pairs = np.unique(np.column_stack([h, np.r_[np.zeros(min(1, len(h)), np.uint64), h[:-1]]]), axis=0).view(np.int64)
+            parts.append(np.column_stack([pairs, np.full((len(pairs), 2), [1 - toxic, toxic])]))
         if parts:
             rows = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(6)], ["gram", "context", "word", "n0", "n1", "degree"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), *(pa.array(rows[:, k].astype(np.int8)) for k in (2, 3))], ["word", "before", "in0", "in1"])
 
 
 @dataclass
 class Model:
-    """Sorted hashes with probabilities beside them; index 0 is ordinary, 1 toxic."""
+    """Of the words that survive the discount the log of toxic over ordinary probability, by sorted hashes."""
 
-    words: np.ndarray  # hashes
-    p: np.ndarray  # (2, words + 1): probability of a word, the last for unknown ones
-    free: np.ndarray  # (words + 1,): weight of the lower order after a word, 1 after unknown ones
-    pairs: np.ndarray  # hashes
-    more: np.ndarray  # (2, pairs): what a pair has beyond its lower order
-    curve: tuple[float, float] = (0.0, 0.0)
+    words: np.ndarray
+    evidence: np.ndarray
+    other: float  # of every other word
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0)
 
-    def evidence(self, h: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Of each word after the one before it, log of toxic over ordinary probability."""
+    def of_words(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
-        at = np.where(self.words[at] == h, at, len(self.words)) if len(self.words) else np.zeros(len(h), np.int64)
-        p = self.p[:, at].copy()
-        if len(h) > 1:
-            p[:, 1:] *= self.free[at[:-1]]
-            if len(self.pairs):
-                to = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-                p[:, 1:] += np.where(self.pairs[to] == pair, self.more[:, to], 0.0)
-        return np.log(p[1] / p[0])
-
-    def feature(self, text: str | None, hashes: WordHash) -> float:
-        """The greatest mean evidence of a run of RUN words, of the whole text if it is shorter; 0 for none."""
-        h, pair = expressions(text, hashes)
+        return np.where(self.words[at] == h, self.evidence[at], self.other) if len(self.words) else np.full(len(h), self.other)
+
+    def features(self, h: np.ndarray) -> tuple[float, float]:
+        """Mean evidence of the passage of RUN words where it is greatest (of the text if shorter), and of the whole text."""
         if not len(h):
-            return 0.0
-        total = np.concatenate([[0.0], np.cumsum(self.evidence(h, pair))])
+            return 0.0, 0.0
+        total = np.concatenate([[0.0], np.cumsum(self.of_words(h))])
         run = min(RUN, len(h))
-        return float((total[run:] - total[:-run]).max() / run)
-
-    def score(self, x: float) -> float:
-        a, b = self.curve
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * x))))
-
-
-def build(rows: np.ndarray, discount: float = DISCOUNT, floor: float = FLOOR) -> Model:
-    """The model of rows (gram, context, word, n0, n1, degree) with counts of texts.
-
-    discount: standard deviations taken off a count, besides 1 for a word and 2 for a pair. floor: texts of the smaller class.
-    """
-    one, two = (rows[rows[:, 5] == k] for k in (1, 2))
-    one, two = (x[np.argsort(x[:, 0].view(np.uint64), kind="stable")] for x in (one, two))
-    words, n = one[:, 0].view(np.uint64), one[:, 3:5].T.astype(float)
-    total = np.maximum(n.sum(axis=1, keepdims=True), 1.0)
-    shared = np.append((n / total).min(axis=0), 0.0) + floor / total.min()
-    kept = np.maximum(n - discount * np.sqrt(n) - 1, 0.0) / total
-    p = np.column_stack([kept, np.zeros(2)]) + (1 - kept.sum(axis=1).mean()) * shared
-    context = np.searchsorted(words, two[:, 1].view(np.uint64))
-    known = context < len(words)
-    known[known] = words[context[known]] == two[known, 1].view(np.uint64)
-    two, context = two[known], context[known]
-    m, after = two[:, 3:5].T.astype(float), n[:, context]
-    after = np.where(after > 0, after, after.max(axis=0))
-    beyond = np.maximum(m - discount * np.sqrt(m) - 2, 0.0) / after
-    used = np.zeros(len(words) + 1)
-    np.add.at(used, context, beyond.mean(axis=0))
-    beyond = beyond + (m / after).min(axis=0) + floor / after.min(axis=0)
-    return Model(words, p, np.maximum(1 - used, 0.05), two[:, 0].view(np.uint64), beyond)
-
-
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Logistic regression by Newton's steps with a small ridge; both classes weigh the same."""
+        return float((total[run:] - total[:-run]).max() / run), float(total[-1] / len(h))
+
+    def scores(self, texts: pa.Array) -> list[float]:
+        a, b, c = self.curve
+        found = (self.features(h) for h in hashed_words(texts))
+        return [1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * x + c * y)))) for x, y in found]
+
+
+@dataclass
+class Totals:
+    """What normalises the distributions: continuation counts, freed counts and words of the classes, and the share in common."""
+
+    count: tuple[float, float]
+    freed: tuple[float, float]
+    n_words: int
+    common: float
+
+    def probabilities(self, n0: np.ndarray, n1: np.ndarray, discount: float = DISCOUNT, floor: float = FLOOR) -> np.ndarray:
+        """(2, n): the probabilities of words with these continuation counts in the ordinary and the toxic class."""
+        n, total = np.array([n0, n1], float), np.maximum(np.array(self.count, float), 1.0)[:, None]
+        least = floor / total.min()
+        shared = ((n / total).min(axis=0) + least) / (self.common + (self.n_words + 1) * least)
+        return np.maximum(n - discount, 0.0) / total + np.array(self.freed, float)[:, None] / total * shared
+
+
+def build(words: np.ndarray, n0: np.ndarray, n1: np.ndarray, totals: Totals, discount: float = DISCOUNT) -> Model:
+    """The model of the words (64-bit hashes) whose count survives the discount in one class at least."""
+    order = np.argsort(words.view(np.uint64), kind="stable")
+    p = totals.probabilities(n0[order], n1[order], discount)
+    least = totals.probabilities(np.zeros(1), np.zeros(1), discount)[:, 0]
+    return Model(words.view(np.uint64)[order], np.log(p[1] / p[0]), float(np.log(least[1] / least[0])))
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
+    """Logistic regression on the columns of x by Newton's steps with a small ridge; both classes weigh the same."""
     if len(y) == 0 or y.min() == y.max():
-        return -1.0, 1.0
+        return (-1.0, 1.0, *[0.0] * (x.shape[1] - 1))
     z = np.column_stack([np.ones(len(y)), x])
     w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
-    beta, cost = np.zeros(2), ridge * np.array([1e-3, 1.0])
+    beta, cost = np.zeros(z.shape[1]), ridge * np.array([1e-3, *[1.0] * x.shape[1]])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         step = np.linalg.solve((z * (w * q * (1 - q))[:, None]).T @ z + np.diag(cost), z.T @ (w * (y - q)) - cost * beta)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return tuple(map(float, beta))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, most_grams: int = MOST_GRAMS, discount: float = DISCOUNT) -> Model | None:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, discount: float = DISCOUNT) -> Model | None:
     """The model of a bounded sample of labelled rows; None unless both classes have some."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("own")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("toxic"))
@@ -163,37 +150,54 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     order = F.md5(F.col("own").cast("string"))
     both = [known.where(F.col("toxic") == k).orderBy(order, "own").limit(per_class) for k in (0, 1)]
     chosen = F.broadcast(both[0].unionByName(both[1]))  # 2 * per_class rows at most
-    sample = df.select(F.col(id_col).alias("own"), text_of(text_col).alias("text")).join(chosen, "own").select("toxic", "text", (F.conv(F.substring(order, 32, 1), 16, 10).cast("int") < 3).alias("fits"))
-
-    grams = sample.where(~F.col("fits")).select("toxic", "text").mapInArrow(_counted, "gram bigint, context bigint, word bigint, n0 bigint, n1 bigint, degree bigint")
-    grams = grams.groupBy("gram", "degree", "context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    most = F.greatest("n0", "n1")
-    grams = grams.where(most - discount * F.sqrt(most) - F.col("degree") > 0)  # others survive the discount in neither class and don't speak
-    columns = ["gram", "context", "word", "n0", "n1", "degree"]
-    rows = [grams.where(F.col("degree") == k).orderBy(-(F.col("n0") + F.col("n1")), "gram").limit(most_grams).select(columns).toPandas().to_numpy(dtype=np.int64) for k in (1, 2)]
-    model = build(np.concatenate(rows), discount)
+    sample = df.select(F.col(id_col).alias("own"), text_of(text_col).alias("text")).join(chosen, "own")
+    sample = written(sample.select("toxic", "text", (F.conv(F.substring(order, 32, 1), 16, 10).cast("int") < 3).alias("fits")), "toxic-sample")
+
+    pairs = sample.where(~F.col("fits")).select("toxic", "text").mapInArrow(_followed, "word bigint, before bigint, in0 tinyint, in1 tinyint")
+    pairs = pairs.groupBy("word", "before").agg(F.max("in0").alias("in0"), F.max("in1").alias("in1"))
+    words = written(pairs.groupBy("word").agg(F.sum("in0").alias("n0"), F.sum("in1").alias("n1")), "toxic-words")
+    every = words.agg(*(f(c) for c in ("n0", "n1") for f in (F.sum, lambda c: F.sum(F.least(F.col(c), F.lit(discount))))), F.count("*")).first()
+    count = (every[0] or 0, every[2] or 0)
+    rate = [F.col(c) / F.lit(float(max(n, 1))) for c, n in zip(("n0", "n1"), count, strict=True)]
+    common = words.agg(F.sum(F.least(*rate))).first()[0] or 0.0
+    totals = Totals(count, (every[1] or 0.0, every[3] or 0.0), every[4], common)
+    kept = words.where(F.greatest("n0", "n1") > discount).toPandas()  # words of the bounded sample
+    model = build(kept["word"].to_numpy(np.int64), kept["n0"].to_numpy(float), kept["n1"].to_numpy(float), totals, discount)
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.feature(t.as_py(), hashes) for t in b.column(1)], pa.float64())], ["toxic", "x"])
+            found = np.array([sent.value.features(h) for h in hashed_words(b.column(1))]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["toxic", "best", "whole"])
 
-    fitted = sample.where("fits").select("toxic", "text").mapInArrow(features, "toxic int, x double").toPandas().sort_values(["toxic", "x"])  # a part of the sample
-    model.curve = fit_curve(fitted["x"].to_numpy(), fitted["toxic"].to_numpy())
+    fitted = sample.where("fits").select("toxic", "text").mapInArrow(features, "toxic int, best double, whole double").toPandas().sort_values(["toxic", "best", "whole"])  # a part of the sample
+    sent.destroy()
+    model.curve = fit_curve(fitted[["best", "whole"]].to_numpy(), fitted["toxic"].to_numpy())
     return model
 
 
+_SENT: dict[int, Broadcast] = {}
+
+
+def _broadcast(spark: SparkSession, model: Model) -> Broadcast:
+    """The model for the tasks; copies on the executors of models sent before are dropped, and sent again if they are asked for."""
+    for old in _SENT.values():
+        old.unpersist()
+    _SENT.clear()
+    sent = _SENT[id(model)] = spark.sparkContext.broadcast(model)
+    return sent
+
+
 def score_texts(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, score."""
     if model is None:
         return df.select(id_col, F.lit(0.0).alias("score"))
     kind = df.schema[id_col].dataType.simpleString()
-    sent = df.sparkSession.sparkContext.broadcast(model)  # most_grams words and pairs at most
+    sent = _broadcast(df.sparkSession, model)  # words of the bounded sample
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own = WordHash(), sent.value
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.score(own.feature(t.as_py(), hashes)) for t in b.column(1)], pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(b.column(1)), pa.float64())], ["id", "score"])
 
     scored = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
     return scored.withColumnRenamed("id", id_col)
@@ -203,13 +207,12 @@ def drop_toxic(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """The rows whose score is below the threshold, with all their columns, judged where they lie."""
     if model is None:
         return df
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = _broadcast(df.sparkSession, model)
     at = df.columns.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own = WordHash(), sent.value
         for b in it:
-            yield b.filter(pa.array([own.score(own.feature(t.as_py(), hashes)) < threshold for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([s < threshold for s in sent.value.scores(b.column(at))], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
