@@ -398,3 +398,22 @@ def test_word_hash_table_is_bounded():
     for k in range(50):
         h([b"%d" % i for i in range(k * 10, k * 10 + 20)])
     assert len(h.seen) <= 120
+
+
+def test_copies_are_dropped_by_row(spark):
+    """Other texts of an id, and null ids, are judged by their own text."""
+    rows = [(3, "A"), (5, "A"), (5, "B"), (None, "C"), (7, " C "), (None, "D"), (8, None), (9, " "), (10, "E"), (10, "E")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(df).collect())
+    assert got == Counter([(3, "A"), (5, "B"), (7, " C "), (None, "D"), (9, " "), (10, "E"), (10, "E")])
+
+
+def test_owners_chain_texts_with_one_key():
+    import pyarrow as pa
+
+    rows = [(0, 1, 1, 3, 5, "abc"), (0, 1, 2, 3, 4, "abd"), (0, 1, 1, 4, 9, "abc"), (0, 2, 1, 1, 1, "x"), (1, 7, 3, 2, None, "y"), (1, 7, 1, 2, 1, "y")]
+    names = ["bucket", "key", "n", "n_chars", "id", "norm"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], pa.schema([(c, pa.string() if c == "norm" else pa.int64()) for c in names])) for part in (rows[:2], rows[2:])]
+    got = [tuple(r.values()) for b in exact_dedup._chained(iter(batches)) for r in b.to_pylist()]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == [(1, sha("abc"), 2, 9), (1, sha("abd"), 2, 4), (7, sha("y"), 4, None)]
