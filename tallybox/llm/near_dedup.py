@@ -8,16 +8,17 @@ with a probability of 1e-10.
 
 In a bucket the member with most company over all bands is the pivot, and all members
 join the pivot's group. A group is checked in blocks of bounded size: every member
-against the pivot, then members that the pivot did not link against all members of
-the block, first by signatures and then on the full sets. A group of several blocks
-has those members sent to its other blocks too. So each pair of documents that share
-a bucket either is compared on full sets or lies in one component already, and what is
-emitted grows with the members, never with their pairs. Components come from
-alternating large-star and small-star.
+against the pivot, then members that the pivot did not link against those members of
+the block that share one of their rarest shingles: of linked sets one must, so nothing
+is lost, and members that are not alike cost nothing. All links are confirmed on the
+full sets. A group of several blocks has the members that its pivot did not link sent
+to its other blocks too. So each pair of documents that share a bucket either is
+compared, or ruled out by its rarest shingles, or lies in one component already.
+Components come from alternating large-star and small-star.
 
 Texts are read whole. A text with fewer words than a shingle is one shingle. Null
 texts and texts without words have no shingles and link to nothing. Rows that share an
-id are one node. A null id links to nothing and stays. An empty table gives an empty
+id are one node, which links to what any of their texts does. A null id links to nothing and stays. An empty table gives an empty
 table; other columns are ignored by ``near_groups`` and kept by ``drop_near``.
 """
 
@@ -111,36 +112,65 @@ def _buckets(classes: DataFrame, bands: int) -> DataFrame:
     return classes.select("rep", "keys").mapInArrow(run, "key bigint, id bigint")
 
 
+def prefix_length(n: int, percent: int) -> int:
+    """Of the rarest shingles of a set of n, so many that a set linked with it must hold one of them among its own so many."""
+    return n - -(-n * percent // 100) + 1
+
+
 class Block:
-    """The sets of a block, in a form that one set can be compared with all of at once."""
+    """The sets of a block: one set can be compared with all of them, or with those that share a rare shingle with it."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int, signer: Signer):
-        self.sets, self.percent, self.signer = sets, percent, signer
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sets, self.percent = sets, percent
         self.size = np.array([len(s) for s in sets], np.int64)
         self.ends = np.cumsum(self.size)
-        self.every = np.unique(np.concatenate(sets))
-        self.codes = np.searchsorted(self.every, np.concatenate(sets))
-        self.signs: np.ndarray | None = None
-        p = percent / 100
-        self.least = p - 6 * math.sqrt(p * (1 - p) / len(signer.a))  # an estimate this far below is not chance
-
-    def near(self, s: np.ndarray, screen: bool) -> np.ndarray:
-        """Which members are linked with the set s. screen: compare signatures first."""
-        mark = np.zeros(len(self.every), np.int64)
+        self.every, self.codes, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(n), np.int64)
+        self.rank[np.lexsort((self.every, n))] = np.arange(len(n))
+        self.filed: tuple[np.ndarray, np.ndarray] | None = None
+        self.mark = np.zeros(len(self.every), np.int64)
+
+    def _known(self, s: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.every, s)
         at = at[at < len(self.every)]
-        mark[at[np.isin(self.every[at], s, assume_unique=True)]] = 1
-        sized = np.minimum(self.size, len(s)) * 100 >= self.percent * np.maximum(self.size, len(s))
-        if screen and len(self.sets) > 8:
-            if self.signs is None:
-                self.signs = np.array([self.signer.signature(x) for x in self.sets])
-            sized &= (self.signs == self.signer.signature(s)).mean(axis=1) >= self.least
-            both = np.zeros(len(self.sets), np.int64)
-            for k in np.flatnonzero(sized):
-                both[k] = mark[self.codes[self.ends[k] - self.size[k] : self.ends[k]]].sum()
-        else:
-            both = np.add.reduceat(mark[self.codes], self.ends - self.size)
-        return sized & (100 * both >= self.percent * (self.size + len(s) - both))
+        return at[np.isin(self.every[at], s, assume_unique=True)]
+
+    def _linked(self, s: np.ndarray, both: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return 100 * both >= self.percent * (size + len(s) - both)
+
+    def near_all(self, s: np.ndarray) -> np.ndarray:
+        """The members linked with the set s, by comparing all."""
+        known = self._known(s)
+        self.mark[known] = 1
+        both = np.add.reduceat(self.mark[self.codes], self.ends - self.size)
+        self.mark[known] = 0
+        return np.flatnonzero(self._linked(s, both, self.size))
+
+    def near(self, s: np.ndarray) -> np.ndarray:
+        """The same, by comparing the members whose rarest shingles meet those of s; shingles out of the block are the rarest."""
+        if self.filed is None:
+            ranks, owner = [], []
+            for k, n in enumerate(self.size.tolist()):
+                own = np.sort(self.rank[self.codes[self.ends[k] - n : self.ends[k]]])[: prefix_length(n, self.percent)]
+                ranks.append(own)
+                owner.append(np.full(len(own), k))
+            ranks, owner = np.concatenate(ranks), np.concatenate(owner)
+            order = np.argsort(ranks, kind="stable")
+            self.filed = ranks[order], owner[order]
+        known = self._known(s)
+        left = prefix_length(len(s), self.percent) - (len(s) - len(known))
+        if left <= 0:
+            return np.zeros(0, np.int64)
+        ranks, owner = self.filed
+        own = np.sort(self.rank[known])[:left]
+        spans = zip(np.searchsorted(ranks, own).tolist(), np.searchsorted(ranks, own, side="right").tolist(), strict=True)
+        met = np.unique(np.concatenate([owner[a:b] for a, b in spans]))
+        n = self.size[met]
+        met = met[np.minimum(n, len(s)) * 100 >= self.percent * np.maximum(n, len(s))]
+        self.mark[known] = 1
+        both = np.array([self.mark[self.codes[self.ends[k] - self.size[k] : self.ends[k]]].sum() for k in met.tolist()], np.int64)
+        self.mark[known] = 0
+        return met[self._linked(s, both, self.size[met])]
 
 
 def _find(root: list[int], x: int) -> int:
@@ -150,26 +180,26 @@ def _find(root: list[int], x: int) -> int:
     return x
 
 
-def block_links(ids: list, sets: list[np.ndarray], guests: Iterator[tuple[object, np.ndarray]], percent: int, signer: Signer) -> Iterator[tuple]:
+def block_links(ids: list, sets: list[np.ndarray], guests: Iterator[tuple[object, np.ndarray]], percent: int) -> Iterator[tuple]:
     """Links that connect all linked members of a block, whose first member is the pivot, and its guests."""
-    block, root = Block(sets, percent, signer), list(range(len(ids)))
+    block, root = Block(sets, percent), list(range(len(ids)))
     for x in range(len(ids)):
         if x and _find(root, x) == _find(root, 0):
             continue
-        for y in np.flatnonzero(block.near(sets[x], screen=x > 0)).tolist():
+        for y in (block.near(sets[x]) if x else block.near_all(sets[x])).tolist():
             a, b = _find(root, x), _find(root, y)
             if a != b:
                 root[b] = a
                 yield ids[x], ids[y]
     for guest, s in guests:
         met = set()
-        for y in np.flatnonzero(block.near(s, screen=True)).tolist():
+        for y in block.near(s).tolist():
             if (own := _find(root, y)) not in met:
                 met.add(own)
                 yield guest, ids[y]
 
 
-def _checked(rows: DataFrame, shingle: int, percent: int, signer: Signer) -> DataFrame:
+def _checked(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(pivot, block, role, id, text) to links (a, b). role: 0 pivot, 1 member, 2 guest."""
 
     def groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -181,12 +211,15 @@ def _checked(rows: DataFrame, shingle: int, percent: int, signer: Signer) -> Dat
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, found = pa.from_numpy_dtype(np.int64), []
         for _, own in groupby(groups(it), key=lambda r: r[0]):
-            ids, sets, first = [], [], None
+            ids, sets, first, seen = [], [], None, set()
             for r in own:
                 if r[1] == 2:
                     first = r
                     break
-                if not ids or ids[-1] != r[2]:  # rows that share an id are one node
+                if not ids or ids[-1] != r[2]:
+                    seen.clear()
+                if (text := r[3].tobytes()) not in seen:  # an id can have several texts, each of which links it
+                    seen.add(text)
                     ids.append(r[2])
                     sets.append(r[3])
 
@@ -196,7 +229,7 @@ def _checked(rows: DataFrame, shingle: int, percent: int, signer: Signer) -> Dat
                     for r in own:
                         yield r[2], r[3]
 
-            found += block_links(ids, sets, guests(), percent, signer)
+            found += block_links(ids, sets, guests(), percent)
             if len(found) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], ["a", "b"])
                 found = []
@@ -213,6 +246,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     task holds of a group, about; larger groups are checked in several blocks.
     """
     signer = Signer(bands or bands_for(percent, rows), rows)
+    if df.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must hold integers")
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = written(_signed(docs, shingle, signer), "signatures")
     known = signed.where("k1 IS NOT NULL AND id IS NOT NULL")
@@ -221,7 +256,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     filed = _buckets(classes, signer.bands)
     shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(filed.join(shared.hint("shuffle_hash"), "key"), "buckets")
+    members = written(filed.join(shared.hint("merge"), "key"), "buckets")
     company = members.groupBy("id").agg(F.sum("n").alias("company"))
     pivots = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("least"))).alias("best")).select("key", (-F.col("best.least")).alias("pivot"))
     joined = written(members.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct(), "groups")
@@ -235,9 +270,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     seats = own.unionByName(lead)
 
     def with_text(seats: DataFrame) -> DataFrame:
-        return docs.join(seats.hint("shuffle_hash"), "id")
+        return docs.join(seats.hint("merge"), "id")
 
-    links = written(_checked(with_text(seats), shingle, percent, signer), "links")
+    texts = known.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).where("low <> high").select("id")
+    own = known.join(texts, "id", "left_semi").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = written(_checked(with_text(seats), shingle, percent).unionByName(own), "links")
     roots = connected_components(links)
     if not split.where("blocks > 1").isEmpty():
         many = split.where("blocks > 1")
@@ -246,7 +283,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         left = left.where(F.coalesce("root", "id") != F.coalesce("pivot_root", "pivot"))
         guests = left.withColumn("to", each).where("to <> block").select("pivot", F.col("to").alias("block"), F.lit(2).alias("role"), "id")
         hosts = seats.join(many.select("pivot").distinct(), "pivot", "left_semi")
-        links = links.unionByName(written(_checked(with_text(hosts.unionByName(guests)), shingle, percent, signer), "links"))
+        links = links.unionByName(written(_checked(with_text(hosts.unionByName(guests)), shingle, percent), "links"))
         roots = connected_components(links)
 
     reps = classes.select("k1", "k2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
@@ -258,7 +295,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``df`` that stay, one document of each group, with all its columns."""
     gone = near_groups(df, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
-    return df.join(gone.hint("shuffle_hash"), df[id_col] == gone["gone_id"], "left_anti")
+    return df.join(gone.hint("merge"), df[id_col] == gone["gone_id"], "left_anti")
 
 
 def brute_groups(docs: list[tuple[int, str | None]], shingle: int, percent: int) -> dict[int, tuple[int, int]]:

@@ -417,3 +417,34 @@ def test_owners_chain_texts_with_one_key():
     got = [tuple(r.values()) for b in exact_dedup._chained(iter(batches)) for r in b.to_pylist()]
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == [(1, sha("abc"), 2, 9), (1, sha("abd"), 2, 4), (7, sha("y"), 4, None)]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_rare_shingles_lose_no_link(percent):
+    rng = np.random.default_rng(percent)
+    sets = [np.unique(rng.integers(0, 30, int(rng.integers(1, 25))).astype(np.uint64)) for _ in range(150)]
+    block = near_dedup.Block(sets[:100], percent)
+    for s in sets:
+        want = [k for k, o in enumerate(sets[:100]) if 100 * len(np.intersect1d(s, o)) >= percent * len(np.union1d(s, o))]
+        assert block.near(s).tolist() == block.near_all(s).tolist() == want
+
+
+def test_unlike_members_of_a_bucket_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2_000, 8_000):
+        sets = [np.array(sorted([1, 2, 3, 10 + i]), np.uint64) for i in range(n)]
+        began = time.time()
+        assert list(near_dedup.block_links(list(range(n)), sets, iter([]), 85)) == []
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(4, a), (4, b), (2, a), (9, b + " x"), (7, "else " * 9), (7, "else " * 9)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(df).collect())
+    assert got == [(2, 2, True), (4, 2, False), (4, 2, False), (7, 7, True), (7, 7, True), (9, 2, False)]
+    with pytest.raises(ValueError):
+        near_dedup.near_groups(df.withColumn("doc_id", F.lit("x")))
