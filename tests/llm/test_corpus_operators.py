@@ -448,3 +448,74 @@ def test_an_id_with_several_texts_is_one_node(spark):
     assert got == [(2, 2, True), (4, 2, False), (4, 2, False), (7, 7, True), (7, 7, True), (9, 2, False)]
     with pytest.raises(ValueError):
         near_dedup.near_groups(df.withColumn("doc_id", F.lit("x")))
+
+
+PROSE = "the day of the year in which it was seen by all of them and that is how it came to be what it is for us in the end."
+POLISH = "Wczoraj rano poszliśmy razem nad rzekę, gdzie czekała już łódka. Słońce świeciło mocno, a woda była spokojna. Nikt nie spodziewał się burzy, która nadeszła po południu."
+JAPANESE = "昨日の朝、私たちは川へ行きました。太陽は強く輝いていて、水は静かでした。午後に来る嵐を誰も予想していませんでした。それでも皆は楽しく過ごし、夕方には家に帰りました。とても良い一日でした。"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<html><head><title>t</title><body><p>{PROSE}</p><p>{PROSE}</p>", f"{PROSE}\n{PROSE}"),
+        (f"<article><svg viewBox='0'/><p>{PROSE}</p></article>", PROSE),
+        (f"<article><iframe src='x'/><p>{PROSE}</p></article>", PROSE),
+        (f"<article><button>Share<p>{PROSE}</p><button>x</button></article>", PROSE),
+        (f"<article><select><option>one</select><p>{PROSE}</p></article>", PROSE),
+        (f"<article class='post tags-news'><p>{PROSE}</p></article>", PROSE),
+        (f"<body class='comments-closed no-sidebar'><div class='post category-legal has-comments'><article><p>{PROSE}</p></article></div></body>", PROSE),
+        (f"<body>{f'<p>{PROSE}</p>' * 3}</body>", "\n".join([PROSE] * 3)),
+        (f"<body><nav><a href='/'>home</a></nav><p>{POLISH}</p><p>{POLISH}</p></body>", f"{POLISH}\n{POLISH}"),
+        (f"<body><p>{JAPANESE}</p><p>{JAPANESE}</p></body>", f"{JAPANESE}\n{JAPANESE}"),
+        (f"<body><div class='legal'><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"{PROSE}\n{PROSE}"),
+        (f"<body><div class='sidebar'><p>{PROSE}</p></div><div id='comments'><p>{PROSE}</p></div><p>{PROSE} {PROSE}</p></body>", f"{PROSE} {PROSE}"),
+        (f"<body><div class='cookie-notice'><p>{PROSE} {PROSE}</p></div><article><p>{PROSE}</p></article><section class='comments-section'><p>{PROSE} {PROSE}</p></section></body>", PROSE),
+        (f"<body><div id='comments'><p>{PROSE} {PROSE}</p></div></body>", ""),
+        (f"<article><p>{PROSE}</p><script>if (a</script><style>p{{}}</style><textarea>typed</textarea></article>", PROSE),
+    ],
+)
+def test_pages_of_odd_forms(page, want):
+    assert html_text.main_text(page) == want
+
+
+@given(st.lists(st.tuples(st.sampled_from([html_text.GOOD, html_text.BAD, html_text.NEAR, html_text.OPEN, html_text.APART]), st.integers(0, 2)), max_size=14))
+@settings(max_examples=400, deadline=None)
+def test_second_pass_equals_a_plain_search(blocks):
+    blocks = sorted(blocks, key=lambda b: b[1])  # an article stands in one piece
+    first, regions = [b[0] for b in blocks], [b[1] for b in blocks]
+
+    def nearest(own, k, kinds):
+        found = []
+        for step in (-1, 1):
+            at = k + step
+            while 0 <= at < len(own) and regions[at] == regions[k]:
+                if own[at] in kinds:
+                    found.append((abs(at - k), own[at]))
+                    break
+                at += step
+        return found
+
+    has_article = any(x == html_text.GOOD and r for x, r in blocks)
+    own = list(first)
+    for k, x in enumerate(first):
+        if x == html_text.NEAR:
+            beside = [kind for _, kind in nearest(first, k, (html_text.GOOD, html_text.BAD, html_text.NEAR))]
+            good = not beside or html_text.GOOD in beside or html_text.NEAR in beside
+            own[k] = html_text.GOOD if good and (regions[k] or not has_article) else html_text.BAD
+    want = []
+    for k, x in enumerate(own):
+        beside = nearest(own, k, (html_text.GOOD, html_text.BAD))
+        kinds = {kind for d, kind in beside if d == min(beside)[0]}
+        inherited = kinds.pop() if len(kinds) == 1 else html_text.GOOD if regions[k] else html_text.BAD
+        want.append(inherited if x == html_text.OPEN else html_text.GOOD if x == html_text.GOOD else html_text.BAD)
+    assert html_text.second_pass(first, regions) == want
+
+
+def test_pages_with_odd_rows_and_no_rows(spark):
+    schema = "page_id bigint, url string, html string, text string, id int"
+    rows = [(1, "u", PAGE, "x", 1), (1, "u", PAGE, "x", 1), (None, None, None, None, None), (2, None, "", None, None), (3, "v", "<p>" + f"{PROSE} " * 3_000, None, 2)]
+    got = [tuple(r) for r in html_text.extract(spark.createDataFrame(rows, schema)).collect()]
+    assert got[0] == got[1] and got[2] == (None, None, "", 0) and got[3] == (2, None, "", 0)
+    assert got[4][2] == " ".join([PROSE] * 3_000) and got[4][3] == len(got[4][2])
+    assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
