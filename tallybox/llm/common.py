@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -106,7 +105,3 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for i in range(1, n):
         out = mix(out) + h[i : len(h) - n + 1 + i]
     return mix(out)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
