@@ -38,6 +38,15 @@ def model_size(run: Column) -> Column:
     return F.regexp_extract(run, "_([LMSN])(?:_|$)", 1)
 
 
+def left_out(run: Column) -> Column:
+    """The dataset that a leave-one-out run lacks."""
+    return F.regexp_extract(run, "_[LMSN]_([^_]+)", 1)
+
+
+def tuning_stage(run: Column) -> Column:
+    return F.when(F.lower(run).contains("finetune"), "After").otherwise("Before")
+
+
 def left_out_pair(run: Column) -> tuple[Column, Column]:
     """The datasets of a leave-two-out run; FULL is empty."""
     parts = F.split(run, "_", 2)
@@ -45,13 +54,14 @@ def left_out_pair(run: Column) -> tuple[Column, Column]:
     return empty(parts[0]), empty(F.coalesce(F.get(parts, 1), F.lit("")))
 
 
+# Fixed value: the form of result file names.
 def sample_key(name: Column) -> Column:
     return F.regexp_extract(name, r"^[^_]+_(.+)(_heatmap|_matches|\.csv)", 1)
 
 
 def stars(p: Column) -> Column:
-    """'***' below 0.001, '**' below 0.01, '*' below 0.05, else 'ns'."""
-    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+    """A star for each tenth of 0.05: up to 0.05 '*', 0.005 '**', 0.0005 '***', else 'ns'."""
+    return F.when(p <= 0.0005, "***").when(p <= 0.005, "**").when(p <= 0.05, "*").otherwise("ns")
 
 
 def p_text(p: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,25 +40,50 @@ def trapezoid(points: DataFrame, *by: str, x: str = "x", y: str = "y") -> DataFr
     return top.withColumn("part", F.coalesce(dx * mean, F.lit(0.0))).groupBy(*by).agg(F.sum("part").alias("area"))
 
 
-def average_precision(matches: DataFrame, thresholds: list[int], by: str = "dataset", mode: str = "standard") -> DataFrame:
-    """Area under the curve per group and IoU threshold (in hundredths).
+def average_precision(matches: DataFrame, thresholds: list[int], by: str = "dataset", mode: str = "standard", bins: int = 1_000) -> DataFrame:
+    """(by, t, ap): area under the curve per group and IoU threshold (in hundredths).
 
     standard: a match below the threshold is a false positive and a missed instance.
     compat: rows below the threshold are dropped unless they are missed instances, so
     false positives vanish and precision is 1.
+
+    The curve has a point for each hit, the k-th of which has the recall k / n and the
+    precision k / (detections so far), and starts at precision 0 if a false positive
+    leads. So the area needs but a few sums over the hits, for all thresholds at once.
+    Detections are counted by bins of confidence, summed from the top, and ordered within
+    their bin only.
     """
-    grid = F.explode(F.array(*map(F.lit, thresholds)))
-    rows = matches.select(by, "idx_1", "idx_2", "conf2", "iou").withColumn("t", grid)
-    hit = (F.col("idx_1") != -1) & (F.col("idx_2") != -1) & (F.col("iou") >= F.col("t") / 100)
-    positive = F.col("idx_1") != -1
+    steps = sorted(thresholds)
+    hit = [(F.col("idx_1") != -1) & (F.col("idx_2") != -1) & (F.col("iou") >= t / 100) for t in steps]
+    found = F.col("idx_2") != -1
+
+    def long(df: DataFrame, area: Callable[[Column], Column]) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), area(F.col(f"s{t}")).alias("ap")) for t in steps)))
+        return df.select(by, each.alias("e")).select(by, "e.t", "e.ap").where("ap IS NOT NULL")
+
     if mode == "compat":
-        rows, positive = rows.where(hit | (F.col("idx_2") == -1)), F.lit(True)
-    # one sort for all: missed instances have no confidence, come last and count among the positives only
-    w = Window.partitionBy(by, "t").orderBy(F.desc_nulls_last("conf2"), "idx_2")
-    run, every = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by, "t")
-    curve = rows.select(by, "t", "idx_2", F.sum(hit.cast("int")).over(run).alias("tps"), F.row_number().over(w).alias("seen"), F.count_if(positive).over(every).alias("n_gt")).where("idx_2 <> -1")
-    curve = curve.select(by, "t", (F.col("tps") / F.col("n_gt")).alias("recall"), (F.col("tps") / F.col("seen")).alias("precision"))
-    return trapezoid(curve, by, "t", x="recall", y="precision").withColumnRenamed("area", "ap")
+        some = [F.struct(F.count_if(h).alias("k")).alias(f"s{t}") for t, h in zip(steps, hit, strict=True)]
+        counted = matches.groupBy(by).agg(F.count_if(~found).alias("missed"), *some)
+        return long(counted, lambda s: F.when(s["k"] > 0, (s["k"] - 1) / (s["k"] + F.col("missed"))))
+
+    n_gt = matches.groupBy(by).agg(F.count_if(F.col("idx_1") != -1).alias("n_gt"))
+    rows = matches.where(found).select(by, "conf2", "idx_2", F.floor(F.col("conf2") * bins).alias("bin"), *(h.cast("int").alias(f"h{t}") for t, h in zip(steps, hit, strict=True)))
+    counted = rows.groupBy(by, "bin").agg(F.count("*").alias("n"), *(F.sum(f"h{t}").alias(f"h{t}") for t in steps))
+    above = Window.partitionBy(by).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select(by, "bin", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"b_{c}") for c in ["n", *(f"h{t}" for t in steps)]))
+    inside = Window.partitionBy(by, "bin").orderBy(F.desc("conf2"), "idx_2")
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(before, [by, "bin"]).select(by, *(f"h{t}" for t in steps), (F.col("b_n") + F.row_number().over(inside)).alias("seen"), *((F.col(f"b_h{t}") + F.sum(f"h{t}").over(run)).alias(f"k{t}") for t in steps))
+
+    def sums(t: int) -> Column:
+        at = F.when(F.col(f"h{t}") == 1, F.col("seen"))
+        return F.struct(F.sum(F.col(f"k{t}") / at).alias("p"), F.sum(f"h{t}").alias("k"), F.min(at).alias("first"), F.max(at).alias("last")).alias(f"s{t}")
+
+    def area(s: Column) -> Column:
+        ends = F.when(s["first"] > 1, 0.0).otherwise(1 / s["first"]) + s["k"] / s["last"]
+        return F.when(s["k"] > 0, (s["p"] - ends / 2) / F.col("n_gt")).otherwise(0.0)
+
+    return long(placed.groupBy(by).agg(*map(sums, steps)).join(n_gt, by), area)
 
 
 def best_threshold(rows: DataFrame, label: Column, conf: Column, *by: str, steps: int = 100) -> DataFrame:

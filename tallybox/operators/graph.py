@@ -40,6 +40,8 @@ def spanning_tree(edges: DataFrame, rounds: int = 40) -> DataFrame:
             break
         tree = pick if tree is None else written(tree.unionByName(pick).distinct(), "tree")
         home = written(components(tree).select("node", F.col("component").alias("c")), "home")
+    else:
+        raise RuntimeError(f"the tree is not complete after {rounds} rounds")
     return edges.limit(0) if tree is None else tree
 
 
@@ -47,9 +49,20 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(left: DataFrame, right: DataFrame, on: str, x: str, key: str) -> DataFrame:
-    """For each row of ``left`` the row of ``right`` in its group with the nearest x, and on which side it lies."""
-    a, b = left.select(on, F.col(key).alias("a"), F.col(x).alias("ax")), right.select(on, F.col(key).alias("b"), F.col(x).alias("bx"))
-    w = Window.partitionBy(on, "a").orderBy(F.abs(F.col("ax") - F.col("bx")), "b")
-    near = a.join(b, on).where("a <> b").withColumn("r", F.row_number().over(w)).where("r = 1")
-    return near.select(on, "a", "b", F.abs(F.col("ax") - F.col("bx")).alias("distance"), F.signum(F.col("bx") - F.col("ax")).cast("int").alias("side"))
+def nearest(left: DataFrame, right: DataFrame, on: str, x: str, y: str, key: str, reach: float) -> DataFrame:
+    """For each row of ``left`` the nearest row of ``right`` in its group, at most ``reach`` away, and on which side it lies.
+
+    The plane is cut into cells of that width, so a row meets those of its cell and the
+    eight around it only. Of equals the smaller key. side_x and side_y are 1 where the
+    row lies beyond its neighbour. Rows without a neighbour are left out.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    a = left.select(on, F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay")).withColumns({"cx": cell("ax"), "cy": cell("ay")})
+    b = right.select(on, F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by")).withColumn("o", around)
+    b = b.withColumns({"cx": cell("bx") + F.col("o.i"), "cy": cell("by") + F.col("o.j")}).drop("o")
+    far = F.pow(F.col("ax") - F.col("bx"), F.lit(2)) + F.pow(F.col("ay") - F.col("by"), F.lit(2))
+    near = a.join(b, [on, "cx", "cy"]).where("a <> b").withColumn("far", far).where(F.col("far") <= reach * reach)
+    best = near.groupBy(on, "a").agg(F.min(F.struct("far", "b", "ax", "ay", "bx", "by")).alias("n"))
+    side = lambda c: F.signum(F.col(f"n.a{c}") - F.col(f"n.b{c}")).cast("int").alias(f"side_{c}")
+    return best.select(on, "a", F.col("n.b").alias("b"), F.sqrt("n.far").alias("distance"), side("x"), side("y"))

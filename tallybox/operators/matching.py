@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tallybox.functions import boxes
 from tallybox.functions.metrics import outcome
-from tallybox.operators.spatial import overlap_join
+from tallybox.operators.spatial import CELL, overlap_join
 
 
-def match(gt: DataFrame, pred: DataFrame, threshold: float = 0.2, cell: int | None = None) -> DataFrame:
+def match(gt: DataFrame, pred: DataFrame, threshold: float = 0.2, cell: int | None = CELL) -> DataFrame:
     """image_id, idx_1 (ground truth), idx_2 (prediction), iou of mutual best pairs above the threshold.
 
     Every prediction names its best ground truth; of the predictions that name one, the

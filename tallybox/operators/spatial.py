@@ -12,20 +12,24 @@ def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFram
     return df.select(*(F.col(c) if c in keep else F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
 
+#: Side of a grid cell: a few boxes wide.
+CELL = 512
+
+
 def with_cells(df: DataFrame, cell: int, prefix: str) -> DataFrame:
     """A row for each grid cell that a box covers."""
     s = lambda n: F.col(f"{prefix}{n}")
-    cx = F.explode(F.sequence(F.floor(s("x1") / cell), F.floor((s("x2") - 1) / cell)))
-    cy = F.explode(F.sequence(F.floor(s("y1") / cell), F.floor((s("y2") - 1) / cell)))
+    cx = F.explode(F.sequence(F.floor(s("x1") / cell), F.floor((F.ceil(s("x2")) - 1) / cell)))
+    cy = F.explode(F.sequence(F.floor(s("y1") / cell), F.floor((F.ceil(s("y2")) - 1) / cell)))
     return df.withColumn("cx", cx).withColumn("cy", cy)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: str = "image_id", cell: int | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on: str = "image_id", cell: int | None = CELL) -> DataFrame:
     """Pairs of boxes of one image that overlap; columns a_*, b_* and the image.
 
-    Few boxes an image: an equi-join on the image with the overlap as residual. Dense
-    images: ``cell`` deals the boxes to grid cells, and a pair counts in the one cell that
-    holds the upper left corner of its intersection.
+    ``cell`` deals the boxes of an image to grid cells, so that dense images don't stay in
+    one task; a pair counts in the one cell that holds the upper left corner of its
+    intersection. Without it the join is on the image alone, for images of a few boxes.
     """
     a, b = prefixed(left, "a_", (on,)), prefixed(right, "b_", (on,))
     if cell is None:
@@ -35,7 +39,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: str = "image_id", cell:
     return pairs.where(home).drop("cx", "cy")
 
 
-def self_overlaps(df: DataFrame, on: str = "image_id", key: str = "ann_id", cell: int | None = None) -> DataFrame:
+def self_overlaps(df: DataFrame, on: str = "image_id", key: str = "ann_id", cell: int | None = CELL) -> DataFrame:
     """Each unordered pair of overlapping boxes once, the smaller key first."""
     return overlap_join(df, df, on, cell).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
 

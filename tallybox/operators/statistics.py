@@ -49,6 +49,13 @@ def outlier_flag(df: DataFrame, value: str, *by: str, reach: float = 1.5) -> Dat
     return df.join(q, list(by)).withColumn("outlier", out).drop("q_")
 
 
+def weighted_outlier_flag(df: DataFrame, value: str, weight: str, *by: str, reach: float = 1.5) -> DataFrame:
+    """``df`` with ``outlier`` by weighted quartiles."""
+    q = weighted_quantiles(df, value, weight, (0.25, 0.75), *by).groupBy(*by).agg(F.min("value").alias("low_"), F.max("value").alias("high_"))
+    room = reach * (F.col("high_") - F.col("low_"))
+    return df.join(q, list(by)).withColumn("outlier", (F.col(value) < F.col("low_") - room) | (F.col(value) > F.col("high_") + room)).drop("low_", "high_")
+
+
 def quantile_ranges(df: DataFrame, q: str, *by: str) -> DataFrame:
     """Half the way to the neighbours on each side, all the way to 0 and 1 at the ends."""
     w = _ordered(by, q)

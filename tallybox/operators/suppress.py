@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from tallybox.functions import boxes
 from tallybox.operators.graph import components
-from tallybox.operators.spatial import overlap_join
+from tallybox.operators.spatial import CELL, overlap_join
 from tallybox.operators.work import written
 
 Score = Callable[[str, str], Column]
 
 
-def conflicts(df: DataFrame, clash: Column, cell: int | None = None, group: str = "image_id") -> DataFrame:
+def conflicts(df: DataFrame, clash: Column, cell: int | None = CELL, group: str = "image_id") -> DataFrame:
     """(better, worse) ids of pairs that clash; better: higher confidence, then lower id."""
     pairs = overlap_join(df, df, group, cell).where(clash)
     ahead = (F.col("a_conf") > F.col("b_conf")) | ((F.col("a_conf") == F.col("b_conf")) & (F.col("a_ann_id") < F.col("b_ann_id")))
@@ -43,7 +43,7 @@ def greedy(ids: DataFrame, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     raise RuntimeError(f"suppression did not end in {rounds} rounds")
 
 
-def nms(df: DataFrame, threshold: float, score: Score = boxes.iou, cell: int | None = None) -> DataFrame:
+def nms(df: DataFrame, threshold: float, score: Score = boxes.iou, cell: int | None = CELL) -> DataFrame:
     """Rows kept by greedy suppression; a pair clashes if its score is above the threshold."""
     return df.join(greedy(df, conflicts(df, score("a_", "b_") > threshold, cell)), "ann_id", "left_semi")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybox.functions import boxes
@@ -30,10 +31,11 @@ def tile_grid(images: DataFrame, tile: int = 1024, overlap: int = 384, keys: tup
     return rows.select(*keys, "m", "n", segment_start(F.col("m"), F.col("nx_"), F.col("width"), tile).alias("x0"), segment_start(F.col("n"), F.col("ny_"), F.col("height"), tile).alias("y0"))
 
 
-def pyramid(images: DataFrame, tile: int = 1024, increment: float = 0.5, levels: int = 12) -> DataFrame:
+def pyramid(images: DataFrame, tile: int = 1024, increment: float = 0.5) -> DataFrame:
     """(image columns, level, scale): from tile over the longest side up by 1 / increment while at most 0.9, then 1."""
     first = F.lit(float(tile)) / F.greatest("width", "height")
-    many = F.filter(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: first / F.pow(F.lit(increment), k)), lambda s: s <= 0.9)
+    levels = F.greatest(F.ceil(F.log(F.lit(0.9) / first) / math.log(1 / increment)).cast("int") + 1, F.lit(0))  # one to spare for rounding
+    many = F.filter(F.transform(F.sequence(F.lit(0), levels), lambda k: first / F.pow(F.lit(increment), k)), lambda s: s <= 0.9)
     scales = F.when(first >= 1, F.array(first)).otherwise(F.concat(many, F.array(F.lit(1.0))))
     return images.select("*", F.posexplode(scales).alias("level", "scale"))
 
@@ -58,6 +60,17 @@ def to_image(tile_detections: DataFrame, tiles: DataFrame) -> DataFrame:
     return d.withColumns(out).withColumn("scale", (F.col("scale_x") + F.col("scale_y")) / 2).select(*tile_detections.columns, "scale")
 
 
+def postprocess(detections: DataFrame, most: int, low: float, high: float, size: int, margin: int, threshold: float, pixels: int, mask: Column | None = None) -> DataFrame:
+    """The detections of tiles that stay: the ``most`` best of a tile, of a side from low to high, away from the tile's edge,
+
+    without a better one that overlaps by more than the threshold, and with a mask of ``pixels`` at least.
+    """
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("conf"), "ann_id"))
+    kept = detections.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    kept = kept.where(boxes.geometric_side().between(low, high) & boxes.away_from_edge(F.lit(size), margin))
+    return suppress.one_pass_nms(kept, threshold).where((boxes.area() if mask is None else mask) >= pixels)
+
+
 def merged(detections: DataFrame, images: DataFrame, margin: int, threshold: float, pad: int = 5) -> DataFrame:
     """Detections of all tiles and scales of an image: near-equal boxes go, boxes are padded and clamped, clusters are suppressed."""
     few = suppress.drop_near_equal(detections, margin)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybox.functions import boxes, contours, metrics, names
 from tallybox.operators import evaluation as E
-from tallybox.operators import graph, reshape, spatial, tiles
+from tallybox.operators import graph, naming, reshape, spatial, tiles
 from tallybox.operators import resample as R
 from tallybox.operators import statistics as S
 from tallybox.plans.detection import rounded
@@ -23,13 +23,15 @@ def outcome_bootstrap(t: Tables) -> DataFrame:
     return R.outcome_bootstrap(E.outcome_counts(t.matches, "dataset"), 20, "dataset")
 
 
-@query(BOOT_SQL + """, m AS (SELECT dataset, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM boot)
-SELECT dataset, round(avg(f1), 6) AS mean, round(quantile_cont(f1, 0.025), 6) AS lower, round(quantile_cont(f1, 0.25), 6) AS q1, round(quantile_cont(f1, 0.5), 6) AS median, round(quantile_cont(f1, 0.75), 6) AS q3, round(quantile_cont(f1, 0.975), 6) AS upper FROM m GROUP BY dataset""", MATCHES)
+@query(BOOT_SQL + """, m AS (SELECT dataset, 'f1' AS metric, 2 * tp / nullif(2 * tp + fp + fn, 0) AS v FROM boot UNION ALL SELECT dataset, 'precision', tp / nullif(tp + fp, 0) FROM boot UNION ALL SELECT dataset, 'recall', tp / nullif(tp + fn, 0) FROM boot)
+SELECT dataset, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(quantile_cont(v, 0.975), 6) AS upper FROM m GROUP BY dataset, metric""", MATCHES)
 def bootstrap_metrics(t: Tables) -> DataFrame:
-    """Mean and quantiles of F1 over replicates."""
+    """Mean and quantiles of F1, precision and recall over replicates."""
     b = R.outcome_bootstrap(E.outcome_counts(t.matches, "dataset"), 20, "dataset")
-    f1 = b.select("dataset", metrics.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
-    return rounded(S.quantile_summary(f1, "f1", "dataset"), "mean", "lower", "q1", "median", "q3", "upper")
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    m = b.select("dataset", metrics.f1(tp, fp, fn).alias("f1"), metrics.precision(tp, fp, None).alias("precision"), metrics.recall(tp, fn, None).alias("recall"))
+    long = m.unpivot(["dataset"], ["f1", "precision", "recall"], "metric", "v")
+    return rounded(S.quantile_summary(long, "v", "dataset", "metric"), "mean", "lower", "q1", "median", "q3", "upper")
 
 
 ORDERS = "o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)"
@@ -150,6 +152,15 @@ def outlier_flag(t: Tables) -> DataFrame:
     return S.outlier_flag(t("orders"), "o_totalprice", "o_orderpriority", reach=0.2).select("o_orderkey", "outlier")
 
 
+@query(f"""WITH x AS (SELECT dataset, image_id, avg(iou) AS v, ln(1 + count(*)) AS w FROM matches WHERE result = 'TP' GROUP BY ALL), a AS (SELECT dataset, v, sum(w / m) OVER (PARTITION BY dataset ORDER BY v, w ROWS UNBOUNDED PRECEDING) / (n + 1) AS pos FROM (SELECT *, avg(w) OVER (PARTITION BY dataset) AS m, count(*) OVER (PARTITION BY dataset) AS n FROM x)),
+s AS (SELECT *, lag(v) OVER y AS pv, lag(pos) OVER y AS pa, lead(pos) OVER y AS na FROM a WINDOW y AS (PARTITION BY dataset ORDER BY pos, v)), p AS (SELECT unnest([0.25, 0.75])::DOUBLE AS p),
+q AS (SELECT dataset, p, max(CASE WHEN (pa IS NULL AND pos >= p) OR (na IS NULL AND pos < p) THEN v WHEN pa < p AND pos >= p THEN pv + (v - pv) * (p - pa) / (pos - pa) END) AS value FROM s, p GROUP BY ALL), r AS (SELECT dataset, min(value) AS a, max(value) AS b FROM q GROUP BY dataset)
+SELECT dataset, image_id, v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a) AS outlier FROM x JOIN r USING (dataset)""", MATCHES)
+def weighted_outliers(t: Tables) -> DataFrame:
+    """Images whose mean overlap lies beyond the weighted quartiles of their dataset."""
+    return S.weighted_outlier_flag(_per_image(t), "v", "w", "dataset").select("dataset", "image_id", "outlier")
+
+
 @query("WITH q AS (SELECT DISTINCT dataset, conf FROM pred) SELECT dataset, conf, round(CASE WHEN lag(conf) OVER w IS NULL THEN conf ELSE (conf - lag(conf) OVER w) * 0.5 END + CASE WHEN lead(conf) OVER w IS NULL THEN 1 - conf ELSE (lead(conf) OVER w - conf) * 0.5 END, 6) AS range FROM q WINDOW w AS (PARTITION BY dataset ORDER BY conf)")
 def quantile_ranges(t: Tables) -> DataFrame:
     return rounded(S.quantile_ranges(t.pred.select("dataset", "conf").distinct(), "conf", "dataset"), "range")
@@ -168,11 +179,13 @@ def timing_summary(t: Tables) -> DataFrame:
     return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query("SELECT dataset, least(9, greatest(0, floor((log10(area_1) - 2.5) / 0.25)))::INT AS bin, count(*) AS n, round(avg((result = 'TP')::INT), 6) AS recall FROM matches WHERE result <> 'FP' GROUP BY ALL", MATCHES)
+@query("SELECT dataset, least(9, greatest(0, floor((log10(area_1) - 2.5) / 0.25)))::INT AS bin, count(*) AS n, round(avg((result = 'TP')::INT), 6) AS recall, round(avg((result = 'TP')::INT) - 1.96 * stddev_samp((result = 'TP')::INT) / sqrt(count(*)), 6) AS lower, round(avg((result = 'TP')::INT) + 1.96 * stddev_samp((result = 'TP')::INT) / sqrt(count(*)), 6) AS upper FROM matches WHERE result <> 'FP' GROUP BY ALL", MATCHES)
 def binned_recall(t: Tables) -> DataFrame:
-    """Recall over bins of the logarithm of the area."""
+    """Recall over bins of the logarithm of the area, with a normal band; a single instance has none."""
     b = F.least(F.lit(9), F.greatest(F.lit(0), F.floor((F.log10("area_1") - 2.5) / 0.25))).cast("int")
-    return t.matches.where("result <> 'FP'").groupBy("dataset", b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("result") == "TP").cast("int")), 6).alias("recall"))
+    hit = (F.col("result") == "TP").cast("int")
+    half = 1.96 * F.stddev_samp(hit) / F.sqrt(F.count("*"))
+    return t.matches.where("result <> 'FP'").groupBy("dataset", b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("recall"), F.round(F.avg(hit) - half, 6).alias("lower"), F.round(F.avg(hit) + half, 6).alias("upper"))
 
 
 @query("WITH b AS (SELECT floor(sqrt(greatest(area_1, area_2)) / 8)::INT AS bin, result, count(*) AS n FROM matches GROUP BY ALL) SELECT bin, result, n, round(n / sum(n) OVER (PARTITION BY bin), 6) AS share FROM b", MATCHES)
@@ -348,6 +361,14 @@ def one_way_redundancy(t: Tables) -> DataFrame:
     return rounded(_redundancy(t), "rho")
 
 
+@query(f"WITH {LEFT_OUT} SELECT a, arg_min(b, (rho, b)) AS b, round(min(rho), 6) AS rho, 'loss' AS sign FROM o WHERE rho < 0 GROUP BY a UNION ALL SELECT a, arg_min(b, (-rho, b)), round(max(rho), 6), 'gain' FROM o WHERE rho > 0 GROUP BY a", RUNS)
+def extreme_deltas(t: Tables) -> DataFrame:
+    """The greatest loss and the greatest gain of each dataset, where there is one of that sign."""
+    r = _redundancy(t).where("rho <> 0").withColumn("sign", F.when(F.col("rho") < 0, "loss").otherwise("gain"))
+    most = r.groupBy("a", "sign").agg(F.min(F.struct((-F.abs("rho")).alias("most"), "b", "rho")).alias("m"))
+    return most.select("a", F.col("m.b").alias("b"), F.round("m.rho", 6).alias("rho"), "sign")
+
+
 @query(f"WITH {LEFT_OUT} SELECT x.a, x.b, round((x.rho + y.rho) / 2, 6) AS rho2 FROM o x JOIN o y ON x.a = y.b AND x.b = y.a", RUNS)
 def two_way_redundancy(t: Tables) -> DataFrame:
     """The mean of the matrix and its transpose, by a join on swapped keys."""
@@ -375,13 +396,14 @@ def long_metrics(t: Tables) -> DataFrame:
     return rounded(reshape.melted(wide, ["short"], "^([^_]+)_(.+)$", ["metric", "stat"]), "value")
 
 
-@query("WITH s AS (SELECT DISTINCT short FROM cube) SELECT a.short AS a, b.short AS b, 'pair' AS kind FROM s a JOIN s b ON a.short < b.short UNION ALL SELECT short, short, 'single' FROM s UNION ALL SELECT 'FULL', 'FULL', 'full'", RUNS)
+@query("WITH s AS (SELECT DISTINCT short FROM cube) SELECT a.short AS a, b.short AS b, 'pair' AS kind FROM s a JOIN s b ON a.short < b.short UNION ALL SELECT short, short, 'single' FROM s UNION ALL SELECT 'FULL', 'FULL', 'full' UNION ALL SELECT a.short, b.short, 'fine-tune' FROM s a JOIN s b ON a.short = b.short UNION ALL SELECT short, 'FULL', 'fine-tune' FROM s", RUNS)
 def experiment_grid(t: Tables) -> DataFrame:
-    """FULL, each dataset, each unordered pair: n (n + 1) / 2 + 1 runs over the dataset names."""
+    """FULL, each dataset, each unordered pair: n (n + 1) / 2 + 1 runs over the dataset names; and each dataset fine-tuned on itself and on all."""
     s = _runs(t).select("short").distinct()
     pairs = s.select(F.col("short").alias("a")).join(s.select(F.col("short").alias("b")), F.col("a") <= F.col("b"))
     kind = F.when(F.col("a") == F.col("b"), "single").otherwise("pair")
-    return pairs.withColumn("kind", kind).unionByName(s.sparkSession.createDataFrame([("FULL", "FULL", "full")], "a string, b string, kind string"))
+    tuned = s.select(F.col("short").alias("a"), F.explode(F.array("short", F.lit("FULL"))).alias("b"), F.lit("fine-tune").alias("kind"))
+    return reshape.union_all(pairs.withColumn("kind", kind), s.sparkSession.createDataFrame([("FULL", "FULL", "full")], "a string, b string, kind string"), tuned)
 
 
 @query("SELECT short, lft, rgt, count(*) OVER (PARTITION BY lft) AS n, row_number() OVER (PARTITION BY short ORDER BY f1 DESC, lft, rgt) = 1 AS best FROM cube WHERE lft IS NOT NULL", RUNS)
@@ -416,10 +438,12 @@ def latest_artefact(t: Tables) -> DataFrame:
     return t("events").groupBy("event_type").agg(F.max(F.struct("ts", "event_id")).alias("l")).select("event_type", F.col("l.ts").alias("last_ts"), F.col("l.event_id").alias("event_id"))
 
 
-@query("SELECT event_id, (value - min(value) OVER (PARTITION BY event_type)) / nullif(max(value) OVER (PARTITION BY event_type) - min(value) OVER (PARTITION BY event_type), 0) AS scaled FROM events")
+@query("SELECT event_id, (value - min(value) OVER (PARTITION BY event_type)) / nullif(max(value) OVER (PARTITION BY event_type) - min(value) OVER (PARTITION BY event_type), 0) AS scaled, round(value, 6) AS unscaled FROM events")
 def min_max_scaled(t: Tables) -> DataFrame:
     r = t("events").groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return t("events").join(r, "event_type").select("event_id", F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")).alias("scaled"))
+    scaled = t("events").join(r, "event_type").withColumn("scaled", F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")))
+    back = F.coalesce(F.col("low") + F.col("scaled") * (F.col("high") - F.col("low")), F.col("low"))
+    return scaled.select("event_id", "scaled", F.round(back, 6).alias("unscaled"))
 
 
 @query("SELECT event_type, round(avg(value), 6) AS a, round((avg(value) + max(value) + min(value)) / 3, 6) AS row_mean FROM events GROUP BY event_type")
@@ -457,9 +481,25 @@ def kept_datasets(t: Tables) -> DataFrame:
     return t.gt.join(t.images.where("width >= 2000").select("image_id"), "image_id", "left_semi").select("dataset").distinct()
 
 
-@query("SELECT image_id FROM pred WHERE image_id NOT IN (SELECT image_id FROM images) GROUP BY image_id")
+@query("SELECT image_id, count(*) AS n FROM pred WHERE image_id NOT IN (SELECT image_id FROM images WHERE width < 2000) GROUP BY image_id")
 def labels_without_image(t: Tables) -> DataFrame:
-    return t.pred.join(t.images, "image_id", "left_anti").select("image_id").distinct()
+    """Labels of images that are not there: those of 2,000 pixels and more are taken away."""
+    return t.pred.join(t.images.where("width < 2000"), "image_id", "left_anti").groupBy("image_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT ann_id, 'new_' || replace(file_name, '.jpg', '') || '.png' AS file_name FROM gt a JOIN images i ON a.image_id = i.image_id WHERE width >= 2000")
+def renamed_images(t: Tables) -> DataFrame:
+    """Annotations of kept images under the names that a map gives them."""
+    names_ = t.images.where("width >= 2000").select("image_id", F.concat(F.lit("new_"), F.regexp_replace("file_name", r"\.jpg$", ""), F.lit(".png")).alias("file_name"))
+    return t.gt.join(names_, "image_id").select("ann_id", "file_name")
+
+
+@query("WITH s AS (SELECT dataset, image_id, CASE WHEN ('0x' || substr(md5(image_id::VARCHAR), 1, 4))::BIGINT / 65535 < 0.15 THEN 'val' ELSE 'train' END AS split FROM gt) SELECT coalesce(dataset, 'total') AS dataset, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) AS total FROM s GROUP BY ROLLUP (dataset)")
+def split_counts(t: Tables) -> DataFrame:
+    """Instances of each dataset and of all, by split."""
+    val = F.conv(F.substring(F.md5(F.col("image_id").cast("string")), 1, 4), 16, 10).cast("bigint") / 65535 < 0.15
+    g = t.gt.withColumn("val", val).rollup("dataset").agg(F.count_if(~F.col("val")).alias("train"), F.count_if("val").alias("val"), F.count("*").alias("total"))
+    return g.withColumn("dataset", F.coalesce("dataset", F.lit("total")))
 
 
 @query("SELECT dataset, count(DISTINCT image_id) AS images, count(*) AS instances FROM gt GROUP BY dataset UNION ALL SELECT 'total', count(DISTINCT image_id), count(*) FROM gt")
@@ -485,12 +525,12 @@ def first_images_per_dataset(t: Tables) -> DataFrame:
     return R.first_per_group(t.images.where(~F.col("dataset").rlike("^d0[0-4]")), 5, ["file_name"], "dataset").select("image_id", "dataset", "file_name")
 
 
-@query("WITH n AS (SELECT n_name FROM nation), h AS (SELECT s_suppkey, min(n_name) AS n_name, count(*) AS c FROM supplier JOIN nation ON contains(lower(s_name || ' of ' || n_name), lower(n_name)) AND s_nationkey = n_nationkey GROUP BY s_suppkey) SELECT s_suppkey, n_name FROM h WHERE c = 1", "one AS (SELECT 1)")
+@query("WITH l AS (SELECT DISTINCT 'Nation_' || (s_suppkey % 30) AS name FROM supplier), h AS (SELECT name, n_name FROM l JOIN nation ON contains(lower(name), lower(n_name)) OR contains(lower(n_name), lower(name))), u AS (SELECT name, min(n_name) AS match FROM h GROUP BY name HAVING count(*) = 1) SELECT s_suppkey, match FROM supplier LEFT JOIN u ON name = 'Nation_' || (s_suppkey % 30)", "one AS (SELECT 1)")
 def fuzzy_name_join(t: Tables) -> DataFrame:
-    """Names that contain another, unless several do: blocked by nation, so no nested loop over all pairs."""
-    s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("full", F.lower(F.concat("s_name", F.lit(" of "), "n_name")))
-    hits = s.where(F.contains("full", F.lower("n_name")))
-    return hits.groupBy("s_suppkey").agg(F.min("n_name").alias("n_name"), F.count("*").alias("c")).where("c = 1").drop("c")
+    """Either name contains the other, whatever the case, and no other does; names are looked up once each."""
+    s = t("supplier").select("s_suppkey", F.concat(F.lit("Nation_"), (F.col("s_suppkey") % 30).cast("string")).alias("name"))
+    found = naming.fuzzy_names(s, t("nation").select(F.col("n_name").alias("name")))
+    return s.join(found, "name", "left").select("s_suppkey", "match")
 
 
 @query("SELECT r_name, count(*) AS n FROM nation JOIN region ON contains(lower(n_name || r_name), lower(r_name)) AND n_regionkey = r_regionkey GROUP BY r_name", "one AS (SELECT 1)")
@@ -506,7 +546,7 @@ def identifier_search(t: Tables) -> DataFrame:
     return found.join(ids, "id").groupBy("item_id").agg(F.count_distinct("conv_id").alias("n"))
 
 
-@query("SELECT o_orderkey, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS p_text FROM (SELECT o_orderkey, (o_orderkey % 1000) / 7919.0::DOUBLE AS p FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN p <= 0.0005 THEN '***' WHEN p <= 0.005 THEN '**' WHEN p <= 0.05 THEN '*' ELSE 'ns' END AS stars, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS p_text FROM (SELECT o_orderkey, (o_orderkey % 1000) / 7919.0::DOUBLE AS p FROM orders)")
 def p_value_labels(t: Tables) -> DataFrame:
     p = (F.col("o_orderkey") % 1000) / F.lit(7919.0)
     return t("orders").select("o_orderkey", names.stars(p).alias("stars"), names.p_text(p).alias("p_text"))
@@ -539,12 +579,14 @@ def minimum_spanning_tree(t: Tables) -> DataFrame:
     return graph.spanning_tree(e)
 
 
-@query("WITH d AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, embedding[1]::DOUBLE AS v FROM embeddings) SELECT label, i, round(v - avg(v) OVER (PARTITION BY label) - avg(v) OVER (PARTITION BY i) + avg(v) OVER (), 6) AS centred FROM d", "one AS (SELECT 1)")
+@query("WITH m AS (SELECT short, lft, rgt, f1 FROM cube WHERE lft <> rgt UNION ALL SELECT short, rgt, lft, f1 FROM cube), d AS (SELECT lft AS a, rgt AS b, power(avg(f1), 2) AS d FROM m WHERE lft IS NOT NULL GROUP BY ALL) SELECT a, b, round(-0.5 * (d - avg(d) OVER (PARTITION BY a) - avg(d) OVER (PARTITION BY b) + avg(d) OVER ()), 9) AS centred FROM d", RUNS)
 def double_centring(t: Tables) -> DataFrame:
-    """Values less their row and column means plus the mean of all."""
-    d = t("embeddings").select("label", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("i"), F.col("embedding")[0].cast("double").alias("v"))
-    total = F.broadcast(d.agg(F.avg("v").alias("m")))
-    return d.join(total).select("label", "i", F.round(F.col("v") - F.avg("v").over(Window.partitionBy("label")) - F.avg("v").over(Window.partitionBy("i")) + F.col("m"), 6).alias("centred"))
+    """Minus half the squared distances of pairs of datasets, less their row and column means plus the mean of all."""
+    runs = reshape.mirrored(_runs(t).select("short", "lft", "rgt", "f1"), "lft", "rgt").where("lft IS NOT NULL")
+    d = runs.groupBy(F.col("lft").alias("a"), F.col("rgt").alias("b")).agg(F.pow(F.avg("f1"), F.lit(2)).alias("d"))
+    total = F.broadcast(d.agg(F.avg("d").alias("m")))
+    centred = -0.5 * (F.col("d") - F.avg("d").over(Window.partitionBy("a")) - F.avg("d").over(Window.partitionBy("b")) + F.col("m"))
+    return d.join(total).select("a", "b", F.round(centred, 9).alias("centred"))
 
 
 @query()
@@ -560,7 +602,12 @@ def principal_coordinates(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(i + 1, float(s), float(b), bool(s > b)) for i, (s, b) in enumerate(zip(share, stick, strict=True))], "component int, share double, stick double, kept boolean")
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, user_id, epoch(date_trunc('second', ts))::DOUBLE AS x, value AS y, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+p AS (SELECT a.user_id, a.event_id AS k, b.event_id AS j, b.x - a.x AS dx, b.y, a.n, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(b.x - a.x), b.event_id) AS r FROM e a JOIN e b ON a.user_id = b.user_id),
+h AS (SELECT *, max(CASE WHEN r = least(ceil(0.3 * n)::BIGINT + 1, n) THEN abs(dx) END) OVER (PARTITION BY k) AS h FROM p),
+w AS (SELECT *, CASE WHEN h = 0 THEN (j = k)::INT::DOUBLE WHEN abs(dx) > h THEN 0.0 ELSE power(1 - power(abs(dx) / h, 3), 3) END AS w FROM h),
+s AS (SELECT user_id, k, sum(w) AS sw, sum(w * dx) AS sx, sum(w * y) AS sy, sum(w * dx * dx) AS sxx, sum(w * dx * y) AS sxy FROM w GROUP BY ALL)
+SELECT user_id, k AS event_id, round(sy / sw - coalesce((sxy - sx * sy / sw) / nullif(sxx - sx * sx / sw, 0), 0.0) * sx / sw, 4) AS smooth FROM s""", "one AS (SELECT 1)")
 def local_regression(t: Tables) -> DataFrame:
     """Smoothed value over the day for each kind of event of each user."""
     e = t("events").withColumn("x", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallybox.functions import boxes, names
 from tallybox.functions.metrics import relative_change
 from tallybox.operators import evaluation as E
-from tallybox.operators import graph, matching, spatial, suppress
+from tallybox.operators import graph, matching, spatial, suppress, tiles
 from tallybox.plans.tables import MATCHES, Tables, query, sql_area, sql_inter, sql_iou, sql_overlaps
 
 PAIR = f"FROM gt a JOIN pred b ON a.image_id = b.image_id AND {sql_overlaps('a', 'b')}"
@@ -200,6 +200,13 @@ def tile_postprocess_filters(t: Tables) -> DataFrame:
     return t.pred.where(side.between(32, 100) & boxes.away_from_edge(F.lit(2048), 8)).select("image_id", "ann_id", F.round(side, 6).alias("side"))
 
 
+@query(f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, ann_id) AS r FROM pred), f AS (SELECT * FROM k WHERE r <= 40 AND sqrt(((x2 - x1) * (y2 - y1))::DOUBLE) BETWEEN 32 AND 140 AND x1 >= 8 AND y1 >= 8 AND x2 <= 2048 - 8 AND y2 <= 2048 - 8)
+SELECT image_id, ann_id FROM f b WHERE (x2 - x1) * (y2 - y1) >= 1500 AND NOT EXISTS (SELECT 1 FROM f a WHERE a.image_id = b.image_id AND (a.conf > b.conf OR a.conf = b.conf AND a.ann_id < b.ann_id) AND {sql_overlaps('a', 'b')} AND {sql_iou('a', 'b')} > 0.2)""")
+def tile_postprocess(t: Tables) -> DataFrame:
+    """The whole chain of a tile: the best, size, margin, suppression, mask size."""
+    return tiles.postprocess(t.pred, 40, 32, 140, 2048, 8, 0.2, 1500).select("image_id", "ann_id")
+
+
 @query("SELECT a.ann_id, i.image_id, greatest(0, least(round_even((x1 - 3) * 0.5, 0)::BIGINT - 5, width - 1)) AS x1, greatest(0, least(round_even((y1 - 2) * 0.5, 0)::BIGINT - 5, height - 1)) AS y1, greatest(0, least(round_even((x2 - 3) * 0.5, 0)::BIGINT + 5, width - 1)) AS x2, greatest(0, least(round_even((y2 - 2) * 0.5, 0)::BIGINT + 5, height - 1)) AS y2 FROM pred a JOIN images i ON a.image_id = i.image_id")
 def offset_scale_pad(t: Tables) -> DataFrame:
     rows = t.pred.drop("dataset").join(t.images, "image_id")
@@ -266,12 +273,12 @@ def annotations_per_image(t: Tables) -> DataFrame:
     return t.images.join(n, "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-NEAR_SQL = """WITH p AS (SELECT a.image_id, a.ann_id AS a, b.ann_id AS b, abs(a.x1 - b.x1) AS distance, sign(b.x1 - a.x1)::INT AS side, row_number() OVER (PARTITION BY a.image_id, a.ann_id ORDER BY abs(a.x1 - b.x1), b.ann_id) AS r FROM gt a JOIN gt b ON a.image_id = b.image_id AND a.ann_id <> b.ann_id)
-SELECT image_id, a, b, distance, side FROM p WHERE r = 1"""
+NEAR_SQL = """WITH p AS (SELECT a.image_id, a.ann_id AS a, b.ann_id AS b, (a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2 AS far, sign(a.x1 - b.x1)::INT AS side_x, sign(a.y1 - b.y1)::INT AS side_y FROM gt a JOIN gt b ON a.image_id = b.image_id AND a.ann_id <> b.ann_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, a ORDER BY far, b) AS r FROM p WHERE far <= 150 * 150)
+SELECT image_id, a, b, round(sqrt(far), 6) AS distance, side_x, side_y FROM r WHERE r = 1"""
 
 
 @query(NEAR_SQL)
 def nearest_neighbour(t: Tables) -> DataFrame:
-    return graph.nearest(t.gt, t.gt, "image_id", "x1", "ann_id")
-
-
+    """The nearest box within 150 pixels and its direction."""
+    return rounded(graph.nearest(t.gt, t.gt, "image_id", "x1", "y1", "ann_id", 150.0), "distance")

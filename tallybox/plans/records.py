@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybox.functions import boxes, contours, metrics, names
 from tallybox.operators import evaluation as E
-from tallybox.operators import reshape, spatial
+from tallybox.operators import naming, reshape, spatial
 from tallybox.operators import statistics as S
 from tallybox.operators.work import folder
 from tallybox.plans.analysis import RUNS, _octagons, _points, _runs
@@ -47,11 +47,28 @@ def group_mean_weights(t: Tables) -> DataFrame:
     return w.select("dataset", "image_id", F.round(F.col("w") / F.avg("w").over(Window.partitionBy("dataset")), 6).alias("weight"))
 
 
-@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'a') AND contains(s_name, '7')", "one AS (SELECT 1)")
+@query("WITH c AS (SELECT dataset, min(image_id)::VARCHAR AS example FROM images GROUP BY dataset) SELECT file_name, c.dataset, example FROM images JOIN c ON contains(file_name, c.dataset) AND contains(file_name, example)")
 def substring_join(t: Tables) -> DataFrame:
-    """Rows whose joined names hold two given parts."""
-    s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.where(F.contains(F.lower("n_name"), F.lit("a")) & F.contains("s_name", F.lit("7"))).select("s_suppkey", "n_name")
+    """Files whose name holds a dataset's name and that of its example image."""
+    examples = t.images.groupBy("dataset").agg(F.min("image_id").cast("string").alias("example"))
+    found = naming.holding_both(t.images.select(F.col("file_name").alias("holder")), examples, "dataset", "example")
+    return found.select(F.col("holder").alias("file_name"), "dataset", "example")
+
+
+@query("SELECT DISTINCT 'fb_' || ['L', 'M', 'S', 'N'][1 + l_suppkey % 4] || '_s' || (l_partkey % 5) || CASE WHEN l_orderkey % 2 = 0 THEN '_finetuned' ELSE '' END AS run, ['L', 'M', 'S', 'N'][1 + l_suppkey % 4] AS size, 's' || (l_partkey % 5) AS left_out, CASE WHEN l_orderkey % 2 = 0 THEN 'After' ELSE 'Before' END AS stage FROM lineitem", "one AS (SELECT 1)")
+def run_name_sizes(t: Tables) -> DataFrame:
+    """Model size, left-out dataset and stage of fine-tuning, out of run names."""
+    size = F.element_at(F.array(*map(F.lit, "LMSN")), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    run = F.concat(F.lit("fb_"), size, F.lit("_s"), (F.col("l_partkey") % 5).cast("string"), F.when(F.col("l_orderkey") % 2 == 0, "_finetuned").otherwise(""))
+    runs = t("lineitem").select(run.alias("run")).distinct()
+    return runs.select("run", names.model_size(F.col("run")).alias("size"), names.left_out(F.col("run")).alias("left_out"), names.tuning_stage(F.col("run")).alias("stage"))
+
+
+@query("SELECT image_id, dataset || '_' || image_id AS sample FROM images")
+def sample_keys(t: Tables) -> DataFrame:
+    """The sample that a result file belongs to, out of its name."""
+    files = t.images.select("image_id", F.concat(F.lit("run1_"), F.regexp_replace("file_name", r"\.jpg$", ""), F.when(F.col("image_id") % 2 == 0, ".csv").otherwise("_heatmap.png")).alias("file"))
+    return files.select("image_id", names.sample_key(F.col("file")).alias("sample"))
 
 
 @query("SELECT short, coalesce(lft, '-') AS lft, row_number() OVER (PARTITION BY short ORDER BY CASE lft WHEN 's4' THEN 0 WHEN 's2' THEN 1 WHEN 's0' THEN 2 ELSE 3 END, lft, rgt) AS place FROM cube WHERE lft IS NOT NULL", RUNS)

@@ -210,3 +210,55 @@ def test_columns_without_values_go(spark):
 def test_tables_of_detections(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert t.gt.count() == 3010 and t.pred.count() == 3726
+
+
+def test_names_that_hold_one_another(spark):
+    from tallybox.operators import naming
+
+    left = ["North Sea moths", "sea", "ants", "x", "", None, "Bees and wasps", "ÄPFEL"]
+    right = ["SEA", "moths of the north sea", "Ants", "bees", "wasps", "xylo", "y", "apfel", "äpfel rot"]
+    got = {r["name"]: r["match"] for r in naming.fuzzy_names(*(spark.createDataFrame([(n,) for n in names], "name string") for names in (left, right))).collect()}
+    want = {}
+    for a in {x for x in left if x is not None}:
+        hits = {b for b in right if a and (a.lower() in b.lower() or b.lower() in a.lower())}
+        want[a] = hits.pop() if len(hits) == 1 else None
+    assert got == want
+
+
+def test_average_precision_of_many_thresholds_by_points(spark):
+    import random
+
+    from tallybox.operators import evaluation
+
+    random.seed(4)
+    rows = [("d", *((k, k, random.random(), random.random()) if k % 4 else (-1, k, random.random(), 0.0))) for k in range(60)] + [("d", 100 + k, -1, None, 0.0) for k in range(7)] + [("e", 1, -1, None, 0.0)]
+    df = spark.createDataFrame(rows, "dataset string, idx_1 int, idx_2 int, conf2 double, iou double")
+    got = {(r["dataset"], r["t"]): r["ap"] for r in evaluation.average_precision(df, [30, 60, 90], bins=7).collect()}
+    n = sum(r[1] != -1 for r in rows if r[0] == "d")
+    for t in (30, 60, 90):
+        best, tp = {}, 0
+        for seen, r in enumerate(sorted((r for r in rows if r[0] == "d" and r[2] != -1), key=lambda r: (-r[3], r[2])), 1):
+            tp += r[1] != -1 and r[4] >= t / 100
+            best[tp / n] = max(best.get(tp / n, 0), tp / seen)
+        points = sorted(best.items())
+        want = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:], strict=False))
+        assert abs(got[("d", t)] - want) < 1e-9
+    assert set(got) == {("d", t) for t in (30, 60, 90)}
+
+
+def test_nearest_in_cells_equals_all_pairs(spark):
+    import math
+    import random
+
+    from tallybox.operators import graph
+
+    random.seed(2)
+    rows = [(k % 3, k, random.uniform(-300, 300), random.uniform(-300, 300)) for k in range(120)]
+    df = spark.createDataFrame(rows, "image_id int, ann_id int, x double, y double")
+    got = {r["a"]: (r["b"], round(r["distance"], 9)) for r in graph.nearest(df, df, "image_id", "x", "y", "ann_id", 60.0).collect()}
+    want = {}
+    for g, k, x, y in rows:
+        near = min((math.dist((x, y), (u, v)), j) for h, j, u, v in rows if h == g and j != k)
+        if near[0] <= 60:
+            want[k] = (near[1], round(near[0], 9))
+    assert got == want
