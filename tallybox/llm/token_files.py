@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import shared_folder
+from tallybox.llm.common import shared_folder, written
 from tallybox.llm.tokens import ID, tokenizer
 
-END, SHARD = 2, 4_000_000
+END, SHARD, BROADCAST = 2, 4_000_000, 100_000
 #: Lengths of the four ranks of each control byte.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
@@ -141,7 +141,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/shards")
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(F.col("shard").alias("own"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each shard
+    base = written(totals.select(F.col("shard").alias("own"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "token-shards")  # a row for each shard
+    base = F.broadcast(base) if base.count() <= BROADCAST else base
 
     def decoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -151,7 +152,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
             parts = [found[x:y] for x, y in zip(stops, stops[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(parts, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
-    placed = rows.join(F.broadcast(base), F.col("shard") == F.col("own")).select("id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "control", "data")
+    placed = rows.join(base, F.col("shard") == F.col("own")).select("id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "control", "data")
     return placed.mapInArrow(decoded, f"id {rows.schema['id'].dataType.simpleString()}, start bigint, n_tokens bigint, ids binary")
 
 
