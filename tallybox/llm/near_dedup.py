@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tallybox.llm.common import WordHash, mix, window_hashes, written
 from tallybox.llm.components import connected_components
 
-ROWS, MISS, BLOCK = 5, 1e-10, 4_000_000
+ROWS, MISS, BLOCK, BROADCAST = 5, 1e-10, 4_000_000, 100_000
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -261,7 +261,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     pivots = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("least"))).alias("best")).select("key", (-F.col("best.least")).alias("pivot"))
     joined = written(members.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct(), "groups")
     heavy = joined.join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id").groupBy("pivot").agg(F.sum("n_shingles").alias("n")).select("pivot", F.ceil(F.col("n") / block).cast("int").alias("blocks")).where("blocks > 1")
-    split = joined.join(heavy, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    heavy = written(heavy, "heavy-groups")
+    n_heavy = heavy.count()
+    split = joined.join(F.broadcast(heavy) if n_heavy <= BROADCAST else heavy, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     split = written(split.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "blocks")
 
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -276,7 +278,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     own = known.join(texts, "id", "left_semi").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = written(_checked(with_text(seats), shingle, percent).unionByName(own), "links")
     roots = connected_components(links)
-    if not split.where("blocks > 1").isEmpty():
+    if n_heavy:
         many = split.where("blocks > 1")
         root_of = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
         left = many.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(root_of, "pivot", "left")
