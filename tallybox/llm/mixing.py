@@ -71,8 +71,9 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of ``df``, each as often as the plan takes it, with all its columns."""
     targets = source_targets(df.select(F.col(source_col).alias("source"), n_words(text_col).alias("size")))
-    joined = _beside(df, source_col, targets).withColumn("mix_copies", copies(F.col("mix_rate"), id_col, seed)).where("mix_copies > 0")
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*(df[c] for c in df.columns))
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))  # columns of any name
+    joined = _beside(rows, "source", targets).withColumn("copies", copies(F.col("mix_rate"), "id", seed)).where("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 ORACLE = rf"""

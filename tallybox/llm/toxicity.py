@@ -63,14 +63,21 @@ def hashed_words(texts: pa.Array) -> Iterator[np.ndarray]:
 
 def _followed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) to (word, before, in0, in1), a row for each distinct pair of words of a text; before is 0 for the first."""
+    def batch(parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(parts)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), *(pa.array(rows[:, k].astype(np.int8)) for k in (2, 3))], ["word", "before", "in0", "in1"])
+
     for b in it:
-        parts = []
+        parts, n = [], 0
         for toxic, h in zip(b.column(0).to_pylist(), hashed_words(b.column(1)), strict=True):
             pairs = np.unique(np.column_stack([h, np.r_[np.zeros(min(1, len(h)), np.uint64), h[:-1]]]), axis=0).view(np.int64)
             parts.append(np.column_stack([pairs, np.full((len(pairs), 2), [1 - toxic, toxic])]))
+            n += len(pairs)
+            if n > 200_000:
+                yield batch(parts)
+                parts, n = [], 0
         if parts:
-            rows = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), *(pa.array(rows[:, k].astype(np.int8)) for k in (2, 3))], ["word", "before", "in0", "in1"])
+            yield batch(parts)
 
 
 @dataclass
@@ -176,16 +183,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     return model
 
 
-_SENT: dict[int, Broadcast] = {}
+_SENT: list[Broadcast] = []
 
 
 def _broadcast(spark: SparkSession, model: Model) -> Broadcast:
     """The model for the tasks; copies on the executors of models sent before are dropped, and sent again if they are asked for."""
-    for old in _SENT.values():
-        old.unpersist()
-    _SENT.clear()
-    sent = _SENT[id(model)] = spark.sparkContext.broadcast(model)
-    return sent
+    while _SENT:
+        _SENT.pop().unpersist()
+    _SENT.append(spark.sparkContext.broadcast(model))
+    return _SENT[-1]
 
 
 def score_texts(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -600,3 +600,58 @@ def test_best_fit_and_closing_against_plain_lists(lengths, most):
             if len(opened) > most:
                 opened.remove(min(reversed(opened), key=lambda b: b[1]))
     assert packing.pack(lengths, 64, most)[0] == bins
+
+
+def test_kneser_ney_against_plain_counts(spark):
+    """Probabilities from plain dictionaries; both distributions sum to one over all words and the unknown one."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in (rng.zipf(1.6, 30) % 40)) + (" you idiot" * (i % 3) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), discount=2.0)
+    seen = [defaultdict(set), defaultdict(set)]
+    for i, text, toxic in rows:
+        if zlib.crc32(str(i).encode()) % 3 == 1 or int(hashlib.md5(str(i).encode()).hexdigest()[-1], 16) < 3:
+            continue
+        words = text.split()
+        for before, w in zip([None, *words], words, strict=False):
+            seen[toxic][w].add(before)
+    every = set(seen[0]) | set(seen[1])
+    count = [sum(map(len, s.values())) for s in seen]
+    floor = 1.0 / min(count)
+    common = {w: min(len(seen[k].get(w, ())) / count[k] for k in (0, 1)) + floor for w in every}
+    whole = sum(common.values()) + floor
+    freed = [sum(min(len(x), 2) for x in s.values()) / n for s, n in zip(seen, count, strict=True)]
+    p = [{w: max(len(seen[k].get(w, ())) - 2, 0) / count[k] + freed[k] * common.get(w, floor) / whole for w in [*every, None]} for k in (0, 1)]
+    assert sum(p[0].values()) == pytest.approx(1) and sum(p[1].values()) == pytest.approx(1)
+    import xxhash
+
+    for w in [*every, "never"]:
+        got = model.of_words(np.array([xxhash.xxh64_intdigest(w)], np.uint64))[0]
+        w = w if w in every else None
+        assert got == pytest.approx(math.log(p[1][w] / p[0][w]))
+    e = [math.log(p[1][w] / p[0][w]) for w in "w1 idiot w2 w3".split()]
+    import pyarrow as pa
+
+    got = model.features(next(toxicity.hashed_words(pa.array(["W1, idiot w2 -- w3."]))))
+    assert got == pytest.approx((max(sum(e[k : k + 2]) / 2 for k in range(3)), sum(e) / 4))
+
+
+def test_toxic_rows_go_and_odd_rows_stay(spark, odd):
+    rows = [(i, "fine words here" if i % 2 else "you idiot there", None, None, i % 2, None, None, None, 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).unionByName(odd)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, discount=0.75)
+    scores = {(r["doc_id"], r["score"]) for r in toxicity.score_texts(docs, model).collect()}
+    low = {i for i, s in scores if s < toxicity.THRESHOLD}
+    out = toxicity.drop_toxic(docs, model)
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} <= low
+    assert toxicity.drop_toxic(spark.createDataFrame([], SCHEMA), model).collect() == []
+    assert toxicity.drop_toxic(docs, toxicity.fit(docs, labels.limit(0))).count() == docs.count()
+
+
+def test_mixing_with_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(i, "a b c", f"s{i % 3}", i, "x", 2) for i in range(30)], "doc_id bigint, text string, source string, mix_size int, mix_source string, mix_copies int")
+    plan = {r["doc_id"]: r["copies"] for r in mixing.mix_plan(df).collect()}
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    assert Counter(r["doc_id"] for r in out.collect()) == {i: n for i, n in plan.items() if n}
