@@ -48,7 +48,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def coded_words(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+def coded_words(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """Slices of a column of texts, of some ``size`` bytes, as (distinct words, code of each word, ends).
 
     Row k of a slice has the codes from ``ends[k]`` to ``ends[k + 1]``. Texts are cut at

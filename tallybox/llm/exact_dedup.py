@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybox.llm.common import text_of, written
+from tallybox.llm.tokens import forget
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -64,6 +65,7 @@ def slot_of(key: Column, depth: int) -> Column:
 
 def _merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, key, id, n_chars, norm) to (bucket, key, n, n_chars, id, norm): equal texts of a batch are one row before they move."""
+    forget()
     for b in it:
         first: dict[str, list] = {}
         for at, (own, n, norm) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):

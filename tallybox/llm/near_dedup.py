@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tallybox.llm.common import WordHash, mix, window_hashes, written
 from tallybox.llm.components import connected_components
+from tallybox.llm.tokens import forget
 
 ROWS, MISS, BLOCK, BROADCAST = 5, 1e-10, 4_000_000, 100_000
 
@@ -81,6 +82,7 @@ def _signed(df: DataFrame, shingle: int, signer: Signer) -> DataFrame:
     """(id, text) to (id, n_shingles, k1, k2, keys): k1 and k2 identify the set, null if it is empty."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes = WordHash()
         for b in it:
             n, k1, k2, keys = [], [], [], []

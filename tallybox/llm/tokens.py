@@ -114,6 +114,11 @@ class WordTokenizer:
 _LOADED: dict[str, WordTokenizer] = {}
 
 
+def forget() -> None:
+    """Give up the tokenizers of this worker: called by operators that don't need them, as Spark uses workers again."""
+    _LOADED.clear()
+
+
 def tokenizer(path: str | None = None) -> WordTokenizer:
     """The tokenizer of a file, loaded once in each Python worker."""
     if path is None:

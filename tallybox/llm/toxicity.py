@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybox.llm.common import coded_words, text_of, written
+from tallybox.llm.tokens import forget
 
 PER_CLASS = 10_000
 DISCOUNT, FLOOR, RUN, THRESHOLD = 3.0, 1.0, 2, 0.7
@@ -67,6 +68,7 @@ def _followed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(parts)
         return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), *(pa.array(rows[:, k].astype(np.int8)) for k in (2, 3))], ["word", "before", "in0", "in1"])
 
+    forget()
     for b in it:
         parts, n = [], 0
         for toxic, h in zip(b.column(0).to_pylist(), hashed_words(b.column(1)), strict=True):
@@ -202,6 +204,7 @@ def score_texts(df: DataFrame, model: Model | None, id_col: str = "doc_id", text
     sent = _broadcast(df.sparkSession, model)  # words of the bounded sample
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(b.column(1)), pa.float64())], ["id", "score"])
 
@@ -217,6 +220,7 @@ def drop_toxic(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     at = df.columns.index(text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in it:
             yield b.filter(pa.array([s < threshold for s in sent.value.scores(b.column(at))], pa.bool_()))
 
