@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,34 @@ def coded_words(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[list[str
         at = to
 
 
+def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """From here on at most so many rows of the session go to Python at once: texts are long, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def give_back() -> None:
+    """Return what this worker's allocators hold and don't use to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving memory back when a task ends: Spark keeps the worker, and an idle one counts as well."""
+
+    @functools.wraps(run)
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(it)
+        finally:
+            give_back()
+
+    return task
+
+
 class WordHash:
     """64-bit hashes of words, remembered in a table of bounded size."""
 

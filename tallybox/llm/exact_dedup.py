@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybox.llm.common import text_of, written
+from tallybox.llm.common import lean, text_of, written
 from tallybox.llm.tokens import forget
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -144,9 +144,9 @@ def find_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     def routed(found: DataFrame) -> DataFrame:
         return found.withColumn("slot", slot_of(F.col("key"), depth)).join(directory, "slot").drop("slot") if depth else found.withColumn("bucket", F.lit(0))
 
-    sent = routed(rows).select("bucket", "key", "id", "n_chars", "norm").mapInArrow(_merged, f"bucket int, key bigint, n bigint, n_chars bigint, id {kind}, norm string")
+    sent = routed(rows).select("bucket", "key", "id", "n_chars", "norm").mapInArrow(lean(_merged), f"bucket int, key bigint, n bigint, n_chars bigint, id {kind}, norm string")
     owned = sent.repartition("bucket").sortWithinPartitions("bucket", "key")
-    chains = written(owned.mapInArrow(_chained, f"key bigint, sha string, group_size bigint, keep_id {kind}"), "hash-chains")
+    chains = written(owned.mapInArrow(lean(_chained), f"key bigint, sha string, group_size bigint, keep_id {kind}"), "hash-chains")
 
     large = F.col("group_size") > max(1_000, entries.count() // hot)
     near = entries.join(F.broadcast(chains.where(large)), ["key", "sha"], "left")  # ``hot`` rows at most

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import WordHash, mix, window_hashes, written
+from tallybox.llm.common import WordHash, lean, mix, short_batches, window_hashes, written
 from tallybox.llm.components import connected_components
 from tallybox.llm.tokens import forget
 
@@ -100,7 +100,7 @@ def _signed(df: DataFrame, shingle: int, signer: Signer) -> DataFrame:
                     keys.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.binary())], ["id", "n_shingles", "k1", "k2", "keys"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n_shingles bigint, k1 bigint, k2 bigint, keys binary")
+    return df.mapInArrow(lean(run), f"id {df.schema['id'].dataType.simpleString()}, n_shingles bigint, k1 bigint, k2 bigint, keys binary")
 
 
 def _buckets(classes: DataFrame, bands: int) -> DataFrame:
@@ -111,7 +111,7 @@ def _buckets(classes: DataFrame, bands: int) -> DataFrame:
             keys = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands)))], ["key", "id"])
 
-    return classes.select("rep", "keys").mapInArrow(run, "key bigint, id bigint")
+    return classes.select("rep", "keys").mapInArrow(lean(run), "key bigint, id bigint")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -238,7 +238,7 @@ def _checked(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], ["a", "b"])
 
     dealt = rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "role", "id")
-    return dealt.select("pivot", "block", "role", "id", "text").mapInArrow(run, "a bigint, b bigint")
+    return dealt.select("pivot", "block", "role", "id", "text").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -247,6 +247,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     percent: pairs link if 100 * intersection >= percent * union. block: shingles that a
     task holds of a group, about; larger groups are checked in several blocks.
     """
+    short_batches(df.sparkSession)
     signer = Signer(bands or bands_for(percent, rows), rows)
     if df.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError(f"{id_col} must hold integers")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import written
+from tallybox.llm.common import lean, short_batches, written
 from tallybox.llm.tokens import ID, tokenizer
 
 LENGTH, END, OPEN_BINS, GROUP = 4096, 1, 2_560, 40_000
@@ -84,11 +84,12 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))], ["id", "piece", "start", "length", "ids_crc32"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, open_bins: int = OPEN_BINS, group: int = GROUP, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset; see the module."""
+    short_batches(df.sparkSession)
     cut = written(pieces(df, id_col, text_col, length, end, vocabulary), "pieces")
     groups = max(1, -(-cut.count() // group))
 

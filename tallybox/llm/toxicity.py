@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import coded_words, text_of, written
+from tallybox.llm.common import coded_words, lean, short_batches, text_of, written
 from tallybox.llm.tokens import forget
 
 PER_CLASS = 10_000
@@ -152,6 +152,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, discount: float = DISCOUNT) -> Model | None:
     """The model of a bounded sample of labelled rows; None unless both classes have some."""
+    short_batches(df.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("own")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("toxic"))
     if known.select("toxic").distinct().count() < 2:
@@ -162,7 +163,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     sample = df.select(F.col(id_col).alias("own"), text_of(text_col).alias("text")).join(chosen, "own")
     sample = written(sample.select("toxic", "text", (F.conv(F.substring(order, 32, 1), 16, 10).cast("int") < 3).alias("fits")), "toxic-sample")
 
-    pairs = sample.where(~F.col("fits")).select("toxic", "text").mapInArrow(_followed, "word bigint, before bigint, in0 tinyint, in1 tinyint")
+    pairs = sample.where(~F.col("fits")).select("toxic", "text").mapInArrow(lean(_followed), "word bigint, before bigint, in0 tinyint, in1 tinyint")
     pairs = pairs.groupBy("word", "before").agg(F.max("in0").alias("in0"), F.max("in1").alias("in1"))
     words = written(pairs.groupBy("word").agg(F.sum("in0").alias("n0"), F.sum("in1").alias("n1")), "toxic-words")
     every = words.agg(*(f(c) for c in ("n0", "n1") for f in (F.sum, lambda c: F.sum(F.least(F.col(c), F.lit(discount))))), F.count("*")).first()
@@ -179,7 +180,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             found = np.array([sent.value.features(h) for h in hashed_words(b.column(1))]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["toxic", "best", "whole"])
 
-    fitted = sample.where("fits").select("toxic", "text").mapInArrow(features, "toxic int, best double, whole double").toPandas().sort_values(["toxic", "best", "whole"])  # a part of the sample
+    fitted = sample.where("fits").select("toxic", "text").mapInArrow(lean(features), "toxic int, best double, whole double").toPandas().sort_values(["toxic", "best", "whole"])  # a part of the sample
     sent.destroy()
     model.curve = fit_curve(fitted[["best", "whole"]].to_numpy(), fitted["toxic"].to_numpy())
     return model
@@ -208,7 +209,7 @@ def score_texts(df: DataFrame, model: Model | None, id_col: str = "doc_id", text
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(b.column(1)), pa.float64())], ["id", "score"])
 
-    scored = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    scored = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, score double")
     return scored.withColumnRenamed("id", id_col)
 
 
@@ -216,6 +217,7 @@ def drop_toxic(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """The rows whose score is below the threshold, with all their columns, judged where they lie."""
     if model is None:
         return df
+    short_batches(df.sparkSession)
     sent = _broadcast(df.sparkSession, model)
     at = df.columns.index(text_col)
 
@@ -224,7 +226,7 @@ def drop_toxic(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for b in it:
             yield b.filter(pa.array([s < threshold for s in sent.value.scores(b.column(at))], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
