@@ -7,12 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallybox.llm import components, exact_dedup, html_text, license_scan, mixing, near_dedup, packing, quality, secret_scan, token_files, tokens, toxicity
+from tallybox.llm import common, components, exact_dedup, html_text, license_scan, mixing, near_dedup, packing, quality, secret_scan, token_files, tokens, toxicity
 from tallybox.llm.common import WordHash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, key string, norm string, n int"
@@ -655,3 +656,29 @@ def test_mixing_with_columns_of_its_own_names(spark):
     out = mixing.mixed(df)
     assert out.columns == df.columns
     assert Counter(r["doc_id"] for r in out.collect()) == {i: n for i, n in plan.items() if n}
+
+
+def test_tasks_give_memory_back_and_pass_all_batches():
+    ended = []
+
+    def run(it):
+        for b in it:
+            yield b.slice(0, 1)
+        ended.append(True)
+
+    batches = [pa.RecordBatch.from_pydict({"a": [k, k]}) for k in range(3)]
+    assert [b.column(0).to_pylist() for b in common.lean(run)(iter(batches))] == [[0], [1], [2]]
+    assert ended == [True]
+    assert list(common.lean(run)(iter([]))) == []
+
+
+def test_batches_only_get_shorter(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for old, new in (("10000", "2000"), ("500", "500"), ("0", "2000"), ("-1", "2000")):
+            spark.conf.set(name, old)
+            common.short_batches(spark)
+            assert spark.conf.get(name) == new
+    finally:
+        spark.conf.set(name, before)
