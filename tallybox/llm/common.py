@@ -50,7 +50,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def coded_words(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+def coded_words(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """Slices of a column of texts, of some ``size`` bytes, as (distinct words, code of each word, ends).
 
     Row k of a slice has the codes from ``ends[k]`` to ``ends[k + 1]``. Texts are cut at
@@ -85,11 +85,21 @@ def give_back() -> None:
         trim(0)
 
 
+@functools.cache
+def return_large_blocks(size: int = 1 << 18) -> None:
+    """From here on this worker gets blocks above ``size`` from the system and returns them when they are freed; its pools keep small ones only."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option is not None:
+        set_option(-3, size)  # M_MMAP_THRESHOLD: fixed, where the C library would raise it to the largest block freed
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, giving memory back when a task ends: Spark keeps the worker, and an idle one counts as well."""
+    """``run``, giving memory back during a task and when it ends: Spark keeps the worker, and an idle one counts as well."""
 
     @functools.wraps(run)
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_large_blocks()
         try:
             yield from run(it)
         finally:

@@ -38,7 +38,7 @@ def byte_letters() -> list[str]:
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
