@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallybox.llm import exact_dedup, html_text, license_scan, mixing, near_dedup, packing, quality, secret_scan, token_files, toxicity
+from tallybox.llm import exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, packing, quality, secret_scan, token_files, toxicity, vector_codes, whitening
 from tallybox.llm.common import table
 
 
@@ -51,9 +51,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.match_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).drop("distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_token_files, op7_mixing, op8_quality_rules, op9_exact_dedup, op10_license_scan)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_token_files, op7_mixing, op8_quality_rules, op9_exact_dedup, op10_license_scan, op11_language_id, op12_vector_codes, op13_whitening)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": license_scan.oracle()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": license_scan.oracle(), "op12_vector_codes": vector_codes.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
