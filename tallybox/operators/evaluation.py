@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybox.functions import metrics
+from tallybox.operators.ordered import scan
 
 
 def outcome_counts(matches: DataFrame, *by: str) -> DataFrame:
@@ -25,18 +26,16 @@ def precision_recall(matches: DataFrame, *by: str, empty: float | None = None) -
 def pr_curve(detections: DataFrame, positives: DataFrame, *by: str) -> DataFrame:
     """Running precision and recall of detections (by, conf, ann_id, tp) by falling confidence.
 
-    positives: (by, n_gt). Ties follow the id.
+    positives: (by, n_gt). Ties follow the id. A group of any size is ordered in many ranges.
     """
-    w = Window.partitionBy(*by).orderBy(F.desc("conf"), "ann_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = detections.withColumn("tps", F.sum("tp").over(w)).withColumn("seen", F.count("*").over(w))
+    run = scan(detections.withColumn("low_", -F.col("conf")), list(by), ["low_", "ann_id"], {"tps": F.col("tp"), "seen": F.lit(1)})
     return run.join(positives, list(by)).select(*by, "ann_id", "conf", (F.col("tps") / F.col("n_gt")).alias("recall"), (F.col("tps") / F.col("seen")).alias("precision"))
 
 
 def trapezoid(points: DataFrame, *by: str, x: str = "x", y: str = "y") -> DataFrame:
     """Area under y(x) per group; of equal x the largest y counts. One point has no area."""
-    top = points.groupBy(*by, x).agg(F.max(y).alias(y))
-    w = Window.partitionBy(*by).orderBy(x)
-    dx, mean = F.col(x) - F.lag(x).over(w), (F.col(y) + F.lag(y).over(w)) / 2
+    top = scan(points.groupBy(*by, x).agg(F.max(y).alias(y)), list(by), [x], lags={"x_": x, "y_": y})
+    dx, mean = F.col(x) - F.col("x_"), (F.col(y) + F.col("y_")) / 2
     return top.withColumn("part", F.coalesce(dx * mean, F.lit(0.0))).groupBy(*by).agg(F.sum("part").alias("area"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybox.functions import boxes
@@ -17,10 +17,10 @@ def match(gt: DataFrame, pred: DataFrame, threshold: float = 0.2, cell: int | No
     best is matched. A prediction that loses isn't matched to another.
     """
     pairs = overlap_join(gt, pred, cell=cell).select("image_id", F.col("a_ann_id").alias("idx_1"), F.col("b_ann_id").alias("idx_2"), boxes.iou("a_", "b_").alias("iou"))
-    named = Window.partitionBy("image_id", "idx_2").orderBy(F.desc("iou"), "idx_1")
-    taken = Window.partitionBy("image_id", "idx_1").orderBy(F.desc("iou"), F.desc("idx_2"))
-    best = pairs.withColumn("r", F.row_number().over(named)).where((F.col("r") == 1) & (F.col("iou") > threshold))
-    return best.withColumn("r", F.row_number().over(taken)).where("r = 1").drop("r")
+    # the best of a few columns is an aggregate, which meets its rows before the shuffle; no sort of all pairs
+    named = pairs.groupBy("image_id", "idx_2").agg(F.min(F.struct((-F.col("iou")).alias("low"), "idx_1")).alias("n")).where(-F.col("n.low") > threshold)
+    taken = named.groupBy("image_id", F.col("n.idx_1").alias("idx_1")).agg(F.min(F.struct("n.low", (-F.col("idx_2")).alias("last"))).alias("m"))
+    return taken.select("image_id", "idx_1", (-F.col("m.last")).alias("idx_2"), (-F.col("m.low")).alias("iou"))
 
 
 def match_table(gt: DataFrame, pred: DataFrame, threshold: float = 0.2) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybox.functions.normal import normal_quantile
+from tallybox.operators.ordered import numbered
+
 PRIME = 2147483647
 
 
@@ -36,32 +42,73 @@ def content_split(content: Column, p: float = 0.15) -> Column:
     return F.when(content_share(content) < p, "val").otherwise("train")
 
 
-def numbered(df: DataFrame, order: list, *by: str, name: str = "i") -> DataFrame:
-    """Rows numbered from 0 in each group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+def _unit(key: Column, block: Column, k: int) -> Column:
+    """The k-th of four numbers in [0, 1) from the md5 sum of a row's key and a block number."""
+    return F.conv(F.substring(F.md5(F.concat_ws("#", key, block.cast("string"))), 8 * k + 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def outcome_bootstrap(counts: DataFrame, replicates: int, *by: str) -> DataFrame:
-    """(by, tp, fp, fn) to one row per group and replicate, as many draws with replacement as rows.
+#: Chances that a Poisson count of mean 1 is at most 0, 1, ...; what is beyond the last has no place among 2^32 draws.
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13))
 
-    The rows of a group need not be joined: a drawn number below tp is a TP, and so on.
-    Replicates and slots are generated in parallel.
-    """
-    n = F.col("tp") + F.col("fp") + F.col("fn")
-    rep = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    slots = rep.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))).withColumn("d", draw(n, F.col("rep"), F.col("slot")))
-    hit = lambda low, high: F.count_if((F.col("d") >= low) & (F.col("d") < high))
-    return slots.groupBy(*by, "rep").agg(hit(F.lit(0), F.col("tp")).alias("tp"), hit(F.col("tp"), F.col("tp") + F.col("fp")).alias("fp"), hit(F.col("tp") + F.col("fp"), n).alias("fn"))
 
+def poisson(u: Column, mean: Column | None = None) -> Column:
+    """The Poisson count (mean 1 by default) at which the distribution reaches u, by its terms one after the other.
 
-def row_bootstrap(df: DataFrame, replicates: int, order: list, *by: str) -> DataFrame:
-    """Rows of each group drawn with replacement, by an equi-join on generated row numbers."""
-    rows = numbered(df, order, *by)
-    n = df.groupBy(*by).agg(F.count("*").alias("n"))
-    rep = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    slots = rep.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    drawn = slots.select(*by, "rep", draw(F.col("n"), F.col("rep"), F.col("slot")).alias("i"))
-    return drawn.join(rows, [*by, "i"])
+    Means above 500 are rounded normal variates, whose difference from Poisson counts is far below that of two draws.
+    """
+    if mean is None:
+        return sum((u >= c).cast("int") for c in POISSON)
+    first = F.exp(-mean)
+    terms = F.sequence(F.lit(1), F.ceil(mean + 10 * F.sqrt(mean) + 20).cast("int"))
+    # up: the chance of the count so far; n stays once u is below it
+    step = lambda s, k: F.struct((s["p"] * mean / k).alias("p"), (s["c"] + s["p"] * mean / k).alias("c"), (s["n"] + (u >= s["c"]).cast("int")).alias("n"))
+    small = F.aggregate(terms, F.struct(first.alias("p"), first.alias("c"), F.lit(0).alias("n")), step, lambda s: s["n"])
+    return F.when(mean <= 0, 0).when(mean <= 500, small).otherwise(F.greatest(F.lit(0), F.floor(mean + F.sqrt(mean) * normal_quantile(F.greatest(u, F.lit(1e-10))) + 0.5).cast("int")))
+
+
+def replicate_sums(df: DataFrame, key: Column, replicates: int, values: dict[str, Column], *by: str, weight: Column | None = None) -> DataFrame:
+    """(by, rep, values): sums of the values over bootstrap replicates of every group.
+
+    A replicate takes each row a Poisson number of times with mean 1, drawn from a hash of the
+    row's key and the replicate, which is what many draws with replacement come to for each
+    row. So a replicate is a sum that tasks add up where the rows lie: no slots to draw for,
+    no numbering and no join, whatever the size of a group, and rows of one key are drawn
+    together. Four replicates share a hash.
+
+    weight: rows are drawn in proportion to it, with the mean n * weight / (the group's weight);
+    rows with a null weight, and groups without weight, are left out.
+    """
+    rows = df
+    if weight is not None:
+        rows = df.withColumn("w_", weight.cast("double")).where("w_ IS NOT NULL")
+        scale = rows.groupBy(*(F.col(c).alias(f"k_{c}") for c in by)).agg(F.try_divide(F.count("*"), F.sum("w_")).alias("per_")).where("per_ IS NOT NULL")
+        same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"k_{c}")), by, F.lit(True))
+        rows = rows.join(scale, same).drop(*(f"k_{c}" for c in by))
+    rows = rows.select(*by, key.cast("string").alias("key_"), (F.col("w_") * F.col("per_")).alias("mean_") if weight is not None else F.lit(None).cast("double").alias("mean_"), *(c.alias(f"v_{n}") for n, c in values.items()))
+    blocks = rows.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
+    mean = None if weight is None else F.col("mean_")
+    drawn = blocks.withColumns({f"n{k}_": poisson(_unit(F.col("key_"), F.col("block_"), k), mean) for k in range(4)})
+    sums = drawn.groupBy(*by, "block_").agg(*(F.sum(F.col(f"n{k}_") * F.col(f"v_{n}")).alias(f"s{k}_{n}") for k in range(4) for n in values))
+    each = F.explode(F.array(*(F.struct((F.col("block_") * 4 + k).alias("rep"), *(F.col(f"s{k}_{n}").alias(n) for n in values)) for k in range(4))))
+    return sums.select(*by, each.alias("e")).select(*by, "e.*").where(F.col("rep") < replicates)
+
+
+def replicate_sql(rows: str, key: str, replicates: int, values: dict[str, str], *by: str, mean: str | None = None) -> str:
+    """The same as a query over a table expression; mean: of each row's Poisson count, small."""
+    u = f"('0x' || substr(md5(concat_ws('#', ({key})::VARCHAR, (rep // 4)::VARCHAR)), 8 * (rep % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    keys = ", ".join(by)
+    if mean is None:
+        n = "(" + " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in POISSON) + ")"
+    else:
+        n = "list_sum(list_transform(range(0, 60), lambda k: (u >= exp(-mean_) * list_sum(list_transform(range(0, k + 1), lambda j: pow(mean_, j) / gamma(j + 1))))::INT))"
+    drawn = f"SELECT *, {u} AS u FROM (SELECT *, unnest(range(0, {replicates}))::INT AS rep FROM (SELECT *{f', {mean} AS mean_' if mean else ''} FROM {rows}))"
+    return f"SELECT {keys}, rep, {', '.join(f'sum(n_ * ({v})) AS {c}' for c, v in values.items())} FROM (SELECT *, {n} AS n_ FROM ({drawn})) GROUP BY {keys}, rep"
+
+
+def outcome_bootstrap(matches: DataFrame, replicates: int, *by: str) -> DataFrame:
+    """(by, rep, tp, fp, fn) of bootstrap replicates of the rows of a match table."""
+    is_ = lambda k: (F.col("result") == k).cast("bigint")
+    return replicate_sums(matches, F.concat_ws(":", "idx_1", "idx_2"), replicates, {"tp": is_("TP"), "fp": is_("FP"), "fn": is_("FN")}, *by)
 
 
 def block_bootstrap(df: DataFrame, replicates: int, order: list, *by: str) -> DataFrame:

@@ -7,18 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybox.operators.ordered import scan
+
 
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def dense_ids(df: DataFrame, source: str, order: list, name: str = "id") -> DataFrame:
-    """Ids 1.. by source and order: counts per source give offsets, rows are numbered within their source."""
-    n = df.groupBy(source).agg(F.count("*").alias("n_"))
-    before = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = n.select(F.col(source).alias("of_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))  # a row for each source
-    own = df.withColumn("row_", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
-    return own.join(offsets, F.col(source) == F.col("of_")).withColumn(name, F.col("offset_") + F.col("row_")).drop("of_", "offset_", "row_")
+    """Ids 1.. by source and order, without gaps; null sources come first."""
+    return scan(df, [], [source, *order], {name: F.lit(1).cast("bigint")})
 
 
 def merge_datasets(images: DataFrame, annotations: DataFrame, source: str = "dataset") -> tuple[DataFrame, DataFrame]:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _ordered(by: tuple[str, ...], *order) -> Window:
-    return Window.partitionBy(*by).orderBy(*order)
+from tallybox.functions.normal import normal_cdf, normal_quantile
+from tallybox.operators.ordered import scan
 
 
 def quantile_summary(df: DataFrame, value: str, *by: str) -> DataFrame:
@@ -17,28 +16,35 @@ def quantile_summary(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), q).select(*by, "mean", *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
 
 
+def replicate_quantiles(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """The summary of bootstrap replicates: a group has as many rows as were drawn, so one buffer holds them."""
+    q = F.percentile(value, F.array(*map(F.lit, (0.025, 0.25, 0.5, 0.75, 0.975)))).alias("q")
+    names = ("lower", "q1", "median", "q3", "upper")
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), q).select(*by, "mean", *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
+
+
 def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: tuple[float, ...], *by: str) -> DataFrame:
-    """Quantiles at positions (cumulative weight) / (n + 1), weights scaled to mean 1; ends are not extrapolated."""
-    every = Window.partitionBy(*by)
-    run = _ordered(by, value, weight).rowsBetween(Window.unboundedPreceding, 0)
-    w = F.col(weight) / F.avg(weight).over(every)
-    placed = df.withColumn("w_", w).withColumn("at_", F.sum("w_").over(run) / (F.count("*").over(every) + 1))
-    step = _ordered(by, "at_", value)
-    placed = placed.withColumns({"pv_": F.lag(value).over(step), "pa_": F.lag("at_").over(step), "next_": F.lead("at_").over(step)})
-    grid = placed.withColumn("p", F.explode(F.array(*map(F.lit, probs))))
-    at, v = F.col("at_"), F.col(value)
-    inside = (F.col("pa_") < F.col("p")) & (at >= F.col("p"))
-    first = F.col("pa_").isNull() & (at >= F.col("p"))
-    last = F.col("next_").isNull() & (at < F.col("p"))
-    hit = F.when(first | last, v).when(inside, F.col("pv_") + (v - F.col("pv_")) * (F.col("p") - F.col("pa_")) / (at - F.col("pa_")))
-    return grid.groupBy(*by, "p").agg(F.max(hit).alias("value"))
+    """Quantiles at positions (cumulative weight) / (n + 1), weights scaled to mean 1; ends are not extrapolated.
+
+    A row answers the probabilities between the position before it and its own, the first
+    row those before it too, the last row those behind it.
+    """
+    run = scan(df.select(*by, value, weight), list(by), [value, weight], {"run_": F.col(weight), "seen_": F.lit(1)}, {"pv_": value}, totals={"all_": F.col(weight), "n_": F.lit(1)})
+    step = F.col("n_") / F.col("all_") / (F.col("n_") + 1)
+    v, n = F.col(value), F.col("n_")
+    placed = run.withColumn("to_", F.col("run_") * step).withColumn("from_", F.col("to_") - F.col(weight) * step)
+    # a little room for what rounding takes from the positions; the first row that reaches a probability answers it
+    asked = F.filter(F.array(*map(F.lit, probs)), lambda p: ((F.col("to_") >= p) | (F.col("seen_") == n)) & ((F.col("from_") < p + 1e-9) | (F.col("seen_") == 1)))
+    grid = placed.withColumn("p", F.explode(asked))
+    reached, share = F.col("to_") >= F.col("p"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.col("p") - F.col("from_"), F.col("to_") - F.col("from_"))))
+    hit = F.when((F.col("seen_") == 1) | ~reached, v).otherwise(F.col("pv_") + (v - F.col("pv_")) * share)
+    return grid.groupBy(*by, "p").agg(F.min_by(hit, F.struct(~reached, "seen_")).alias("value"))
 
 
 def weighted_median(df: DataFrame, value: str, weight: str, *by: str) -> DataFrame:
     """The first value at which half of all weight is reached."""
-    run = _ordered(by, value, weight).rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum(weight).over(run) / F.sum(weight).over(Window.partitionBy(*by))
-    return df.withColumn("s_", share).where("s_ >= 0.5").groupBy(*by).agg(F.min(value).alias("median"))
+    run = scan(df.select(*by, value, weight), list(by), [value, weight], {"run_": F.col(weight)}, totals={"all_": F.col(weight)})
+    return run.where(F.col("run_") / F.col("all_") >= 0.5).groupBy(*by).agg(F.min(value).alias("median"))
 
 
 def outlier_flag(df: DataFrame, value: str, *by: str, reach: float = 1.5) -> DataFrame:
@@ -57,44 +63,34 @@ def weighted_outlier_flag(df: DataFrame, value: str, weight: str, *by: str, reac
 
 
 def quantile_ranges(df: DataFrame, q: str, *by: str) -> DataFrame:
-    """Half the way to the neighbours on each side, all the way to 0 and 1 at the ends."""
-    w = _ordered(by, q)
-    below, above = F.lag(q).over(w), F.lead(q).over(w)
-    left = F.when(below.isNull(), F.col(q)).otherwise((F.col(q) - below) * 0.5)
-    right = F.when(above.isNull(), 1 - F.col(q)).otherwise((above - F.col(q)) * 0.5)
-    return df.withColumn("range", left + right)
-
-
-def normal_cdf(x: Column) -> Column:
-    """Abramowitz and Stegun 7.1.26, within 1.5e-7."""
-    z = F.abs(x) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * z)
-    poly = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
-    return 0.5 * (1 + F.signum(x) * (1 - poly * F.exp(-z * z)))
+    """Half the way to the neighbours on each side, all the way to 0 and 1 at the ends; q is distinct in a group."""
+    near = scan(df, list(by), [q], lags={"below_": q}, leads={"above_": q})
+    left = F.when(F.col("below_").isNull(), F.col(q)).otherwise((F.col(q) - F.col("below_")) * 0.5)
+    right = F.when(F.col("above_").isNull(), 1 - F.col(q)).otherwise((F.col("above_") - F.col(q)) * 0.5)
+    return near.withColumn("range", left + right).drop("below_", "above_")
 
 
-def normal_quantile(p: Column) -> Column:
-    """Abramowitz and Stegun 26.2.23, within 4.5e-4."""
-    q = F.least(p, 1 - p)
-    t = F.sqrt(-2 * F.log(q))
-    z = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
-    return F.when(p < 0.5, -z).otherwise(z)
+def distribution(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, value, n, below): how often each distinct value comes and the share of the group's rows up to it."""
+    run = scan(df.groupBy(*by, value).agg(F.count("*").alias("n")), list(by), [value], {"run_": F.col("n")}, totals={"all_": F.col("n")})
+    return run.select(*by, value, "n", (F.col("run_") / F.col("all_")).alias("below"))
 
 
-def bca_interval(replicates: DataFrame, sample: DataFrame, value: str, *by: str, confidence: float = 0.95) -> DataFrame:
-    """Bias-corrected and accelerated interval of a mean, and the sign p-value (incorrect + 1) / (B + 1).
+def bca_interval(replicates: DataFrame, observed: DataFrame, *by: str, confidence: float = 0.95) -> DataFrame:
+    """Bias-corrected and accelerated interval of an estimate, and the sign p-value (incorrect + 1) / (B + 1).
 
-    replicates: (by, estimate). sample: (by, value), whose means without one row give the acceleration.
+    replicates: (by, estimate). observed: (by, y). The bias is the share of replicates below
+    their mean, the acceleration the skewness of their differences from it; the interval's ends
+    are quantiles of the replicates, interpolated linearly. Null estimates don't count.
+    Replicates of a group are as many as were drawn, so they fit one row.
     """
-    s = sample.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.avg(value).alias("y"))
-    d = sample.join(s, list(by)).withColumn("d", (F.col("s") - F.col(value)) / (F.col("n") - 1))
-    mean = Window.partitionBy(*by)
-    d = d.withColumn("u", F.avg("d").over(mean) - F.col("d")).groupBy(*by).agg(F.sum(F.pow("u", F.lit(3))).alias("u3"), F.sum(F.pow("u", F.lit(2))).alias("u2"))
-    acc = d.select(*by, F.coalesce(F.try_divide("u3", 6 * F.pow("u2", F.lit(1.5))), F.lit(0.0)).alias("a"))
-    r = replicates.join(s.select(*by, "y"), list(by))
-    n = r.groupBy(*by).agg(F.first("y").alias("y"), F.count("*").alias("b"), F.count_if(F.col("estimate") < F.col("y")).alias("below"), *(F.count_if(F.signum("estimate") == k).alias(c) for k, c in ((-1, "neg"), (0, "zero"), (1, "pos"))), F.sort_array(F.collect_list("estimate")).alias("all"))
-    z0 = normal_quantile(F.greatest(F.least(F.col("below") / F.col("b"), 1 - 0.5 / F.col("b")), 0.5 / F.col("b")))
-    n = n.join(acc, list(by)).withColumn("z0", z0)
+    r = replicates.where("estimate IS NOT NULL")
+    n = r.groupBy(*by).agg(F.avg("estimate").alias("m"), F.count("*").alias("b"), *(F.count_if(F.signum("estimate") == k).alias(c) for k, c in ((-1, "neg"), (0, "zero"), (1, "pos"))), F.sort_array(F.collect_list("estimate")).alias("all"))
+    u = F.transform("all", lambda e: F.col("m") - e)
+    power = lambda k: F.aggregate(u, F.lit(0.0), lambda s, x: s + F.pow(x, F.lit(float(k))))
+    below = F.size(F.filter("all", lambda e: e < F.col("m")))
+    share = F.greatest(F.least(below / F.col("b"), 1 - 0.5 / F.col("b")), 0.5 / F.col("b"))
+    n = n.withColumns({"z0": normal_quantile(share), "a": F.coalesce(F.try_divide(power(3), 6 * F.pow(power(2), F.lit(1.5))), F.lit(0.0))}).join(observed, list(by))
 
     def end(p: float) -> Column:
         z = F.col("z0") + normal_quantile(F.lit(p))

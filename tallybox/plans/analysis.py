@@ -6,51 +6,71 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybox.functions import boxes, contours, metrics, names
+from tallybox.functions.normal import normal_cdf_sql, normal_quantile_sql
 from tallybox.operators import evaluation as E
 from tallybox.operators import graph, naming, reshape, spatial, tiles
 from tallybox.operators import resample as R
 from tallybox.operators import statistics as S
+from tallybox.operators.ordered import scan
 from tallybox.plans.detection import rounded
 from tallybox.plans.tables import MATCHES, Tables, query
 
-COUNTS_SQL = "cnt AS (SELECT dataset, count(*) FILTER (result = 'TP') AS tp, count(*) FILTER (result = 'FP') AS fp, count(*) FILTER (result = 'FN') AS fn FROM matches GROUP BY dataset)"
-BOOT_SQL = f"""WITH {COUNTS_SQL}, slots AS (SELECT *, tp + fp + fn AS n, unnest(range(0, 20)) AS rep FROM cnt), drawn AS (SELECT dataset, rep, tp, fp, fn, {R.draw_sql('n', 'rep', 'slot')} AS d FROM (SELECT *, unnest(range(0, n)) AS slot FROM slots)),
-boot AS (SELECT dataset, rep, count(*) FILTER (d < tp) AS tp, count(*) FILTER (d >= tp AND d < tp + fp) AS fp, count(*) FILTER (d >= tp + fp) AS fn FROM drawn GROUP BY dataset, rep)"""
+#: Experiments: scores of short tables under leave-out runs, from lineitem.
+RUNS = """runs AS (
+  SELECT 's' || (l_suppkey % 5) AS short, 's' || (l_partkey % 5) AS lft, 's' || (l_orderkey % 5) AS rgt, avg(l_discount) * 5 AS f1, avg(l_quantity) / 100 AS p FROM lineitem GROUP BY ALL
+), cube AS (SELECT * FROM runs WHERE lft <= rgt UNION ALL SELECT 's' || (l_suppkey % 5), NULL, NULL, avg(l_discount) * 5, avg(l_quantity) / 100 FROM lineitem GROUP BY 1)"""
+
+RATES_SQL = "m AS (SELECT dataset, 'f1' AS metric, 2 * tp / nullif(2 * tp + fp + fn, 0) AS v FROM boot UNION ALL SELECT dataset, 'precision', tp / nullif(tp + fp, 0) FROM boot UNION ALL SELECT dataset, 'recall', tp / nullif(tp + fn, 0) FROM boot)"
+BOOT_SQL = "WITH boot AS (" + R.replicate_sql("matches", "concat_ws(':', idx_1, idx_2)", 20, {k.lower(): f"(result = '{k}')::BIGINT" for k in ("TP", "FP", "FN")}, "dataset") + ")"
 
 
 @query(BOOT_SQL + " SELECT * FROM boot", MATCHES)
 def outcome_bootstrap(t: Tables) -> DataFrame:
-    return R.outcome_bootstrap(E.outcome_counts(t.matches, "dataset"), 20, "dataset")
+    return R.outcome_bootstrap(t.matches, 20, "dataset")
 
 
-@query(BOOT_SQL + """, m AS (SELECT dataset, 'f1' AS metric, 2 * tp / nullif(2 * tp + fp + fn, 0) AS v FROM boot UNION ALL SELECT dataset, 'precision', tp / nullif(tp + fp, 0) FROM boot UNION ALL SELECT dataset, 'recall', tp / nullif(tp + fn, 0) FROM boot)
+@query(BOOT_SQL + f""", {RATES_SQL}
 SELECT dataset, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(quantile_cont(v, 0.975), 6) AS upper FROM m GROUP BY dataset, metric""", MATCHES)
 def bootstrap_metrics(t: Tables) -> DataFrame:
     """Mean and quantiles of F1, precision and recall over replicates."""
-    b = R.outcome_bootstrap(E.outcome_counts(t.matches, "dataset"), 20, "dataset")
+    b = R.outcome_bootstrap(t.matches, 20, "dataset")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     m = b.select("dataset", metrics.f1(tp, fp, fn).alias("f1"), metrics.precision(tp, fp, None).alias("precision"), metrics.recall(tp, fn, None).alias("recall"))
     long = m.unpivot(["dataset"], ["f1", "precision", "recall"], "metric", "v")
-    return rounded(S.quantile_summary(long, "v", "dataset", "metric"), "mean", "lower", "q1", "median", "q3", "upper")
+    return rounded(S.replicate_quantiles(long, "v", "dataset", "metric"), "mean", "lower", "q1", "median", "q3", "upper")
 
 
 ORDERS = "o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)"
 
 
-@query(f"WITH {ORDERS}, g AS (SELECT DISTINCT o_orderpriority, n FROM o), s AS (SELECT *, unnest(range(0, n)) AS slot FROM (SELECT *, unnest(range(0, 10)) AS rep FROM g)), d AS (SELECT o_orderpriority, rep, {R.draw_sql('n', 'rep', 'slot')} AS i FROM s), m AS (SELECT o_orderpriority, rep, avg(o_totalprice) AS estimate FROM d JOIN o USING (o_orderpriority, i) GROUP BY ALL) SELECT o_orderpriority, round(avg(estimate), 2) AS y, round(quantile_cont(estimate, 0.025), 2) AS ymin, round(quantile_cont(estimate, 0.975), 2) AS ymax FROM m GROUP BY ALL", "one AS (SELECT 1)")
+@query("WITH b AS (" + R.replicate_sql("orders", "o_orderkey", 10, {"s": "o_totalprice", "n": "1"}, "o_orderpriority") + "), e AS (SELECT o_orderpriority, s / n AS estimate FROM b) SELECT o_orderpriority, round(avg(estimate), 2) AS y, round(quantile_cont(estimate, 0.025), 2) AS ymin, round(quantile_cont(estimate, 0.975), 2) AS ymax FROM e GROUP BY ALL", "one AS (SELECT 1)")
 def mean_band(t: Tables) -> DataFrame:
     """Bootstrapped mean with a percentile interval."""
-    b = R.row_bootstrap(t("orders"), 10, ["o_orderkey"], "o_orderpriority")
-    m = b.groupBy("o_orderpriority", "rep").agg(F.avg("o_totalprice").alias("estimate"))
-    q = F.percentile("estimate", F.array(F.lit(0.025), F.lit(0.975)))
-    return m.groupBy("o_orderpriority").agg(F.round(F.avg("estimate"), 2).alias("y"), F.round(q[0], 2).alias("ymin"), F.round(q[1], 2).alias("ymax"))
+    b = R.replicate_sums(t("orders"), F.col("o_orderkey"), 10, {"s": F.col("o_totalprice"), "n": F.lit(1)}, "o_orderpriority")
+    q = S.replicate_quantiles(b.withColumn("estimate", F.try_divide("s", "n")), "estimate", "o_orderpriority")
+    return q.select("o_orderpriority", *(F.round(a, 2).alias(n) for a, n in (("mean", "y"), ("lower", "ymin"), ("upper", "ymax"))))
 
 
-@query()
+def _bca_sql(p: float) -> str:
+    """An end of the interval, from z0, a, b and the sorted replicates."""
+    z = f"(z0 + {normal_quantile_sql(repr(p))})"
+    at = f"({normal_cdf_sql(f'(z0 + {z} / (1 - a * {z}))')} * (b - 1))"
+    return f"s[floor({at})::INT + 1] + (s[least(floor({at})::INT + 2, b)] - s[floor({at})::INT + 1]) * ({at} - floor({at}))"
+
+
+@query("WITH x AS (SELECT short, lft, rgt, f1 - avg(f1) OVER () AS v, p AS w FROM cube), tot AS (SELECT short, count(*) AS cnt, sum(w) AS sw FROM x GROUP BY short), y AS (SELECT short, sum(v * w) / sum(w) AS y FROM x GROUP BY short), b AS ("
+       + R.replicate_sql("(SELECT * FROM x JOIN tot USING (short))", "concat_ws(':', coalesce(lft, '-'), coalesce(rgt, '-'))", 100, {"s": "v", "n": "1"}, "short", mean="w * (cnt / sw)")
+       + f"), e AS (SELECT short, s / nullif(n, 0) AS e FROM b), g AS (SELECT short, avg(e) AS m, count(e) AS b, list(e ORDER BY e) FILTER (e IS NOT NULL) AS s, greatest(count(*) FILTER (sign(e) = -1), count(*) FILTER (sign(e) = 0), count(*) FILTER (sign(e) = 1)) AS most FROM e GROUP BY short), "
+       + f"h AS (SELECT *, {normal_quantile_sql('q')} AS z0, coalesce(u3 / nullif(6 * pow(u2, 1.5), 0), 0.0) AS a FROM (SELECT *, greatest(least(len(list_filter(s, lambda v: v < m)) / b, 1 - 0.5 / b), 0.5 / b)::DOUBLE AS q, list_sum(list_transform(s, lambda v: pow(m - v, 3))) AS u3, list_sum(list_transform(s, lambda v: pow(m - v, 2))) AS u2 FROM g)) "
+       + f"SELECT short, round({_bca_sql(0.025)}, 6) AS ymin, round(y, 6) AS y, round({_bca_sql(0.975)}, 6) AS ymax, round((b - most + 1) / (b + 1), 6) AS pval FROM h JOIN y USING (short)", RUNS)
 def bca_interval(t: Tables) -> DataFrame:
-    o = t("orders")
-    b = R.row_bootstrap(o, 50, ["o_orderkey"], "o_orderpriority").groupBy("o_orderpriority", "rep").agg(F.avg("o_totalprice").alias("estimate"))
-    return S.bca_interval(b, o, "o_totalprice", "o_orderpriority")
+    """Weighted mean of the runs' differences from the mean of all, with its interval; runs are drawn by weight."""
+    runs = _runs(t)
+    x = runs.join(F.broadcast(runs.agg(F.avg("f1").alias("all_f1")))).select("short", "lft", "rgt", (F.col("f1") - F.col("all_f1")).alias("v"), F.col("p").alias("w"))
+    key = F.concat_ws(":", F.coalesce("lft", F.lit("-")), F.coalesce("rgt", F.lit("-")))
+    b = R.replicate_sums(x, key, 100, {"s": F.col("v"), "n": F.lit(1)}, "short", weight=F.col("w")).withColumn("estimate", F.try_divide("s", "n"))
+    y = x.groupBy("short").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("y"))
+    return rounded(S.bca_interval(b, y, "short"), "ymin", "y", "ymax", "pval")
 
 
 @query(f"""WITH {ORDERS}, g AS (SELECT DISTINCT o_orderpriority, n AS s, greatest(1, floor(sqrt(n) / 2))::BIGINT AS blocks FROM o), b AS (SELECT *, s // blocks AS size, unnest(range(0, blocks)) AS block FROM (SELECT *, unnest(range(0, 5)) AS rep FROM g)),
@@ -169,8 +189,8 @@ def quantile_ranges(t: Tables) -> DataFrame:
 @query("WITH c AS (SELECT dataset, conf2, idx_2, sum((idx_1 <> -1)::INT) OVER w / count(*) OVER w AS p FROM matches WHERE idx_2 <> -1 WINDOW w AS (PARTITION BY dataset ORDER BY conf2 DESC, idx_2 ROWS UNBOUNDED PRECEDING)) SELECT dataset, arg_min(idx_2, (abs(p - 0.975), idx_2)) AS ann_id, round(min(abs(p - 0.975)), 6) AS gap FROM c GROUP BY dataset", MATCHES)
 def nearest_precision(t: Tables) -> DataFrame:
     """The detection at which running precision is nearest to 0.975."""
-    w = Window.partitionBy("dataset").orderBy(F.desc("conf2"), "idx_2").rowsBetween(Window.unboundedPreceding, 0)
-    c = t.matches.where("idx_2 <> -1").withColumn("gap", F.abs(F.sum((F.col("idx_1") != -1).cast("int")).over(w) / F.count("*").over(w) - 0.975))
+    rows = t.matches.where("idx_2 <> -1").select("dataset", "idx_2", (-F.col("conf2")).alias("low"), (F.col("idx_1") != -1).cast("int").alias("tp"))
+    c = scan(rows, ["dataset"], ["low", "idx_2"], {"tps": F.col("tp"), "seen": F.lit(1)}).withColumn("gap", F.abs(F.col("tps") / F.col("seen") - 0.975))
     return c.groupBy("dataset").agg(F.min(F.struct("gap", "idx_2")).alias("b")).select("dataset", F.col("b.idx_2").alias("ann_id"), F.round("b.gap", 6).alias("gap"))
 
 
@@ -179,13 +199,18 @@ def timing_summary(t: Tables) -> DataFrame:
     return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query("SELECT dataset, least(9, greatest(0, floor((log10(area_1) - 2.5) / 0.25)))::INT AS bin, count(*) AS n, round(avg((result = 'TP')::INT), 6) AS recall, round(avg((result = 'TP')::INT) - 1.96 * stddev_samp((result = 'TP')::INT) / sqrt(count(*)), 6) AS lower, round(avg((result = 'TP')::INT) + 1.96 * stddev_samp((result = 'TP')::INT) / sqrt(count(*)), 6) AS upper FROM matches WHERE result <> 'FP' GROUP BY ALL", MATCHES)
+BINNED = "(SELECT *, least(9, greatest(0, floor((log10(area_1) - 2.5) / 0.25)))::INT AS bin FROM matches WHERE result <> 'FP')"
+
+
+@query(f"WITH b AS ({R.replicate_sql(BINNED, 'idx_1', 20, {'s': "(result = 'TP')::BIGINT", 'n': '1'}, 'dataset', 'bin')}), e AS (SELECT dataset, bin, quantile_cont(s / n, 0.025) AS lower, quantile_cont(s / n, 0.975) AS upper FROM b WHERE n > 0 GROUP BY ALL), m AS (SELECT dataset, bin, count(*) AS n, avg((result = 'TP')::INT) AS recall FROM {BINNED} GROUP BY ALL) SELECT dataset, bin, n, round(recall, 6) AS recall, round(lower, 6) AS lower, round(upper, 6) AS upper FROM m LEFT JOIN e USING (dataset, bin)", MATCHES)
 def binned_recall(t: Tables) -> DataFrame:
-    """Recall over bins of the logarithm of the area, with a normal band; a single instance has none."""
+    """Recall over bins of the logarithm of the area, with the percentile band of bootstrapped means."""
     b = F.least(F.lit(9), F.greatest(F.lit(0), F.floor((F.log10("area_1") - 2.5) / 0.25))).cast("int")
-    hit = (F.col("result") == "TP").cast("int")
-    half = 1.96 * F.stddev_samp(hit) / F.sqrt(F.count("*"))
-    return t.matches.where("result <> 'FP'").groupBy("dataset", b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("recall"), F.round(F.avg(hit) - half, 6).alias("lower"), F.round(F.avg(hit) + half, 6).alias("upper"))
+    rows = t.matches.where("result <> 'FP'").select("dataset", b.alias("bin"), "idx_1", (F.col("result") == "TP").cast("bigint").alias("hit"))
+    band = R.replicate_sums(rows, F.col("idx_1"), 20, {"s": F.col("hit"), "n": F.lit(1)}, "dataset", "bin").withColumn("v", F.try_divide("s", "n"))
+    band = S.replicate_quantiles(band, "v", "dataset", "bin").select("dataset", "bin", "lower", "upper")
+    m = rows.groupBy("dataset", "bin").agg(F.count("*").alias("n"), F.avg("hit").alias("recall"))
+    return rounded(m.join(band, ["dataset", "bin"], "left"), "recall", "lower", "upper").select("dataset", "bin", "n", "recall", "lower", "upper")
 
 
 @query("WITH b AS (SELECT floor(sqrt(greatest(area_1, area_2)) / 8)::INT AS bin, result, count(*) AS n FROM matches GROUP BY ALL) SELECT bin, result, n, round(n / sum(n) OVER (PARTITION BY bin), 6) AS share FROM b", MATCHES)
@@ -198,8 +223,8 @@ def outcome_shares(t: Tables) -> DataFrame:
 def ecdf_at_cutoff(t: Tables) -> DataFrame:
     """The empirical distribution of sizes at the size nearest to 32."""
     s = t.matches.where("result <> 'FP'").select("dataset", F.sqrt(F.col("area_1").cast("double")).alias("s"))
-    e = s.withColumn("e", F.cume_dist().over(Window.partitionBy("dataset").orderBy("s")))
-    return e.groupBy("dataset").agg(F.min(F.struct(F.abs(F.col("s") - 32).alias("d"), "s", "e")).alias("b")).select("dataset", F.round("b.e", 6).alias("below"))
+    e = S.distribution(s, "s", "dataset")
+    return e.groupBy("dataset").agg(F.min(F.struct(F.abs(F.col("s") - 32).alias("d"), "s", "below")).alias("b")).select("dataset", F.round("b.below", 6).alias("below"))
 
 
 @query("SELECT image_id, round((width * height + 1) / min(width * height + 1) OVER (), 6) AS weight FROM images")
@@ -325,12 +350,7 @@ def contour_rescale(t: Tables) -> DataFrame:
     return p.select("ann_id", r[0]["x"].alias("x"), r[0]["y"].alias("y"), F.round(m[0]["x"], 6).alias("mx"), F.round(m[0]["y"], 6).alias("my"))
 
 
-# ---- experiments: scores of short tables under leave-out runs, from lineitem
-
-RUNS = """runs AS (
-  SELECT 's' || (l_suppkey % 5) AS short, 's' || (l_partkey % 5) AS lft, 's' || (l_orderkey % 5) AS rgt, avg(l_discount) * 5 AS f1, avg(l_quantity) / 100 AS p FROM lineitem GROUP BY ALL
-), cube AS (SELECT * FROM runs WHERE lft <= rgt UNION ALL SELECT 's' || (l_suppkey % 5), NULL, NULL, avg(l_discount) * 5, avg(l_quantity) / 100 FROM lineitem GROUP BY 1)"""
-
+# ---- experiments
 
 def _runs(t: Tables) -> DataFrame:
     e = t("lineitem").select(*(F.concat(F.lit("s"), F.col(c) % 5).alias(n) for c, n in (("l_suppkey", "short"), ("l_partkey", "lft"), ("l_orderkey", "rgt"))), "l_discount", "l_quantity")

@@ -9,6 +9,7 @@ from tallybox.functions import boxes, contours, metrics, names
 from tallybox.operators import evaluation as E
 from tallybox.operators import naming, reshape, spatial
 from tallybox.operators import statistics as S
+from tallybox.operators.ordered import numbered
 from tallybox.operators.work import folder
 from tallybox.plans.analysis import RUNS, _octagons, _points, _runs
 from tallybox.plans.detection import rounded
@@ -137,7 +138,7 @@ def alternating_outliers(t: Tables) -> DataFrame:
     """Outlying images, labelled left and right in turn."""
     v = t.matches.where("result = 'TP'").groupBy("dataset", "image_id").agg(F.avg("iou").alias("v"))
     out = S.outlier_flag(v, "v", "dataset").where("outlier")
-    return out.select("dataset", "image_id", (F.row_number().over(Window.partitionBy("dataset").orderBy("v", "image_id")) % 2).alias("side"))
+    return numbered(out, ["v", "image_id"], "dataset", name="n").select("dataset", "image_id", ((F.col("n") + 1) % 2).cast("int").alias("side"))
 
 
 @query("WITH a AS (SELECT dataset, sqrt(area_1::DOUBLE) AS x, iou AS y FROM matches WHERE result = 'TP'), m AS (SELECT dataset, x, max(y) AS y FROM a GROUP BY ALL), d AS (SELECT dataset, coalesce((x - lag(x) OVER w) * ((y + lag(y) OVER w) / 2), 0.0) AS p FROM m WINDOW w AS (PARTITION BY dataset ORDER BY x)) SELECT dataset, round(sum(p), 4) AS area FROM d GROUP BY dataset", MATCHES)
