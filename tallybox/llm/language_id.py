@@ -40,6 +40,8 @@ STEP = WINDOW - WIDEST + 1
 PER_LANG, WINDOWS_EACH, BATCH, EPOCHS, LEAST_STEPS, RATE, SEED = 1_500, 4, 128, 3, 400, 4e-3, 11
 UPPER, LOWER = slice(65, 91), slice(97, 123)
 UNKNOWN = "und"
+#: Counts of this many languages are sent to every task, so that texts need not move to their language's.
+BROADCAST = 50_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -169,6 +171,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("own", "text", F.lit(SEED)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     share = F.least(F.lit(1.0), (1.25 * per_lang + 50) / F.col("n"))
+    counts = written(counts, "languages")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST else counts
     some = known.join(counts, "lang").withColumn("draw", draw).where(F.col("draw") < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "own", "text"))
     sample = some.withColumn("r", rank).where(F.col("r") <= per_lang)  # about 1.25 * per_lang rows a language
