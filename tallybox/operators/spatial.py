@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybox.functions import boxes
+from tallybox.functions import boxes, contours
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -44,12 +44,23 @@ def self_overlaps(df: DataFrame, on: str = "image_id", key: str = "ann_id", cell
     return overlap_join(df, df, on, cell).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
 
 
-def span_intersections(a: DataFrame, b: DataFrame, key: str = "ann_id", on: str = "image_id") -> DataFrame:
-    """Shared pixels of two sets of filled rows (key, on, y, x0, x1): a_key, b_key, pixels."""
-    left, right = prefixed(a, "a_", (on, "y")), prefixed(b, "b_", (on, "y"))
-    shared = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0") + 1
-    pairs = left.join(right, [on, "y"]).where(shared > 0)
-    return pairs.groupBy(on, f"a_{key}", f"b_{key}").agg(F.sum(shared).alias("pixels"))
+def with_rows(df: DataFrame, points: str = "points") -> DataFrame:
+    """``df`` with the filled rows of its contours in place of them, their first row, their pixels, and x1..y2 of the box they fill (corners inclusive and exclusive)."""
+    own = df.withColumn("rows", contours.rows(F.col(points))).withColumn("y0", contours.first_row(F.col(points))).drop(points)
+    box = contours.row_bounds(F.col("rows"), F.col("y0"))
+    return own.withColumns({"pixels": contours.n_pixels(F.col("rows"))} | {s: box[s] + int(s in ("x2", "y2")) for s in boxes.SIDES})
+
+
+def contour_intersections(a: DataFrame, b: DataFrame, key: str = "ann_id", on: str = "image_id", cell: int | None = CELL) -> DataFrame:
+    """Pairs of contours of one image that share pixels, from two tables ``with_rows``: on, a_key, b_key, a_pixels, b_pixels, pixels.
+
+    Contours meet where their boxes do, in grid cells; rows travel with their contour and are
+    held against each other within a pair, so no table of pixel rows is joined.
+    """
+    need = [on, key, "rows", "y0", "pixels", *boxes.SIDES]
+    pairs = overlap_join(a.select(*need), b.select(*need), on, cell)
+    both = pairs.withColumn("pixels", contours.shared_pixels(F.col("a_rows"), F.col("a_y0"), F.col("b_rows"), F.col("b_y0")))
+    return both.where("pixels > 0").select(on, f"a_{key}", f"b_{key}", "a_pixels", "b_pixels", "pixels")
 
 
 def tiles_of(df: DataFrame, tile: int) -> DataFrame:

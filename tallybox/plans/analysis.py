@@ -330,7 +330,7 @@ def _cells(name: str) -> str:
 @query(f"""WITH sg AS ({_cells('gt')}), sp AS ({_cells('pred')}), s AS (SELECT a.image_id, a.ann_id AS idx_1, b.ann_id AS idx_2, sum(least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1)::BIGINT AS cells FROM sg a JOIN sp b ON a.image_id = b.image_id AND a.y = b.y AND least(a.x1, b.x1) >= greatest(a.x0, b.x0) GROUP BY ALL) SELECT * FROM s""")
 def contour_intersection(t: Tables) -> DataFrame:
     """Shared mask cells of ground truth and predicted contours."""
-    s = spatial.span_intersections(contours.spans(_octagons(t.gt, 1, 4)), contours.spans(_octagons(t.pred, 1, 4)))
+    s = spatial.contour_intersections(spatial.with_rows(_octagons(t.gt, 1, 4)), spatial.with_rows(_octagons(t.pred, 1, 4)))
     return s.select("image_id", F.col("a_ann_id").alias("idx_1"), F.col("b_ann_id").alias("idx_2"), F.col("pixels").alias("cells"))
 
 

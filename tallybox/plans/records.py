@@ -126,11 +126,61 @@ i AS (SELECT a.ann_id AS g, b.ann_id AS p, sum(least(a.x1, b.x1) - greatest(a.x0
 SELECT g AS idx_1, p AS idx_2, round(i / (a.n + b.n - i), 6) AS iou FROM i JOIN n a ON a.k = 'g' AND a.ann_id = g JOIN n b ON b.k = 'p' AND b.ann_id = p""")
 def contour_iou(t: Tables) -> DataFrame:
     """Intersection over union of contours in mask cells."""
-    g, p = contours.spans(_octagons(t.gt, 1, 4)), contours.spans(_octagons(t.pred, 1, 4))
-    size = lambda s, k: s.groupBy(F.col("ann_id").alias(k)).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias(f"n_{k}"))
-    s = spatial.span_intersections(g, p).select(F.col("a_ann_id").alias("idx_1"), F.col("b_ann_id").alias("idx_2"), "pixels")
-    rows = s.join(size(g, "idx_1"), "idx_1").join(size(p, "idx_2"), "idx_2")
-    return rows.select("idx_1", "idx_2", F.round(F.col("pixels") / (F.col("n_idx_1") + F.col("n_idx_2") - F.col("pixels")), 6).alias("iou"))
+    s = spatial.contour_intersections(spatial.with_rows(_octagons(t.gt, 1, 4)), spatial.with_rows(_octagons(t.pred, 1, 4)))
+    return s.select(F.col("a_ann_id").alias("idx_1"), F.col("b_ann_id").alias("idx_2"), F.round(F.col("pixels") / (F.col("a_pixels") + F.col("b_pixels") - F.col("pixels")), 6).alias("iou"))
+
+
+#: An L and a U out of a box: the corner or the middle of the upper side is cut out, the border stays. Rows as spans, by y.
+L_ROWS = "SELECT ann_id, image_id, 'L' AS shape, y, x1 AS x0, CASE WHEN y <= y1 + (y2 - y1) // 2 THEN x1 + (x2 - x1) // 2 ELSE x2 END AS x1 FROM (SELECT *, unnest(range(y1, y2 + 1)) AS y FROM gt)"
+# the gap of the U is open between its legs above the cut; its bottom edge is border
+U_ROWS = """SELECT ann_id, image_id, 'U' AS shape, y, x1 AS x0, CASE WHEN y < y1 + (y2 - y1) // 2 THEN x1 + (x2 - x1) // 3 ELSE x2 END AS x1 FROM (SELECT *, unnest(range(y1, y2 + 1)) AS y FROM gt)
+UNION ALL SELECT ann_id, image_id, 'U', y, x2 - (x2 - x1) // 3, x2 FROM (SELECT *, unnest(range(y1, y1 + (y2 - y1) // 2)) AS y FROM gt)"""
+#: The row of the L's inner edge reaches over the whole box.
+CONCAVE = f"SELECT ann_id, image_id, shape, y, x0, CASE WHEN shape = 'L' AND y = y1 + (y2 - y1) // 2 THEN x2 ELSE r.x1 END AS x1 FROM ({L_ROWS} UNION ALL {U_ROWS}) r JOIN (SELECT ann_id, y1, x2, y2 FROM gt) g USING (ann_id)"
+
+
+def _concave(t: Tables) -> DataFrame:
+    """Every box as an L and as a U."""
+    cx, cy, third = "x1 + (x2 - x1) div 2", "y1 + (y2 - y1) div 2", "(x2 - x1) div 3"
+    shapes = {
+        "L": _points("x1, y1", f"{cx}, y1", f"{cx}, {cy}", f"x2, {cy}", "x2, y2", "x1, y2"),
+        "U": _points("x1, y1", f"x1 + {third}, y1", f"x1 + {third}, {cy}", f"x2 - {third}, {cy}", f"x2 - {third}, y1", "x2, y1", "x2, y2", "x1, y2"),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("shape"), p.alias("points")) for k, p in shapes.items())))
+    return t.gt.select("ann_id", "image_id", each.alias("s")).select("ann_id", "image_id", "s.shape", "s.points")
+
+
+@query(f"WITH s AS ({CONCAVE}) SELECT ann_id, shape, sum(x1 - x0 + 1)::BIGINT AS pixels, min(x0) AS x1, min(y) AS y1, max(x1) AS x2, max(y) AS y2 FROM s GROUP BY ann_id, shape")
+def concave_contours(t: Tables) -> DataFrame:
+    """Filled pixels of concave contours, and boxes out of their filled rows."""
+    own = _concave(t).withColumns({"rows": contours.rows(F.col("points")), "y0": contours.first_row(F.col("points"))})
+    return own.select("ann_id", "shape", contours.n_pixels(F.col("rows")).alias("pixels"), *(c.alias(k) for k, c in contours.row_bounds(F.col("rows"), F.col("y0")).items()))
+
+
+@query(f"WITH s AS ({CONCAVE}), n AS (SELECT ann_id, shape, sum(x1 - x0 + 1) AS n, sum(greatest(0, least(x1, 1199) - greatest(x0, 400) + 1)) FILTER (y >= 300 AND y < 1000) AS v FROM s GROUP BY ann_id, shape) SELECT ann_id, shape, round(v / n, 6) AS visible FROM n WHERE v / n >= 0.5")
+def visible_contours(t: Tables) -> DataFrame:
+    """Contours of whose filled area at least half lies in a window, and that share."""
+    own = _concave(t).withColumns({"rows": contours.rows(F.col("points")), "y0": contours.first_row(F.col("points"))})
+    inside = contours.clipped(F.col("rows"), F.col("y0"), F.lit(400), F.lit(300), F.lit(1200), F.lit(1000))
+    seen = own.select("ann_id", "shape", (contours.n_pixels(inside) / contours.n_pixels(F.col("rows"))).alias("visible"))
+    return rounded(seen.where("visible >= 0.5"), "visible")
+
+
+CELLS_U = "SELECT image_id, ann_id, y, x1 AS x0, CASE WHEN y < y1 + (y2 - y1) // 2 THEN x1 + (x2 - x1) // 3 ELSE x2 END AS x1 FROM (SELECT *, unnest(range(y1, y2 + 1)) AS y FROM {0}) UNION ALL SELECT image_id, ann_id, y, x2 - (x2 - x1) // 3, x2 FROM (SELECT *, unnest(range(y1, y1 + (y2 - y1) // 2)) AS y FROM {0})"
+
+
+@query(f"""WITH cg AS (SELECT image_id, ann_id, (x1 + 32) // 16 AS x1, (y1 + 32) // 16 AS y1, (x2 + 32) // 16 AS x2, (y2 + 32) // 16 AS y2 FROM gt), cp AS (SELECT image_id, ann_id, (x1 + 32) // 16 AS x1, (y1 + 32) // 16 AS y1, (x2 + 32) // 16 AS x2, (y2 + 32) // 16 AS y2 FROM pred),
+g AS ({CELLS_U.format('cg')}), p AS ({CELLS_U.format('cp')}), gc AS (SELECT image_id, ann_id, y, unnest(range(x0, x1 + 1)) AS x FROM g), pc AS (SELECT image_id, ann_id, y, unnest(range(x0, x1 + 1)) AS x FROM p),
+gu AS (SELECT DISTINCT * FROM gc), pu AS (SELECT DISTINCT * FROM pc), ng AS (SELECT ann_id, count(*) AS n FROM gu GROUP BY 1), np AS (SELECT ann_id, count(*) AS n FROM pu GROUP BY 1),
+i AS (SELECT gu.ann_id AS g, pu.ann_id AS p, count(*) AS n FROM gu JOIN pu ON gu.image_id = pu.image_id AND gu.y = pu.y AND gu.x = pu.x GROUP BY ALL)
+SELECT g AS idx_1, p AS idx_2, i.n AS cells, round(i.n / (ng.n + np.n - i.n), 6) AS iou FROM i JOIN ng ON ng.ann_id = g JOIN np ON np.ann_id = p""")
+def concave_iou(t: Tables) -> DataFrame:
+    """Shared cells and intersection over union of concave contours (a U out of each box, in cells of 16 pixels)."""
+    third, cy = "(x2 - x1) div 3", "y1 + (y2 - y1) div 2"
+    shape = _points("x1, y1", f"x1 + {third}, y1", f"x1 + {third}, {cy}", f"x2 - {third}, {cy}", f"x2 - {third}, y1", "x2, y1", "x2, y2", "x1, y2")
+    made = lambda df: spatial.with_rows(df.withColumns({s: F.floor((F.col(s) + 32) / 16) for s in boxes.SIDES}).select("image_id", "ann_id", shape.alias("points")))
+    s = spatial.contour_intersections(made(t.gt), made(t.pred), cell=32)
+    return s.select(F.col("a_ann_id").alias("idx_1"), F.col("b_ann_id").alias("idx_2"), F.col("pixels").alias("cells"), F.round(F.col("pixels") / (F.col("a_pixels") + F.col("b_pixels") - F.col("pixels")), 6).alias("iou"))
 
 
 @query("WITH w AS (SELECT dataset, image_id, avg(iou) AS v FROM matches WHERE result = 'TP' GROUP BY ALL), q AS (SELECT dataset, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM w GROUP BY dataset), o AS (SELECT w.dataset, image_id, v FROM w JOIN q ON w.dataset = q.dataset WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) SELECT dataset, image_id, (row_number() OVER (PARTITION BY dataset ORDER BY v, image_id) % 2)::INT AS side FROM o", MATCHES)
