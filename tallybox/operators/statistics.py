@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from tallybox.functions.normal import normal_cdf, normal_quantile
 from tallybox.operators.ordered import scan
+from tallybox.operators.quantiles import exact_quantiles, same
+
+
+SUMMARY = {"lower": 0.025, "q1": 0.25, "median": 0.5, "q3": 0.75, "upper": 0.975}
 
 
 def quantile_summary(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean and the 2.5, 25, 50, 75 and 97.5 percentiles, interpolated linearly."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.025, 0.25, 0.5, 0.75, 0.975)))).alias("q")
-    names = ("lower", "q1", "median", "q3", "upper")
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), q).select(*by, "mean", *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
+    """Mean and the 2.5, 25, 50, 75 and 97.5 percentiles, interpolated linearly, of groups of any size."""
+    means = df.groupBy(*(F.col(c).alias(f"m_{c}") for c in by)).agg(F.avg(value).alias("mean"))
+    q = exact_quantiles(df, value, tuple(SUMMARY.values()), *by)
+    return q.join(means, same(by, "m_")).select(*by, "mean", *(F.col("q")[k].alias(n) for k, n in enumerate(SUMMARY)))
 
 
 def replicate_quantiles(df: DataFrame, value: str, *by: str) -> DataFrame:
     """The summary of bootstrap replicates: a group has as many rows as were drawn, so one buffer holds them."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.025, 0.25, 0.5, 0.75, 0.975)))).alias("q")
-    names = ("lower", "q1", "median", "q3", "upper")
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), q).select(*by, "mean", *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
+    q = F.percentile(value, F.array(*map(F.lit, SUMMARY.values()))).alias("q")
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), q).select(*by, "mean", *(F.col("q")[k].alias(n) for k, n in enumerate(SUMMARY)))
 
 
 def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: tuple[float, ...], *by: str) -> DataFrame:
@@ -49,7 +52,7 @@ def weighted_median(df: DataFrame, value: str, weight: str, *by: str) -> DataFra
 
 def outlier_flag(df: DataFrame, value: str, *by: str, reach: float = 1.5) -> DataFrame:
     """``df`` with ``outlier``: beyond ``reach`` interquartile ranges of the quartiles."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q_"))
+    q = exact_quantiles(df, value, (0.25, 0.75), *by).select(*by, F.col("q").alias("q_"))
     low, high = F.col("q_")[0], F.col("q_")[1]
     out = (F.col(value) < low - reach * (high - low)) | (F.col(value) > high + reach * (high - low))
     return df.join(q, list(by)).withColumn("outlier", out).drop("q_")

@@ -83,7 +83,8 @@ def ordered_levels(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderpriority, printf('%.3f [%.3f, %.3f]', round(quantile_cont(o_totalprice, 0.5)), round(min(o_totalprice)), round(max(o_totalprice))) AS label FROM orders GROUP BY 1")
 def interval_labels(t: Tables) -> DataFrame:
-    o = t("orders").groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", F.lit(0.5))).alias("y"), F.round(F.min("o_totalprice")).alias("a"), F.round(F.max("o_totalprice")).alias("b"))
+    middle = S.exact_quantiles(t("orders"), "o_totalprice", (0.0, 0.5, 1.0), "o_orderpriority")
+    o = middle.select("o_orderpriority", *(F.round(F.col("q")[k]).alias(c) for k, c in enumerate("ayb")))
     return o.select("o_orderpriority", names.interval_text(F.col("y"), F.col("a"), F.col("b")).alias("label"))
 
 
