@@ -12,6 +12,7 @@ from tallybox.operators import graph, naming, reshape, spatial, tiles
 from tallybox.operators import resample as R
 from tallybox.operators import statistics as S
 from tallybox.operators.ordered import scan
+from tallybox.operators.vector_tree import vector_tree
 from tallybox.plans.detection import rounded
 from tallybox.plans.tables import MATCHES, Tables, query
 
@@ -587,18 +588,7 @@ def recoded_values(t: Tables) -> DataFrame:
 @query("WITH e AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(sqrt(d), 4) AS distance FROM e", "one AS (SELECT 1)")
 def label_distances(t: Tables) -> DataFrame:
     """Distances of vectors within a label."""
-    v = t("embeddings")
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(F.sqrt(graph.squared_distance(F.col("ea"), F.col("eb"))), 4).alias("distance"))
-
-
-@query()
-def minimum_spanning_tree(t: Tables) -> DataFrame:
-    """The least tree of each label's vectors."""
-    v = t("embeddings")
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    e = a.join(b, "label").where("a < b").select("a", "b", graph.squared_distance(F.col("ea"), F.col("eb")).alias("w"))
-    return graph.spanning_tree(e)
+    return vector_tree(t("embeddings"), "label", "vec_id", "embedding")
 
 
 @query("WITH m AS (SELECT short, lft, rgt, f1 FROM cube WHERE lft <> rgt UNION ALL SELECT short, rgt, lft, f1 FROM cube), d AS (SELECT lft AS a, rgt AS b, power(avg(f1), 2) AS d FROM m WHERE lft IS NOT NULL GROUP BY ALL) SELECT a, b, round(-0.5 * (d - avg(d) OVER (PARTITION BY a) - avg(d) OVER (PARTITION BY b) + avg(d) OVER ()), 9) AS centred FROM d", RUNS)
