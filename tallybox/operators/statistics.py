@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallybox.functions.normal import normal_cdf, normal_quantile
 from tallybox.operators.ordered import scan
@@ -107,19 +110,53 @@ def bca_interval(replicates: DataFrame, observed: DataFrame, *by: str, confidenc
     return n.select(*by, end(tail).alias("ymin"), "y", end(1 - tail).alias("ymax"), ((wrong + 1) / (F.col("b") + 1)).alias("pval"))
 
 
-def local_regression(df: DataFrame, x: str, y: str, key: str, *by: str, fraction: float = 0.3) -> DataFrame:
-    """Locally weighted straight lines with tricube weights; the bandwidth is the distance of rank ceil(fraction * n)."""
-    a = df.select(*by, F.col(key).alias("k_"), F.col(x).cast("double").alias("x0_"))
-    b = df.select(*by, F.col(key).alias("j_"), F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_"))
-    every, near = Window.partitionBy(*by, "k_"), Window.partitionBy(*by, "k_").orderBy("d_", "j_")
-    pairs = a.join(b, list(by)).withColumn("d_", F.abs(F.col("x_") - F.col("x0_")))
-    pairs = pairs.withColumn("r_", F.row_number().over(near)).withColumn("n_", F.count("*").over(every))
+def smoothed(x: np.ndarray, y: np.ndarray, own: np.ndarray, rank: int, some: int = 64) -> np.ndarray:
+    """Locally weighted straight lines at the places ``own`` of rows sorted by x; ``rank`` rows are the nearest, the row included.
+
+    The nearest rows are a run; the run whose farther end is nearest is found by the sum of its
+    ends, which rises with its start. Equal x in all of them leave the row its own value.
+    """
+    sums = x[: len(x) - rank + 1] + x[rank - 1 :]
+    out = np.empty(len(own))
+    for at in range(0, len(own), some):
+        here = own[at : at + some]
+        x0 = x[here]
+        s = np.searchsorted(sums, 2 * x0)
+        starts = np.clip(np.stack([s - 1, s]), 0, len(sums) - 1)
+        h = np.maximum(x0 - x[starts], x[starts + rank - 1] - x0).min(axis=0)
+        low, high = np.searchsorted(x, (x0 - h).min()), np.searchsorted(x, (x0 + h).max(), side="right")
+        dx = x[low:high] - x0[:, None]
+        u = np.abs(dx) / np.where(h > 0, h, 1)[:, None]
+        w = np.where(u <= 1, (1 - u**3) ** 3, 0)
+        sw, sx, sy, sxx, sxy = w.sum(axis=1), (w * dx).sum(axis=1), w @ y[low:high], (w * dx * dx).sum(axis=1), (w * dx) @ y[low:high]
+        spread = sxx - sx * sx / sw
+        slope = np.where(spread != 0, (sxy - sx * sy / sw) / np.where(spread != 0, spread, 1), 0)
+        out[at : at + some] = np.where(h > 0, sy / sw - slope * sx / sw, y[here])
+    return out
+
+
+def local_regression(df: DataFrame, x: str, y: str, key: str, *by: str, fraction: float = 0.3, least: int = 256) -> DataFrame:
+    """(by, key, smooth): locally weighted straight lines with tricube weights; the bandwidth is the distance of rank ceil(fraction * n).
+
+    Rows are numbered in the order of x by a prefix scan and dealt to ranges of ranks; a range
+    takes along as many rows beyond both its borders as a bandwidth can reach, so its lines
+    are whole and no row meets all others of its group. A range has an eighth of the rows in
+    reach, or ``least``; so a group of any size is many tasks. The work is, by the definition
+    of the smoother, a share ``fraction`` of n for each row.
+    """
+    rows = df.select(*by, key, F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_")).where("x_ IS NOT NULL AND y_ IS NOT NULL")
+    placed = scan(rows, list(by), ["x_", key], {"i_": F.lit(1)}, totals={"n_": F.lit(1)})
     rank = F.least(F.ceil(fraction * F.col("n_")) + 1, F.col("n_"))
-    pairs = pairs.withColumn("h_", F.max(F.when(F.col("r_") == rank, F.col("d_"))).over(every))
-    u = F.col("d_") / F.col("h_")
-    w = F.when(F.col("h_") == 0, (F.col("j_") == F.col("k_")).cast("double")).when(F.col("d_") > F.col("h_"), 0.0).otherwise(F.pow(1 - u * u * u, F.lit(3)))
-    p = pairs.withColumn("w_", w).withColumn("dx_", F.col("x_") - F.col("x0_"))
-    s = lambda e: F.sum(F.col("w_") * e)
-    g = p.groupBy(*by, "k_").agg(F.sum("w_").alias("sw"), s(F.col("dx_")).alias("sx"), s(F.col("y_")).alias("sy"), s(F.col("dx_") * F.col("dx_")).alias("sxx"), s(F.col("dx_") * F.col("y_")).alias("sxy"))
-    slope = F.coalesce(F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw"), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw")), F.lit(0.0))
-    return g.select(*by, F.col("k_").alias(key), (F.col("sy") / F.col("sw") - slope * F.col("sx") / F.col("sw")).alias("smooth"))
+    placed = placed.withColumns({"i_": F.col("i_") - 1, "rank_": rank, "size_": F.greatest(F.lit(least).cast("bigint"), F.ceil(rank / 8))})
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("i_") - F.col("rank_")) / F.col("size_")))
+    last = F.least(F.floor((F.col("n_") - 1) / F.col("size_")), F.floor((F.col("i_") + F.col("rank_")) / F.col("size_")))
+    dealt = placed.withColumn("range_", F.explode(F.sequence(first, last)))
+
+    def lines(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("i_")
+        k, size, n = part["range_"].iloc[0], part["size_"].iloc[0], part["rank_"].iloc[0]
+        own = np.flatnonzero((part["i_"] >= k * size) & (part["i_"] < (k + 1) * size))
+        return part.iloc[own][[*by, key]].assign(smooth=smoothed(part["x_"].to_numpy(), part["y_"].to_numpy(), own, int(n)))
+
+    schema = StructType([*(df.schema[c] for c in (*by, key)), StructField("smooth", DoubleType())])
+    return dealt.groupBy(*by, "range_").applyInPandas(lines, schema)

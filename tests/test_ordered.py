@@ -1,5 +1,6 @@
 """Running sums, neighbours and what is built on them, with groups that span many ranges."""
 
+import math
 import random
 
 import pytest
@@ -79,3 +80,34 @@ def test_distribution_and_curve(spark):
     d = spark.createDataFrame([("a", 0.9, 1, 1), ("a", 0.9, 2, 0), ("a", 0.1, 3, 1)], "g string, conf double, ann_id int, tp int")
     curve = evaluation.pr_curve(d, spark.createDataFrame([("a", 4)], "g string, n_gt int"), "g").collect()
     assert {r["ann_id"]: (r["recall"], round(r["precision"], 6)) for r in curve} == {1: (0.25, 1.0), 2: (0.25, 0.5), 3: (0.5, 0.666667)}
+
+
+def plain_smooth(points, fraction):
+    """points: (key, x, y) of a group."""
+    n, out = len(points), {}
+    rank = min(math.ceil(fraction * n) + 1, n)
+    for k, x0, y0 in points:
+        h = sorted(abs(x - x0) for _, x, _ in points)[rank - 1]
+        if h == 0:
+            out[k] = y0
+            continue
+        w = [(1 - (abs(x - x0) / h) ** 3) ** 3 if abs(x - x0) <= h else 0.0 for _, x, _ in points]
+        total = lambda f: sum(v * f(x - x0, y) for v, (_, x, y) in zip(w, points, strict=True))  # noqa: B023, E731
+        sw, sx, sy, sxx, sxy = total(lambda d, y: 1), total(lambda d, y: d), total(lambda d, y: y), total(lambda d, y: d * d), total(lambda d, y: d * y)
+        spread = sxx - sx * sx / sw
+        slope = (sxy - sx * sy / sw) / spread if spread else 0.0
+        out[k] = sy / sw - slope * sx / sw
+    return out
+
+
+@pytest.mark.parametrize(("fraction", "least"), [(0.3, 5), (0.05, 3), (1.0, 40), (0.3, 256)])
+def test_local_regression_equals_the_plain_rule(spark, fraction, least):
+    r = random.Random(least)
+    data = [("hot" if i % 8 else "few", i, r.choice([r.gauss(0, 1), float(r.randrange(4)), r.expovariate(0.1)]), r.random()) for i in range(260)]
+    data += [("one", 900, 1.0, 5.0), *((None, 910 + i, 2.0, float(i)) for i in range(3))]
+    df = spark.createDataFrame([*data, ("hot", 990, None, 1.0)], "g string, k int, x double, y double").repartition(4)
+    got = {x["k"]: x["smooth"] for x in S.local_regression(df, "x", "y", "k", "g", fraction=fraction, least=least).collect()}
+    want = {}
+    for g in {d[0] for d in data}:
+        want |= plain_smooth([d[1:] for d in data if d[0] == g], fraction)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6) for k in want)
