@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallybox.functions import boxes, contours, metrics, names
 from tallybox.functions.normal import normal_cdf_sql, normal_quantile_sql
 from tallybox.operators import evaluation as E
-from tallybox.operators import graph, naming, reshape, spatial, tiles
+from tallybox.operators import coordinates, graph, naming, reshape, spatial, tiles
 from tallybox.operators import resample as R
 from tallybox.operators import statistics as S
 from tallybox.operators.ordered import scan
@@ -603,15 +603,12 @@ def double_centring(t: Tables) -> DataFrame:
 
 @query()
 def principal_coordinates(t: Tables) -> DataFrame:
-    """Shares of variance of the leading components, against broken-stick shares."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    k = 8
-    v = t("embeddings").select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    share = PCA(k=k, inputCol="v", outputCol="p").fit(v).explainedVariance.toArray()
-    stick = [sum(1.0 / j for j in range(i, k + 1)) / k for i in range(1, k + 1)]
-    return t.spark.createDataFrame([(i + 1, float(s), float(b), bool(s > b)) for i, (s, b) in enumerate(zip(share, stick, strict=True))], "component int, share double, stick double, kept boolean")
+    """Coordinates of the datasets by their two-way redundancy, (1 + rho2) / 2 as distance, with each axis's share and its piece of the broken stick."""
+    d = two_way_redundancy(t).where("a <> b").select("a", "b", ((1 + F.col("rho2")) / 2).alias("d"))
+    rows, values = coordinates.principal_coordinates(d)
+    each = F.explode(F.array(*(F.struct(F.lit(v["axis"]).alias("axis"), *(F.lit(v[k]).alias(k) for k in ("relative_eig", "stick", "kept"))) for v in values)))
+    axes = rows.select("axis").distinct().select("axis", each.alias("v")).where("v.axis = axis").select("axis", "v.relative_eig", "v.stick", "v.kept")
+    return rows.join(axes, "axis").select(F.col("node").alias("short"), "axis", F.round("coordinate", 6).alias("coordinate"), F.round("relative_eig", 6).alias("relative_eig"), F.round("stick", 6).alias("stick"), "kept")
 
 
 @query("""WITH e AS (SELECT event_id, user_id, epoch(date_trunc('second', ts))::DOUBLE AS x, value AS y, count(*) OVER (PARTITION BY user_id) AS n FROM events),
