@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,37 +16,77 @@ from tallybox.operators.work import written
 Score = Callable[[str, str], Column]
 
 
+#: Conflicts of an image, or of a component of a larger one, that one task decides in order.
+MOST = 500_000
+
+
 def conflicts(df: DataFrame, clash: Column, cell: int | None = CELL, group: str = "image_id") -> DataFrame:
-    """(better, worse) ids of pairs that clash; better: higher confidence, then lower id."""
+    """(group, better, worse, conf) of pairs that clash; better: higher confidence, then lower id; conf: the better one's."""
     pairs = overlap_join(df, df, group, cell).where(clash)
     ahead = (F.col("a_conf") > F.col("b_conf")) | ((F.col("a_conf") == F.col("b_conf")) & (F.col("a_ann_id") < F.col("b_ann_id")))
-    return pairs.where(ahead & (F.col("a_ann_id") != F.col("b_ann_id"))).select(F.col("a_ann_id").alias("better"), F.col("b_ann_id").alias("worse"))
+    return pairs.where(ahead & (F.col("a_ann_id") != F.col("b_ann_id"))).select(F.col(group).alias("group"), F.col("a_ann_id").alias("better"), F.col("b_ann_id").alias("worse"), F.col("a_conf").alias("conf"))
 
 
-def greedy(ids: DataFrame, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Ids that greedy suppression keeps, from (better, worse) pairs.
+def _sweep(pairs: pd.DataFrame) -> pd.DataFrame:
+    """What a group's conflicts suppress: those of the best row first, so a row is decided before it suppresses any."""
+    pairs = pairs.sort_values(["conf", "better"], ascending=[False, True])
+    gone: set = set()
+    for better, worse in zip(pairs["better"].tolist(), pairs["worse"].tolist(), strict=True):
+        if better not in gone:
+            gone.add(worse)
+    return pd.DataFrame({"ann_id": list(gone)}, dtype=pairs["better"].dtype)
 
-    A row is kept once no better neighbour is undecided, and its worse neighbours go. The
-    rounds needed are half the longest chain of falling scores; pairs shrink each round.
-    """
-    pairs = written(pairs, "pairs")
-    clashing = pairs.select(F.col("better").alias("ann_id")).union(pairs.select("worse")).distinct()
-    kept = ids.select("ann_id").join(clashing, "ann_id", "left_anti")
-    live, chosen = written(clashing, "live"), None
+
+def _by_rounds(pairs: DataFrame, rounds: int) -> DataFrame:
+    """The same over all tasks: rows without a better undecided neighbour are kept, theirs go, and again."""
+    gone = pairs.select(F.col("worse").alias("ann_id")).limit(0)
     for _ in range(rounds):
-        if live.isEmpty():
-            return kept if chosen is None else kept.unionByName(chosen)
-        won = written(live.join(pairs.select(F.col("worse").alias("ann_id")), "ann_id", "left_anti"), "kept")
-        lost = pairs.join(won.withColumnRenamed("ann_id", "better"), "better", "left_semi").select(F.col("worse").alias("ann_id")).distinct()
-        live = written(live.join(won, "ann_id", "left_anti").join(lost, "ann_id", "left_anti"), "live")
-        pairs = written(pairs.join(live.withColumnRenamed("ann_id", "better"), "better", "left_semi").join(live.withColumnRenamed("ann_id", "worse"), "worse", "left_semi"), "pairs")
-        chosen = won if chosen is None else chosen.unionByName(won)
+        if pairs.isEmpty():
+            return gone
+        better = pairs.select(F.col("better").alias("ann_id")).distinct()
+        won = better.join(pairs.select(F.col("worse").alias("ann_id")), "ann_id", "left_anti")
+        lost = written(pairs.join(won.withColumnRenamed("ann_id", "better"), "better", "left_semi").select(F.col("worse").alias("ann_id")).distinct(), "lost")
+        # conflicts of what is lost or won are settled
+        left = pairs.join(lost.withColumnRenamed("ann_id", "worse"), "worse", "left_anti").join(lost.withColumnRenamed("ann_id", "better"), "better", "left_anti")
+        pairs = written(left, "pairs")
+        gone = written(gone.unionByName(lost), "gone")
     raise RuntimeError(f"suppression did not end in {rounds} rounds")
 
 
-def nms(df: DataFrame, threshold: float, score: Score = boxes.iou, cell: int | None = CELL) -> DataFrame:
+def suppressed(pairs: DataFrame, most: int = MOST, rounds: int = 1000) -> DataFrame:
+    """(ann_id): what greedy suppression drops, from ``conflicts``.
+
+    The conflicts of an image are decided in order in one pass, if they are ``most`` or fewer;
+    larger images fall apart into components of their conflicts, decided in the same way;
+    only components beyond ``most`` go through rounds over all tasks, half as many as their
+    longest chain of falling scores.
+    """
+    schema = f"ann_id {pairs.schema['worse'].dataType.simpleString()}"
+    pairs = written(pairs, "pairs")
+
+    def split(pairs: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+        n = pairs.groupBy(F.col(by).alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+        same = F.col(by).eqNullSafe(F.col("of"))
+        return pairs.join(n, same, "left_anti"), pairs.join(n, same, "left_semi")
+
+    few, many = split(pairs, "group")
+    gone = few.groupBy("group").applyInPandas(_sweep, schema)
+    if many.isEmpty():
+        return gone
+    home = components(many.select(F.col("better").alias("a"), F.col("worse").alias("b")))
+    placed = written(many.join(home.withColumnRenamed("node", "better"), "better").select("component", "better", "worse", "conf"), "pairs")
+    few, many = split(placed, "component")
+    gone = gone.unionByName(few.groupBy("component").applyInPandas(_sweep, schema))
+    return gone if many.isEmpty() else gone.unionByName(_by_rounds(many.select("better", "worse"), rounds))
+
+
+def _without(df: DataFrame, pairs: DataFrame, **how: int) -> DataFrame:
+    return df.join(suppressed(pairs, **how), "ann_id", "left_anti")
+
+
+def nms(df: DataFrame, threshold: float, score: Score = boxes.iou, cell: int | None = CELL, **how: int) -> DataFrame:
     """Rows kept by greedy suppression; a pair clashes if its score is above the threshold."""
-    return df.join(greedy(df, conflicts(df, score("a_", "b_") > threshold, cell)), "ann_id", "left_semi")
+    return _without(df, conflicts(df, score("a_", "b_") > threshold, cell), **how)
 
 
 def one_pass_nms(df: DataFrame, threshold: float, score: Score = boxes.iou) -> DataFrame:
@@ -56,7 +97,7 @@ def one_pass_nms(df: DataFrame, threshold: float, score: Score = boxes.iou) -> D
 
 def drop_near_equal(df: DataFrame, margin: int) -> DataFrame:
     """Greedy suppression of boxes all of whose sides differ by less than the margin."""
-    return df.join(greedy(df, conflicts(df, boxes.max_side_difference("a_", "b_") < margin)), "ann_id", "left_semi")
+    return _without(df, conflicts(df, boxes.max_side_difference("a_", "b_") < margin))
 
 
 def clusters(df: DataFrame, threshold: float, score: Score = boxes.iou) -> DataFrame:
@@ -71,4 +112,4 @@ def cluster_first_nms(df: DataFrame, threshold: float, least: int = 10) -> DataF
     n = df.groupBy("image_id").agg(F.count("*").alias("n_boxes"))
     own = df.join(clusters(df, threshold / 4), "ann_id").join(n, "image_id")
     clash = (boxes.iou("a_", "b_") > threshold) & ((F.col("a_n_boxes") < least) | (F.col("a_component") == F.col("b_component")))
-    return df.join(greedy(df, conflicts(own, clash)), "ann_id", "left_semi")
+    return _without(df, conflicts(own, clash))

@@ -175,7 +175,15 @@ def components(t: Tables) -> DataFrame:
     return suppress.clusters(t.pred, 0.1)
 
 
-@query()
+#: Clusters of pairs that score a quarter of the threshold, then suppression inside them; images of few boxes as a whole.
+CLUSTERED = f"""WITH RECURSIVE e AS (SELECT a.ann_id AS a, b.ann_id AS b FROM {{boxes}} a JOIN {{boxes}} b ON a.image_id = b.image_id AND a.ann_id < b.ann_id AND {sql_overlaps('a', 'b')} WHERE {sql_iou('a', 'b')} >= 0.05), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+grow AS (SELECT ann_id AS n, ann_id AS m FROM {{boxes}} UNION SELECT u.b, g.m FROM grow g JOIN u ON u.a = g.n), home AS (SELECT n AS ann_id, min(m) AS c FROM grow GROUP BY n),
+size AS (SELECT image_id, count(*) AS n_boxes FROM {{boxes}} GROUP BY image_id),
+boxes AS (SELECT p.image_id, p.ann_id, conf, x1, y1, x2, y2, CASE WHEN n_boxes < 10 THEN -1 ELSE c END AS c, row_number() OVER (PARTITION BY p.image_id ORDER BY conf DESC, p.ann_id) AS r FROM {{boxes}} p JOIN home USING (ann_id) JOIN size ON size.image_id = p.image_id),
+""" + GREEDY.split("\n", 1)[1].format(pair=f"a.c = b.c AND {sql_overlaps('a', 'b')}", clash=f"{sql_iou('a', 'b')} > 0.2")
+
+
+@query(CLUSTERED.format(boxes="pred"))
 def nms_cluster_first(t: Tables) -> DataFrame:
     return suppress.cluster_first_nms(t.pred, 0.2).select("image_id", "ann_id")
 
