@@ -1,27 +1,50 @@
-"""Joins on names that hold one another, blocked by short substrings instead of a loop over all pairs."""
+"""Joins on names that hold one another, met at the rarest substring of the part instead of in a loop over all pairs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybox.operators.work import written
+
 GRAM = 3
 
 
-def _substrings(name: Column) -> Column:
-    """The distinct substrings of 1 to GRAM characters."""
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda k: F.substring(name, k, F.lit(n)))
-    return F.array_distinct(F.flatten(F.array(*(of(n) for n in range(1, GRAM + 1)))))
+def _grams(name: Column, n: int) -> Column:
+    """The distinct substrings of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda k: F.substring(name, k, F.lit(n))))
+
+
+def _candidates(holders: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, part) of holders (key, text) that have the rarest substring of the part; both tables are distinct."""
+    pairs = None
+    for n in range(1, GRAM + 1):
+        own = parts.where(F.length("part") == n if n < GRAM else F.length("part") >= n)
+        blocks = holders.where(F.length("text") >= n).select("key", F.explode(_grams(F.col("text"), n)).alias("gram"))
+        if n < GRAM:
+            rarest = own.select("part", F.col("part").alias("gram"))
+        else:
+            counts = blocks.groupBy("gram").agg(F.count("*").alias("n"))
+            each = own.select("part", F.explode(_grams(F.col("part"), n)).alias("gram"))
+            ranked = each.join(counts, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+            rarest = ranked.where("r.n > 0").select("part", "r.gram")
+        met = blocks.join(rarest, "gram").select("key", "part")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs
 
 
 def containing(holders: DataFrame, parts: DataFrame) -> DataFrame:
     """(holder, part) pairs of distinct names where the holder contains the part; null and empty parts are in none.
 
-    A part's first GRAM characters must stand in its holder, so pairs meet there.
+    Every substring of GRAM characters is counted over the holders. A part must stand in its
+    holder with all its substrings, so it meets the holders of its rarest one only; a part
+    with one that no holder has meets none. Names with a common beginning or ending meet where they
+    differ. Parts shorter than GRAM meet substrings of their own length.
     """
-    blocks = holders.select("holder", F.explode(_substrings(F.col("holder"))).alias("gram"))
-    wanted = parts.where(F.length("part") > 0).select("part", F.substring("part", 1, GRAM).alias("gram"))
-    return blocks.join(wanted, "gram").where(F.contains("holder", "part")).select("holder", "part")
+    known = written(holders.where("holder IS NOT NULL").select("holder").distinct(), "holders")
+    wanted = written(parts.where(F.length("part") > 0).select("part").distinct(), "parts")
+    pairs = _candidates(known.select(F.col("holder").alias("key"), F.col("holder").alias("text")), wanted)
+    return pairs.where(F.contains("key", "part")).select(F.col("key").alias("holder"), "part")
 
 
 def fuzzy_names(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -31,8 +54,7 @@ def fuzzy_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     a = left.select("name").where("name IS NOT NULL").distinct()
     b = right.select("name").where("name IS NOT NULL").distinct()
-    low, known = a.select(F.lower("name").alias("own")).distinct(), b.select(F.lower("name").alias("other"))
-    known = known.distinct()
+    low, known = a.select(F.lower("name").alias("own")).distinct(), b.select(F.lower("name").alias("other")).distinct()
     inner = containing(low.withColumnRenamed("own", "holder"), known.withColumnRenamed("other", "part")).select(F.col("holder").alias("own"), F.col("part").alias("other"))
     outer = containing(known.withColumnRenamed("other", "holder"), low.withColumnRenamed("own", "part")).select(F.col("part").alias("own"), F.col("holder").alias("other"))
     hits = inner.union(outer).distinct().join(b.select(F.col("name").alias("match"), F.lower("name").alias("other")), "other")
@@ -42,5 +64,20 @@ def fuzzy_names(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def holding_both(holders: DataFrame, pairs: DataFrame, first: str, second: str) -> DataFrame:
     """(holder, pair columns) where the holder contains both parts of a pair."""
-    found = containing(holders.select("holder").distinct(), pairs.select(F.col(first).alias("part")).distinct())
-    return found.join(pairs, F.col("part") == F.col(first)).where(F.contains("holder", F.col(second)) & (F.length(second) > 0)).drop("part")
+    wanted = pairs.where((F.length(first) > 0) & (F.length(second) > 0)).distinct()
+    longer = F.when(F.length(second) > F.length(first), F.col(second)).otherwise(F.col(first))  # the longer part has the rarer substrings
+    wanted = wanted.withColumn("part", longer)
+    found = containing(holders, wanted)
+    return found.join(wanted, "part").where(F.contains("holder", F.col(first)) & F.contains("holder", F.col(second))).drop("part")
+
+
+def mentions(texts: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """(id, identifier) for texts (id, text) that hold an identifier, each pair once.
+
+    Identifiers are made distinct first and meet texts at their rarest substring; only ids
+    travel with the substrings, and the texts are joined to what met.
+    """
+    known = written(texts.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").alias("key"), "text").distinct(), "texts")
+    wanted = written(identifiers.where(F.length("identifier") > 0).select(F.col("identifier").alias("part")).distinct(), "parts")
+    met = _candidates(known, wanted).distinct().join(known, "key").where(F.contains("text", "part"))
+    return met.select(F.col("key").alias("id"), F.col("part").alias("identifier")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from tallybox.operators import resample as R
 from tallybox.operators import statistics as S
 from tallybox.operators.ordered import scan
 from tallybox.operators.vector_tree import vector_tree
-from tallybox.plans.detection import rounded
-from tallybox.plans.tables import MATCHES, Tables, query
+from tallybox.plans.detection import CLUSTERED, GREEDY, rounded
+from tallybox.plans.tables import MATCHES, Tables, query, sql_overlaps
 
 #: Experiments: scores of short tables under leave-out runs, from lineitem.
 RUNS = """runs AS (
@@ -279,7 +281,20 @@ def tile_to_image(t: Tables) -> DataFrame:
     return tiles.to_image(local, grid).select("image_id", "ann_id", *boxes.SIDES)
 
 
-@query()
+def _merge_sql() -> str:
+    """Near-equal boxes of all tiles go, boxes are padded and clamped, then clusters come first."""
+    near = GREEDY.replace("FROM pred", "FROM found").format(pair=sql_overlaps("a", "b"), clash="greatest(abs(a.x1 - b.x1), abs(a.y1 - b.y1), abs(a.x2 - b.x2), abs(a.y2 - b.y2)) < 8")
+    near = re.sub(r"\b(boxes|clash|low|walk|fin)\b", r"near_\1", near)
+    steps, kept = near.removeprefix("WITH RECURSIVE ").rsplit("\n", 1)
+    side = lambda s: f"greatest(0, least({s} {'-' if s[1] == '1' else '+'} 5, {'width' if s[0] == 'x' else 'height'} - 1)) AS {s}"
+    found = ", ".join(f"least({s}, {'width' if s[0] == 'x' else 'height'} - 1) AS {s}" for s in boxes.SIDES)
+    last, out = CLUSTERED.format(boxes="safe").removeprefix("WITH RECURSIVE ").rsplit("\n", 1)
+    return f"""WITH RECURSIVE {GRID}, found AS (SELECT p.image_id, p.ann_id * 100 + m * 10 + n AS ann_id, conf, {found} FROM pred p JOIN grid ON grid.image_id = p.image_id AND x1 >= x0 AND y1 >= y0 AND x2 <= x0 + 1024 AND y2 <= y0 + 1024 JOIN images i ON i.image_id = p.image_id),
+{steps}, near AS ({kept}), safe AS (SELECT f.image_id, f.ann_id, conf, {", ".join(map(side, boxes.SIDES))} FROM found f JOIN near USING (image_id, ann_id) JOIN images i ON i.image_id = f.image_id),
+{last}, chosen AS ({out}) SELECT s.image_id, s.ann_id, x1, y1, x2, y2 FROM safe s JOIN chosen USING (image_id, ann_id)"""
+
+
+@query(_merge_sql())
 def merge_tile_detections(t: Tables) -> DataFrame:
     local, grid = _tile_detections(t)
     found = tiles.to_image(local, grid).select("image_id", "ann_id", "conf", *(F.col(s).cast("bigint").alias(s) for s in boxes.SIDES))
@@ -561,12 +576,14 @@ def attribute_lookup(t: Tables) -> DataFrame:
     return t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
 
 
-@query("WITH k AS (SELECT item_id, string_split(text, ' ')[1] AS id FROM benchmark), u AS (SELECT DISTINCT conv_id, unnest(string_split(role || ' ' || text, ' ')) AS w FROM conversations) SELECT item_id, count(DISTINCT conv_id) AS n FROM k JOIN u ON w = id GROUP BY item_id", "one AS (SELECT 1)")
+@query("WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark), k AS (SELECT item_id, arg_max(w, (length(w), w)) AS id FROM w WHERE length(w) <= 6 GROUP BY item_id) SELECT item_id, count(DISTINCT conv_id) AS n FROM k JOIN conversations ON contains(role || ' ' || text, id) GROUP BY item_id", "one AS (SELECT 1)")
 def identifier_search(t: Tables) -> DataFrame:
-    """Identifiers found in any field: the fields are cut into words, so the join is on equality."""
-    ids = t("benchmark").select("item_id", F.split("text", " ")[0].alias("id"))
-    found = t("conversations").select("conv_id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "role", "text"), " "))).alias("id"))
-    return found.join(ids, "id").groupBy("item_id").agg(F.count_distinct("conv_id").alias("n"))
+    """In how many conversations an identifier, here the longest of an item's words of six characters or fewer, stands in any field."""
+    longest = F.array_max(F.transform(F.filter(F.split("text", " "), lambda w: F.length(w) <= 6), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    ids = t("benchmark").select("item_id", longest["w"].alias("identifier"))
+    fields = t("conversations").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat_ws(" ", "role", "text").alias("text"))
+    found = naming.mentions(fields, ids).join(fields.select("id", "conv_id").distinct(), "id").select("identifier", "conv_id").distinct()
+    return found.groupBy("identifier").agg(F.count("*").alias("n")).join(ids, "identifier").select("item_id", "n")
 
 
 @query("SELECT o_orderkey, CASE WHEN p <= 0.0005 THEN '***' WHEN p <= 0.005 THEN '**' WHEN p <= 0.05 THEN '*' ELSE 'ns' END AS stars, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS p_text FROM (SELECT o_orderkey, (o_orderkey % 1000) / 7919.0::DOUBLE AS p FROM orders)")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybox.functions import boxes, contours, metrics, names
-from tallybox.operators import evaluation, graph, matching, reshape, resample, spatial, suppress, tiles
+from tallybox.operators import evaluation, graph, matching, naming, reshape, resample, spatial, suppress, tiles
 from tallybox.operators import statistics as S
 from tallybox.plans.tables import Tables
 from tallybox.sources import documents
@@ -273,3 +273,22 @@ def test_nearest_in_cells_equals_all_pairs(spark):
         if near[0] <= 60:
             want[k] = (near[1], round(near[0], 9))
     assert got == want
+
+
+def test_names_meet_at_their_rarest_substring(spark):
+    words = [f"nation_{k:03d}_x" for k in range(300)] + ["na", "n", "7", "", None, "zzz", "tion_007", "nation_"]
+    names_ = spark.createDataFrame([(w,) for w in words], "holder string")
+    met = naming._candidates(names_.where("holder IS NOT NULL").select(F.col("holder").alias("key"), F.col("holder").alias("text")).distinct(), names_.select(F.col("holder").alias("part")).where("length(part) > 3"))
+    assert met.where("part <> 'nation_'").count() < 12 * 300  # 302 * 302 with their first three characters
+    got = {(r["holder"], r["part"]) for r in naming.containing(names_, names_.withColumnRenamed("holder", "part")).collect()}
+    known = [w for w in words if w]
+    assert got == {(h, p) for h in known for p in known if p in h}
+
+
+def test_identifiers_in_texts(spark):
+    texts = spark.createDataFrame([(1, "see doi/10.1 and x"), (2, "doi/10.12"), (3, None), (4, ""), (1, "see doi/10.1 and x"), (5, "a b")], "id int, text string")
+    ids = spark.createDataFrame([("doi/10.1",), ("doi/10.1",), ("b",), ("10.12",), ("none",), (None,), ("",)], "identifier string")
+    assert sorted(map(tuple, naming.mentions(texts, ids).collect())) == [(1, "doi/10.1"), (2, "10.12"), (2, "doi/10.1"), (5, "b")]
+    pairs = spark.createDataFrame([("doi", "10.12"), ("x", "see"), ("", "a")], "p string, q string")
+    both = naming.holding_both(texts.select(F.col("text").alias("holder")), pairs, "p", "q")
+    assert sorted(map(tuple, both.select("holder", "p", "q").collect())) == [("doi/10.12", "doi", "10.12"), ("see doi/10.1 and x", "x", "see")]
