@@ -23,11 +23,15 @@ def match(gt: DataFrame, pred: DataFrame, threshold: float = 0.2, cell: int | No
     return taken.select("image_id", "idx_1", (-F.col("m.last")).alias("idx_2"), (-F.col("m.low")).alias("iou"))
 
 
-def match_table(gt: DataFrame, pred: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """A row for each ground truth and each unmatched prediction; -1, 0 and null stand for none."""
+def match_table(gt: DataFrame, pred: DataFrame, threshold: float = 0.2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each ground truth and each unmatched prediction; -1, 0 and null stand for none.
+
+    carry: columns of both tables to take along, as name_1 and name_2; null where a table has no such column.
+    """
     m = match(gt, pred, threshold)
-    g = gt.select("image_id", "dataset", F.col("ann_id").alias("idx_1"), boxes.area().alias("area_1"))
-    p = pred.select("image_id", F.col("dataset").alias("dataset_2"), F.col("ann_id").alias("idx_2"), F.col("conf").alias("conf2"), boxes.area().alias("area_2"))
+    beside = lambda df, k: [(F.col(c) if c in df.columns else F.lit(None)).alias(f"{c}_{k}") for c in carry]
+    g = gt.select("image_id", "dataset", F.col("ann_id").alias("idx_1"), boxes.area().alias("area_1"), *beside(gt, 1))
+    p = pred.select("image_id", F.col("dataset").alias("dataset_2"), F.col("ann_id").alias("idx_2"), F.col("conf").alias("conf2"), boxes.area().alias("area_2"), *beside(pred, 2))
     matched = m.join(p, ["image_id", "idx_2"], "right")
     both = g.join(matched, ["image_id", "idx_1"], "full")
     rows = both.select(
@@ -39,5 +43,6 @@ def match_table(gt: DataFrame, pred: DataFrame, threshold: float = 0.2) -> DataF
         F.coalesce("iou", F.lit(0.0)).alias("iou"),
         F.coalesce("area_1", F.lit(0)).alias("area_1"),
         F.coalesce("area_2", F.lit(0)).alias("area_2"),
+        *(f"{c}_{k}" for c in carry for k in (1, 2)),
     )
     return rows.withColumn("result", outcome(F.col("idx_1"), F.col("idx_2")))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybox.functions import names
+from tallybox.operators import reshape
+from tallybox.operators.matching import match_table
 from tallybox.operators.resample import content_split
 from tallybox.operators.work import folder
 from tallybox.plans.tables import MATCHES, Tables, query
@@ -34,6 +36,87 @@ def prediction_round_trip(t: Tables) -> DataFrame:
     return found.select(F.col("identifier").cast("bigint").alias("image_id"), "i", "x1", "y1", "x2", "y2", "conf", F.size("points").alias("n_points"))
 
 
+def _prediction_files(t: Tables, path: str) -> None:
+    """Prediction documents with their image's and mask's sizes."""
+    size = {"image_width": "1600 + image_id % 13 * 100", "image_height": "1200 + image_id % 7 * 100"}
+    rows = t.pred.withColumns({c: F.expr(e).cast("int") for c, e in size.items()}).withColumns({"image_path": F.expr("concat('/data/', image_id, '.jpg')"), "mask_width": F.expr("image_width div 2"), "mask_height": F.expr("image_height div 2")})
+    D.write_predictions(rows, path)
+
+
+@query("""WITH p AS (SELECT *, 1600 + image_id % 13 * 100 AS iw, 1200 + image_id % 7 * 100 AS ih FROM pred), n AS (SELECT *, dense_rank() OVER (ORDER BY image_id::VARCHAR)::INT AS image, row_number() OVER (ORDER BY image_id::VARCHAR, ann_id) - 1 AS id FROM p)
+SELECT id, image, image_id || '.jpg' AS file_name, x1::DOUBLE AS x, y1::DOUBLE AS y, (x2 - x1)::DOUBLE AS w, (y2 - y1)::DOUBLE AS h, conf, round_even(x1 * (iw - 1) / (iw // 2 - 1), 0)::INT AS first_x, round_even(y2 * (ih - 1) / (ih // 2 - 1), 0)::INT AS last_y FROM n""")
+def predictions_to_coco(t: Tables) -> DataFrame:
+    """Prediction documents to COCO documents of bounded size with ids that continue, written and read."""
+    path = folder(t.spark, "to-coco")
+    _prediction_files(t, f"{path}/in")
+    images, annotations = D.predictions_to_coco(t.spark.read.schema(D.PREDICTION).json(f"{path}/in"))
+    D.write_coco(images, annotations, f"{path}/out", most=1_000)
+    i, a, _ = D.read_coco(t.spark, f"{path}/out")
+    both = a.join(i.select(F.col("id").alias("image_id"), "file_name"), "image_id")
+    flat = F.col("segmentation")[0]
+    return both.select("id", F.col("image_id").alias("image"), "file_name", *(F.col("bbox")[k].alias(c) for k, c in enumerate("xywh")), "conf", flat[0].alias("first_x"), F.element_at(flat, -1).alias("last_y"))
+
+
+@query("SELECT row_number() OVER (ORDER BY g.dataset, g.image_id, ann_id) AS id, dense_rank() OVER (ORDER BY g.dataset, g.image_id)::INT AS image, (SELECT 'set ' || min(dataset) FROM images) AS description, (SELECT 'by ' || min(dataset) FROM images) AS license FROM gt g")
+def merged_documents(t: Tables) -> DataFrame:
+    """Many datasets as one, with new ids and the metadata of the first, written and read."""
+    path = folder(t.spark, "merged")
+    images, annotations = reshape.merge_datasets(t.images.select("dataset", "image_id", "width", "height", "file_name"), t.gt)
+    info = F.struct(F.concat(F.lit("set "), "dataset").alias("description"))
+    each = t.images.select("dataset").distinct().select("dataset", info.alias("info"), F.array(F.struct(F.lit(0).alias("id"), F.concat(F.lit("by "), "dataset").alias("name"))).alias("licenses"))
+    one = F.lit("all").alias("dataset")
+    i = images.select(one, F.col("new_image_id").cast("int").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "file_name")
+    a = annotations.select(one, F.col("new_ann_id").alias("id"), F.col("new_image_id").cast("int").alias("image_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.expr("x2 - x1").alias("w"), F.expr("y2 - y1").alias("h"), F.lit(None).cast("double").alias("conf"))
+    D.write_coco(i, a, path, most=1_000, metadata=D.first_metadata(each, "dataset", one))
+    _, rows, _ = D.read_coco(t.spark, path)
+    return rows.join(D.read_metadata(t.spark, path), "source").select("id", F.col("image_id").alias("image"), F.col("info.description").alias("description"), F.col("licenses")[0]["name"].alias("license"))
+
+
+@query("""SELECT m.image_id::VARCHAR AS image, idx_1, idx_2, NULL::DOUBLE AS conf1, conf2, iou AS "IoU", area_1 AS "contourArea_1", area_2 AS "contourArea_2",
+'[' || g.x1 || ',' || g.y1 || ',' || g.x2 || ',' || g.y2 || ']' AS bbox_1, '[' || p.x1 || ',' || p.y1 || ',' || p.x2 || ',' || p.y2 || ']' AS bbox_2,
+'[[' || g.x1 || ',' || g.y1 || '],[' || g.x2 || ',' || g.y1 || '],[' || g.x2 || ',' || g.y2 || '],[' || g.x1 || ',' || g.y2 || ']]' AS contour_1, '[[' || p.x1 || ',' || p.y1 || '],[' || p.x2 || ',' || p.y1 || '],[' || p.x2 || ',' || p.y2 || '],[' || p.x1 || ',' || p.y2 || ']]' AS contour_2
+FROM matches m LEFT JOIN gt g ON g.ann_id = idx_1 LEFT JOIN pred p ON p.ann_id = idx_2""", MATCHES)
+def match_csv_with_shapes(t: Tables) -> DataFrame:
+    """The match table with both confidences, boxes and contours, as ;-separated text and back."""
+    path = folder(t.spark, "matches")
+    corners = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))))
+    m = match_table(t.gt.withColumns({"points": corners, "conf": F.lit(None).cast("double")}), t.pred.withColumn("points", corners), carry=("conf", "x1", "y1", "x2", "y2", "points"))
+    D.write_matches(D.match_rows(m), path)
+    return D.read_matches(t.spark, path)
+
+
+@query("SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY ann_id) - 1)::INT AS i, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2, conf FROM pred")
+def prediction_stream(t: Tables) -> DataFrame:
+    """Prediction documents as a stream of files, faulty ones set aside, into a row per detection."""
+    path = folder(t.spark, "arriving")
+    _prediction_files(t, f"{path}/in")
+    t.spark.createDataFrame([('{"boxes": [[1, 2',), ('{"boxes": [[1, 2, 3, 4]], "identifier": "x"}',)], "value string").write.mode("append").text(f"{path}/in")
+    jobs.ingest_predictions(jobs.stream_predictions(t.spark, f"{path}/in", lines=True), f"{path}/rows", f"{path}/faults", f"{path}/state").awaitTermination()
+    rows = jobs.ingested(t.spark, f"{path}/rows")
+    return rows.select(F.col("identifier").cast("bigint").alias("image_id"), "i", "x1", "y1", "x2", "y2", "conf")
+
+
+@query("SELECT image_id::VARCHAR AS image_id, '0 ' || string_agg(v, ' ' ORDER BY k) AS line FROM (SELECT g.image_id, ann_id, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS k, printf('%.6f', round(unnest([x1 / width, y1 / height, x2 / width, y1 / height, x2 / width, y2 / height, x1 / width, y2 / height]), 6)) AS v FROM gt g JOIN images i ON i.image_id = g.image_id) GROUP BY image_id, ann_id")
+def yolo_lines(t: Tables) -> DataFrame:
+    """Label files of every image, and the lines in them."""
+    path = folder(t.spark, "label-files")
+    rows = t.gt.drop("dataset").join(t.images, "image_id").withColumn("split", content_split(F.col("image_id").cast("string")))
+    points = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))))
+    D.write_yolo(rows.select("split", F.col("image_id").cast("string").alias("image"), F.lit(0).alias("class"), "width", "height", points.alias("points")), path)
+    lines = t.spark.read.schema("value string, split string, image string").text(path)
+    return lines.select(F.col("image").alias("image_id"), F.col("value").alias("line"))
+
+
+@query("SELECT image_id, 'jpg' AS ext, CASE WHEN image_id % 3 = 0 THEN 'val' ELSE 'train' END AS split FROM images")
+def path_index(t: Tables) -> DataFrame:
+    """Features of the paths in a text index, and the image they name."""
+    path = folder(t.spark, "index")
+    line = F.concat(F.lit("/data/"), F.when(F.col("image_id") % 3 == 0, "val").otherwise("train"), F.lit("/images/"), F.col("image_id").cast("string"), F.lit(".jpg "))
+    t.images.select(F.explode(F.array(line, F.lit("  "))).alias("value")).write.text(path)
+    parts = names.path_features(F.col("path"))
+    return D.read_path_index(t.spark, path).select(F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("bigint").alias("image_id"), parts["ext"].alias("ext"), parts["split"].alias("split"))
+
+
 @query("SELECT image_id::VARCHAR AS image, idx_1, idx_2, conf2, area_1 FROM matches", MATCHES)
 def match_csv_round_trip(t: Tables) -> DataFrame:
     """The match table as ;-separated text with NA, and back."""

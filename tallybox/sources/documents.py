@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallybox.operators.ordered import scan
+from tallybox.operators.work import written
+
 IMAGE = "id: int, width: int, height: int, file_name: string, license: int, date_captured: string"
 ANNOTATION = "id: bigint, image_id: int, category_id: int, segmentation: array<array<int>>, area: double, bbox: array<double>, iscrowd: int, conf: double"
 CATEGORY = "id: int, name: string, supercategory: string"
-COCO = f"images array<struct<{IMAGE}>>, annotations array<struct<{ANNOTATION}>>, categories array<struct<{CATEGORY}>>"
+INFO = "description: string, version: string, year: string, contributor: string, url: string, date_created: string"
+LICENSE = "id: int, name: string, url: string"
+COCO = f"images array<struct<{IMAGE}>>, annotations array<struct<{ANNOTATION}>>, categories array<struct<{CATEGORY}>>, info struct<{INFO}>, licenses array<struct<{LICENSE}>>"
 PREDICTION = (
     "boxes array<array<int>>, contours array<array<array<int>>>, confs array<double>, classes array<int>, scales array<double>, areas array<double>, "
     "image_path string, image_width int, image_height int, mask_width int, mask_height int, identifier string"
 )
-MATCH = "image string, idx_1 bigint, idx_2 bigint, conf1 double, conf2 double, IoU double, contourArea_1 bigint, contourArea_2 bigint, bbox_1 string, bbox_2 string"
+MATCH = "image string, idx_1 bigint, idx_2 bigint, conf1 double, conf2 double, IoU double, contourArea_1 bigint, contourArea_2 bigint, bbox_1 string, bbox_2 string, contour_1 string, contour_2 string"
+#: Annotations of a document, besides those of one image more.
+MOST = 20_000
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -23,13 +30,45 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return part("images"), part("annotations"), part("categories")
 
 
-def write_coco(images: DataFrame, annotations: DataFrame, path: str, dataset: str = "dataset") -> None:
-    """A COCO document for each dataset: images (id, width, height, file_name), annotations (id, image_id, x, y, w, h, conf)."""
-    i = images.groupBy(dataset).agg(F.sort_array(F.collect_list(F.struct("id", "width", "height", "file_name"))).alias("images"))
-    shape = F.struct("id", "image_id", F.lit(1).alias("category_id"), F.array("x", "y", "w", "h").alias("bbox"), F.lit(0.0).alias("area"), F.lit(0).alias("iscrowd"), "conf")
-    a = annotations.groupBy(dataset).agg(F.sort_array(F.collect_list(shape)).alias("annotations"))
-    kinds = F.expr("array(named_struct('id', 1, 'name', 'insect', 'supercategory', 'insect'))").alias("categories")
-    i.join(a, dataset, "left").select("images", F.coalesce("annotations", F.array()).alias("annotations"), kinds, dataset).write.partitionBy(dataset).json(path)
+def write_coco(images: DataFrame, annotations: DataFrame, path: str, dataset: str = "dataset", most: int = MOST, metadata: DataFrame | None = None) -> DataFrame:
+    """COCO documents of bounded size for each dataset, in folders by dataset and shard; returns their manifest.
+
+    images: (dataset, id, width, height, file_name). annotations: (dataset, id, image_id, x, y, w, h,
+    conf) and perhaps area and segmentation. metadata: (dataset, info, licenses), for all documents of a
+    dataset. Images go in the order of their ids, found by a prefix sum of their annotations: a
+    shard starts anew after ``most`` images and annotations, and an image stays with its annotations. The
+    manifest has a row for each document: dataset, shard, n_images, n_annotations.
+    """
+    n = annotations.groupBy(F.col(dataset).alias("of_"), F.col("image_id").alias("on_")).agg(F.count("*").alias("n_"))
+    weighed = images.join(n, F.col(dataset).eqNullSafe(F.col("of_")) & (F.col("id") == F.col("on_")), "left").withColumn("load_", F.coalesce("n_", F.lit(0)) + 1).drop("of_", "on_", "n_")
+    placed = scan(weighed, [dataset], ["id"], {"run_": F.col("load_")})
+    placed = written(placed.withColumn("shard", F.floor((F.col("run_") - F.col("load_")) / most)).drop("run_", "load_"), "shards")
+    i = placed.groupBy(dataset, "shard").agg(F.sort_array(F.collect_list(F.struct("id", "width", "height", "file_name"))).alias("images"))
+    extra = [F.col("area") if "area" in annotations.columns else F.lit(0.0).alias("area"), F.lit(0).alias("iscrowd"), "conf"]
+    extra += [F.array("segmentation").alias("segmentation")] if "segmentation" in annotations.columns else []
+    shape = F.struct("id", "image_id", F.lit(1).alias("category_id"), F.array("x", "y", "w", "h").alias("bbox"), *extra)
+    home = placed.select(F.col(dataset).alias("of_"), F.col("id").alias("on_"), "shard")
+    a = annotations.join(home, F.col(dataset).eqNullSafe(F.col("of_")) & (F.col("image_id") == F.col("on_")))
+    a = a.groupBy(F.col(dataset).alias("of_"), F.col("shard").alias("in_")).agg(F.sort_array(F.collect_list(shape)).alias("annotations"))
+    kinds = F.expr("array(named_struct('id', 1, 'name', 'insect', 'supercategory', ''))").alias("categories")
+    docs = i.join(a, F.col(dataset).eqNullSafe(F.col("of_")) & (F.col("shard") == F.col("in_")), "left")
+    if metadata is not None:
+        docs = docs.join(metadata.withColumnRenamed(dataset, "meta_"), F.col(dataset).eqNullSafe(F.col("meta_")), "left")
+    more = ["info", "licenses"] if metadata is not None else []
+    docs.select("images", F.coalesce("annotations", F.array()).alias("annotations"), kinds, *more, dataset, "shard").write.partitionBy(dataset, "shard").json(path)
+    sizes = annotations.join(home, F.col(dataset).eqNullSafe(F.col("of_")) & (F.col("image_id") == F.col("on_"))).groupBy(F.col("of_"), F.col("shard").alias("in_")).agg(F.count("*").alias("n_annotations"))
+    every = placed.groupBy(dataset, "shard").agg(F.count("*").alias("n_images"))
+    return every.join(sizes, F.col(dataset).eqNullSafe(F.col("of_")) & (F.col("shard") == F.col("in_")), "left").select(dataset, "shard", "n_images", F.coalesce("n_annotations", F.lit(0)).alias("n_annotations"))
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """source, info and licences of COCO documents."""
+    return spark.read.schema(COCO).json(path, multiLine=True).select(F.input_file_name().alias("source"), "info", "licenses")
+
+
+def first_metadata(metadata: DataFrame, order: str, dataset: Column) -> DataFrame:
+    """(dataset, info, licenses) of the first of many datasets, for the one they are merged to."""
+    return metadata.orderBy(order).limit(1).select(dataset.alias("dataset"), "info", "licenses")
 
 
 def read_predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -37,31 +76,63 @@ def read_predictions(spark: SparkSession, path: str, lines: bool = False) -> Dat
 
     lines: a document per line, as Spark writes them, not per file.
     """
-    docs = spark.read.schema(PREDICTION).json(path, multiLine=not lines)
+    return detections_of(spark.read.schema(PREDICTION).json(path, multiLine=not lines))
+
+
+def detections_of(docs: DataFrame, *keep: str) -> DataFrame:
+    """A row per detection of prediction documents."""
     flat = docs.select(
-        F.translate("identifier", '[]"', "").alias("identifier"), "image_path", "image_width", "image_height", "mask_width", "mask_height",
+        *keep, F.translate("identifier", '[]"', "").alias("identifier"), "image_path", "image_width", "image_height", "mask_width", "mask_height",
         F.posexplode(F.arrays_zip("boxes", "contours", "confs", "classes", "scales")).alias("i", "d"),
     )
     side = lambda k: F.get(F.col("d.boxes"), F.lit(k)).alias(("x1", "y1", "x2", "y2")[k])
     points = F.transform(F.arrays_zip(F.get(F.col("d.contours"), F.lit(0)).alias("x"), F.get(F.col("d.contours"), F.lit(1)).alias("y")), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return flat.select("identifier", "image_path", "image_width", "image_height", "mask_width", "mask_height", "i", *map(side, range(4)), F.col("d.confs").alias("conf"), F.col("d.classes").alias("class"), F.col("d.scales").alias("scale"), points.alias("points"))
+    return flat.select(*keep, "identifier", "image_path", "image_width", "image_height", "mask_width", "mask_height", "i", *map(side, range(4)), F.col("d.confs").alias("conf"), F.col("d.classes").alias("class"), F.col("d.scales").alias("scale"), points.alias("points"))
 
 
 def write_predictions(detections: DataFrame, path: str) -> None:
-    """One document per image from rows (image_id, ann_id, x1, y1, x2, y2, conf), arrays in id order."""
+    """One document per image from rows (image_id, ann_id, x1, y1, x2, y2, conf), arrays in id order.
+
+    Columns image_path, image_width, image_height, mask_width and mask_height of the image go along if there are any.
+    """
     rows = F.sort_array(F.collect_list(F.struct("ann_id", F.array("x1", "y1", "x2", "y2").alias("box"), "conf")))
-    docs = detections.groupBy("image_id").agg(rows.alias("r"))
+    own = [c for c in ("image_path", "image_width", "image_height", "mask_width", "mask_height") if c in detections.columns]
+    docs = detections.groupBy("image_id").agg(rows.alias("r"), *(F.first(c).alias(c) for c in own))
     docs.select(
         F.transform("r", lambda d: d["box"]).alias("boxes"), F.transform("r", lambda d: F.array(F.array(d["box"][0], d["box"][2]), F.array(d["box"][1], d["box"][3]))).alias("contours"),
         F.transform("r", lambda d: d["conf"]).alias("confs"), F.transform("r", lambda d: F.lit(0)).alias("classes"), F.transform("r", lambda d: F.lit(1.0)).alias("scales"),
-        F.col("image_id").cast("string").alias("identifier"),
+        F.col("image_id").cast("string").alias("identifier"), *own,
     ).write.json(path)
 
 
-def detections_to_coco(detections: DataFrame, image_ids: DataFrame) -> DataFrame:
-    """Annotation rows (image_id, x, y, w, h, conf) with image ids from (identifier, id)."""
-    d = detections.join(image_ids, "identifier")
-    return d.select(F.col("id").alias("image_id"), "i", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), "conf")
+def predictions_to_coco(docs: DataFrame, dataset: str = "predictions") -> tuple[DataFrame, DataFrame]:
+    """Images and annotations, as ``write_coco`` takes them, of prediction documents (read with the schema PREDICTION).
+
+    Images are numbered from 1 in the order of their identifiers, annotations from 0 across all
+    images; contours are brought from the mask to the image and rounded half to even. Images
+    without detections stay.
+    """
+    one = F.translate("identifier", '[]"', "")
+    named = docs.select(one.alias("identifier"), F.element_at(F.split("image_path", "/"), -1).alias("file_name"), F.col("image_width").alias("width"), F.col("image_height").alias("height")).distinct()
+    images = written(scan(named, [], ["identifier", "file_name"], {"id": F.lit(1)}), "coco-images")
+    d = detections_of(docs).join(images.select("identifier", F.col("id").cast("int").alias("image_id")), "identifier")
+    scaled = lambda c, mask, whole: F.bround(c * (F.col(whole) - 1) / (F.col(mask) - 1)).cast("int")
+    flat = F.flatten(F.transform("points", lambda p: F.array(scaled(p["x"], "mask_width", "image_width"), scaled(p["y"], "mask_height", "image_height"))))
+    a = d.select("image_id", "i", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), "conf", flat.alias("segmentation"))
+    a = scan(a, [], ["image_id", "i"], {"id": F.lit(1).cast("bigint")}).withColumn("id", F.col("id") - 1).drop("i")
+    name = F.lit(dataset).alias("dataset")
+    return images.select(name, F.col("id").cast("int").alias("id"), "width", "height", "file_name"), a.select(name, "*")
+
+
+def match_rows(matches: DataFrame) -> DataFrame:
+    """A match table that carries boxes and contours (``match_table(carry=...)``) in the columns of the CSV.
+
+    Boxes and contours are JSON lists, [x1, y1, x2, y2] and [[x, y], ...]; those that are missing, null.
+    """
+    box = lambda k: F.when(F.col(f"x1_{k}").isNotNull(), F.to_json(F.array(*(F.col(f"{s}_{k}") for s in ("x1", "y1", "x2", "y2"))))).alias(f"bbox_{k}")
+    outline = lambda k: F.to_json(F.transform(f"points_{k}", lambda p: F.array(p["x"], p["y"]))).alias(f"contour_{k}")
+    areas = (F.col(f"area_{k}").alias(f"contourArea_{k}") for k in (1, 2))
+    return matches.select(F.col("image_id").cast("string").alias("image"), "idx_1", "idx_2", F.col("conf_1").alias("conf1"), "conf2", F.col("iou").alias("IoU"), *areas, box(1), box(2), outline(1), outline(2))
 
 
 def write_matches(matches: DataFrame, path: str) -> None:
@@ -88,10 +159,16 @@ def with_run_metadata(results: DataFrame, metadata: DataFrame, key: str = "run")
     return results.join(metadata, key)
 
 
-def list_files(spark: SparkSession, path: str, pattern: str, recursive: bool = True) -> DataFrame:
-    """(path, modificationTime, length) of files whose name matches; contents are not read."""
+def list_files(spark: SparkSession, path: str, pattern: str, recursive: bool = True, first: int | None = None) -> DataFrame:
+    """(path, modificationTime, length) of files whose name matches, sorted by path, all or the first few; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "modificationTime", "length")
-    return files.where(F.col("path").rlike(pattern))
+    found = files.where(F.col("path").rlike(pattern)).orderBy("path")
+    return found if first is None else found.limit(first)
+
+
+def read_path_index(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of a text index of files: a path on each line, blank lines left out."""
+    return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
 
 
 def write_yolo(annotations: DataFrame, path: str) -> None:
@@ -99,7 +176,8 @@ def write_yolo(annotations: DataFrame, path: str) -> None:
 
     annotations: (split, image, class, width, height, points).
     """
-    scaled = F.transform("points", lambda p: F.concat_ws(" ", F.round(p["x"] / F.col("width"), 6).cast("string"), F.round(p["y"] / F.col("height"), 6).cast("string")))
+    fixed = lambda v: F.format_string("%.6f", F.round(v, 6))  # noqa: E731  never an exponent
+    scaled = F.transform("points", lambda p: F.concat_ws(" ", fixed(p["x"] / F.col("width")), fixed(p["y"] / F.col("height"))))
     line = F.concat_ws(" ", F.col("class").cast("string"), F.array_join(scaled, " "))
     annotations.select("split", "image", line.alias("value")).repartition("split", "image").write.partitionBy("split", "image").text(path)
 

@@ -202,9 +202,11 @@ def test_a_real_shaped_document(spark, tmp_path):
     (tmp_path / "a.json").write_text(doc)
     rows = documents.read_predictions(spark, f"file://{tmp_path}/*.json").orderBy("i").collect()
     assert [(r["identifier"], r["i"], r["x2"], r["conf"], len(r["points"])) for r in rows] == [("id1", 0, 30, 0.9, 3), ("id1", 1, 70, 0.8, 2)]
-    ids = spark.createDataFrame([("id1", 7)], "identifier string, id int")
-    coco = documents.detections_to_coco(documents.read_predictions(spark, f"file://{tmp_path}/*.json"), ids).orderBy("i").first()
-    assert (coco["image_id"], coco["w"], coco["h"]) == (7, 29, 38)
+    images, annotations = documents.predictions_to_coco(spark.read.schema(documents.PREDICTION).json(f"file://{tmp_path}/*.json", multiLine=True))
+    assert [tuple(r) for r in images.select("id", "width", "height", "file_name").collect()] == [(1, 100, 90, "a.jpg")]
+    first = annotations.orderBy("id").first()
+    # 3 and 6 in a mask of 50 x 45 stand for 3 * 99 / 49 and 6 * 89 / 44 in the image
+    assert (first["id"], first["image_id"], first["w"], first["h"]) == (0, 1, 29, 38) and first["segmentation"] == [2, 8, 4, 10, 6, 12]
 
 
 def test_missing_metadata_raises(spark):
