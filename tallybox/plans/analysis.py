@@ -13,8 +13,9 @@ from tallybox.operators import evaluation as E
 from tallybox.operators import coordinates, graph, naming, reshape, spatial, tiles
 from tallybox.operators import resample as R
 from tallybox.operators import statistics as S
-from tallybox.operators.ordered import scan
+from tallybox.operators.ordered import numbered, scan
 from tallybox.operators.vector_tree import vector_tree
+from tallybox.operators.work import folder
 from tallybox.plans.detection import CLUSTERED, GREEDY, rounded
 from tallybox.plans.tables import MATCHES, Tables, query, sql_overlaps
 
@@ -430,8 +431,12 @@ def cube_slices(t: Tables) -> DataFrame:
 
 @query("SELECT short, metric, stat, round(value, 6) AS value FROM (SELECT short, avg(f1) AS f1_mean, max(f1) AS f1_max, avg(p) AS p_mean, max(p) AS p_max FROM cube GROUP BY short) s, LATERAL (VALUES ('f1', 'mean', f1_mean), ('f1', 'max', f1_max), ('p', 'mean', p_mean), ('p', 'max', p_max)) v(metric, stat, value)", RUNS)
 def long_metrics(t: Tables) -> DataFrame:
+    """Metrics in long form, written as a table and read."""
     wide = _runs(t).groupBy("short").agg(F.avg("f1").alias("f1_mean"), F.max("f1").alias("f1_max"), F.avg("p").alias("p_mean"), F.max("p").alias("p_max"))
-    return rounded(reshape.melted(wide, ["short"], "^([^_]+)_(.+)$", ["metric", "stat"]), "value")
+    long = rounded(reshape.melted(wide, ["short"], "^([^_]+)_(.+)$", ["metric", "stat"]), "value")
+    path = folder(t.spark, "long")
+    long.write.csv(path, sep=";", header=True, nullValue="NA")
+    return t.spark.read.schema(long.schema).csv(path, sep=";", header=True, nullValue="NA")
 
 
 @query("WITH s AS (SELECT DISTINCT short FROM cube) SELECT a.short AS a, b.short AS b, 'pair' AS kind FROM s a JOIN s b ON a.short < b.short UNION ALL SELECT short, short, 'single' FROM s UNION ALL SELECT 'FULL', 'FULL', 'full' UNION ALL SELECT a.short, b.short, 'fine-tune' FROM s a JOIN s b ON a.short = b.short UNION ALL SELECT short, 'FULL', 'fine-tune' FROM s", RUNS)
@@ -551,10 +556,12 @@ def distinct_counts(t: Tables) -> DataFrame:
     return t.pred.agg(F.count_distinct("dataset").alias("datasets"), F.count_distinct("image_id").alias("images"))
 
 
-@query("SELECT dataset, list(image_id ORDER BY image_id)[1] AS first_image, string_agg(image_id::VARCHAR, ',' ORDER BY image_id) AS images FROM images GROUP BY dataset")
+@query("WITH n AS (SELECT dataset, image_id, (row_number() OVER (PARTITION BY dataset ORDER BY image_id) - 1) // 500 AS part FROM images) SELECT dataset, part, min(image_id) AS first_image, string_agg(image_id::VARCHAR, ',' ORDER BY image_id) AS images FROM n GROUP BY dataset, part")
 def images_by_dataset(t: Tables) -> DataFrame:
+    """The images of each dataset as lists of at most 500, in order."""
+    rows = numbered(t.images.select("dataset", "image_id"), ["image_id"], "dataset").withColumn("part", F.floor(F.col("i") / 500))
     s = F.sort_array(F.collect_list("image_id"))
-    return t.images.groupBy("dataset").agg(F.min("image_id").alias("first_image"), F.array_join(F.transform(s, lambda v: v.cast("string")), ",").alias("images"))
+    return rows.groupBy("dataset", "part").agg(F.min("image_id").alias("first_image"), F.array_join(F.transform(s, lambda v: v.cast("string")), ",").alias("images"))
 
 
 @query("SELECT image_id, dataset, file_name FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY file_name) AS r FROM images WHERE NOT regexp_matches(dataset, '^d0[0-4]')) WHERE r <= 5")
@@ -605,6 +612,14 @@ def recoded_values(t: Tables) -> DataFrame:
 @query("WITH e AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(sqrt(d), 4) AS distance FROM e", "one AS (SELECT 1)")
 def label_distances(t: Tables) -> DataFrame:
     """Distances of vectors within a label."""
+    v = t("embeddings")
+    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
+    return a.join(b, "label").where("a < b").select("a", "b", F.round(F.sqrt(graph.squared_distance(F.col("ea"), F.col("eb"))), 4).alias("distance"))
+
+
+@query()
+def minimum_spanning_tree(t: Tables) -> DataFrame:
+    """The least tree of each label's vectors."""
     return vector_tree(t("embeddings"), "label", "vec_id", "embedding")
 
 

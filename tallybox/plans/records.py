@@ -12,7 +12,7 @@ from tallybox.operators import statistics as S
 from tallybox.operators.ordered import numbered
 from tallybox.operators.work import folder
 from tallybox.plans.analysis import RUNS, _octagons, _points, _runs
-from tallybox.plans.detection import rounded
+from tallybox.plans.detection import _ap_sql, rounded
 from tallybox.plans.tables import MATCHES, Tables, query
 
 
@@ -113,10 +113,11 @@ def flip_contours(t: Tables) -> DataFrame:
     return _octagons(t.gt).select("ann_id", p.alias("q")).select("ann_id", b["x1"].alias("x1"), b["x2"].alias("x2"), b["y1"].alias("y1"))
 
 
-@query("WITH m AS (SELECT dataset, avg((iou >= 0.5)::INT) AS a, avg((iou >= 0.75)::INT) AS b FROM matches WHERE result <> 'FP' GROUP BY dataset) SELECT dataset, round(0.1 * a + 0.9 * b, 6) AS fitness FROM m", MATCHES)
+@query(_ap_sql("range(50, 96, 5)", "standard") + ", a AS (SELECT dataset, t, sum(part) AS ap FROM d GROUP BY ALL) SELECT dataset, round(0.1 * max(ap) FILTER (t = 50) + 0.9 * avg(ap), 6) AS fitness FROM a GROUP BY dataset", MATCHES)
 def fitness_score(t: Tables) -> DataFrame:
-    at = lambda v: F.avg((F.col("iou") >= v).cast("int"))
-    m = t.matches.where("result <> 'FP'").groupBy("dataset").agg(at(0.5).alias("a"), at(0.75).alias("b"))
+    """Fitness of average precision: at an overlap of 0.5, and its mean over 0.5, 0.55, ... 0.95."""
+    ap = E.average_precision(t.matches, list(range(50, 96, 5)))
+    m = ap.groupBy("dataset").agg(F.max(F.when(F.col("t") == 50, F.col("ap"))).alias("a"), F.avg("ap").alias("b"))
     return m.select("dataset", F.round(metrics.fitness(F.col("a"), F.col("b")), 6).alias("fitness"))
 
 
