@@ -74,6 +74,20 @@ SPAN = "array<struct<x0:bigint,x1:bigint>>"
 ROWS = f"array<{SPAN}>"
 
 
+def _union(r: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (row, x0, x1) sorted, those of a row that overlap or touch as one."""
+    if not len(r):
+        return r, x0, x1
+    order = np.lexsort((x0, r))
+    r, x0, x1 = r[order], x0[order], x1[order]
+    wide = int(x1.max() - x0.min()) + 2
+    reach = np.maximum.accumulate(x1 - x0.min() + r * wide)  # of all spans before, in this row or those above
+    new = np.r_[True, ((x0 - x0.min() + r * wide)[1:] > reach[:-1] + 1) | (r[1:] != r[:-1])]
+    last = np.r_[np.flatnonzero(new)[1:] - 1, len(r) - 1]
+    r, least = r[new], x0.min()
+    return r, x0[new], reach[last] - r * wide + least
+
+
 def _fill(points: pa.Array) -> pa.Array:
     """A column of contours to their filled rows, all contours of a batch at once."""
     n = len(points)
@@ -113,14 +127,7 @@ def _fill(points: pa.Array) -> pa.Array:
     x0, x1 = np.ceil(x0).astype(np.int64), np.floor(x1).astype(np.int64)
     keep = x1 >= x0
     r, x0, x1 = r[keep], x0[keep], x1[keep]
-    order = np.lexsort((x0, r))
-    r, x0, x1 = r[order], x0[order], x1[order]
-    if len(r):  # spans that touch become one: a new one starts beyond all before it in its row
-        wide = int(x1.max() - x0.min()) + 2
-        reach = np.maximum.accumulate(x1 - x0.min() + r * wide)
-        new = np.r_[True, (x0 - x0.min() + r * wide)[1:] > reach[:-1] + 1] | np.r_[True, r[1:] != r[:-1]]
-        last = np.r_[np.flatnonzero(new)[1:] - 1, len(r) - 1]
-        r, x0, x1 = r[new], x0[new], (reach - r * wide)[last] + x0.min()
+    r, x0, x1 = _union(r, x0, x1)
     spans_ = pa.StructArray.from_arrays([pa.array(x0, pa.int64()), pa.array(x1, pa.int64())], ["x0", "x1"])
     rows_ = pa.ListArray.from_arrays(np.r_[0, np.bincount(r, minlength=height.sum()).cumsum()].astype(np.int32), spans_)
     offsets = pa.array(np.r_[0, height.cumsum()].astype(np.int32), mask=np.r_[~held, False])
@@ -153,13 +160,30 @@ def n_pixels(rows_: Column) -> Column:
     return _total(F.transform(F.flatten(rows_), lambda s: s["x1"] - s["x0"] + 1))
 
 
+def _listed(rows_: pa.Array, y0: pa.Array) -> tuple[np.ndarray, ...]:
+    """(pair, y, x0, x1) of all spans of a column of filled rows."""
+    lines = rows_.flatten()
+    tall = pc.list_value_length(rows_).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    pair = np.repeat(np.arange(len(rows_)), tall)
+    y = np.repeat(y0.fill_null(0).to_numpy(zero_copy_only=False), tall) + np.arange(len(pair)) - np.repeat(tall.cumsum() - tall, tall)
+    n = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lines.flatten()
+    return np.repeat(pair, n), np.repeat(y, n), *(flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+
+
+def _shared(rows_a: pa.Array, y_a: pa.Array, rows_b: pa.Array, y_b: pa.Array) -> pa.Array:
+    """Pixels of both contours of each pair: those of each, less those of their union."""
+    parts = [np.concatenate(p) for p in zip(_listed(rows_a, y_a), _listed(rows_b, y_b), strict=True)]
+    pair, y, x0, x1 = parts
+    total = np.bincount(pair, x1 - x0 + 1, len(rows_a))
+    high = int(y.max() - y.min()) + 1 if len(y) else 1
+    r, x0, x1 = _union(pair * high + (y - y.min() if len(y) else y), x0, x1)
+    return pa.array((total - np.bincount(r // high, x1 - x0 + 1, len(rows_a))).astype(np.int64))
+
+
 def shared_pixels(rows_a: Column, y_a: Column, rows_b: Column, y_b: Column) -> Column:
-    """Pixels of both of two filled contours, row against row; y_a and y_b are their first rows."""
-    low, high = F.greatest(y_a, y_b), F.least(y_a + F.size(rows_a), y_b + F.size(rows_b)) - 1
-    meet = lambda s, t: F.greatest(F.lit(0).cast("bigint"), F.least(s["x1"], t["x1"]) - F.greatest(s["x0"], t["x0"]) + 1)
-    at = lambda r, y0, y: F.get(r, (y - y0).cast("int"))
-    line = lambda y: _total(F.transform(at(rows_a, y_a, y), lambda s: _total(F.transform(at(rows_b, y_b, y), lambda t: meet(s, t)))))
-    return F.when(high >= low, _total(F.transform(F.sequence(low, F.greatest(low, high)), line))).otherwise(F.lit(0).cast("bigint"))
+    """Pixels of both of two filled contours; y_a and y_b are their first rows."""
+    return F.arrow_udf(_shared, "bigint")(rows_a, y_a, rows_b, y_b)
 
 
 def clipped(rows_: Column, y0: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybox.functions import boxes, contours
+from tallybox.operators.work import written
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -45,10 +46,13 @@ def self_overlaps(df: DataFrame, on: str = "image_id", key: str = "ann_id", cell
 
 
 def with_rows(df: DataFrame, points: str = "points") -> DataFrame:
-    """``df`` with the filled rows of its contours in place of them, their first row, their pixels, and x1..y2 of the box they fill (corners inclusive and exclusive)."""
+    """``df`` with the filled rows of its contours in place of them, their first row y0, their pixels, and x1..y2 of the box they fill (corners inclusive and exclusive).
+
+    Written, so that contours are filled once however often their columns are used.
+    """
     own = df.withColumn("rows", contours.rows(F.col(points))).withColumn("y0", contours.first_row(F.col(points))).drop(points)
     box = contours.row_bounds(F.col("rows"), F.col("y0"))
-    return own.withColumns({"pixels": contours.n_pixels(F.col("rows"))} | {s: box[s] + int(s in ("x2", "y2")) for s in boxes.SIDES})
+    return written(own.withColumns({"pixels": contours.n_pixels(F.col("rows"))} | {s: box[s] + int(s in ("x2", "y2")) for s in boxes.SIDES}), "contour-rows")
 
 
 def contour_intersections(a: DataFrame, b: DataFrame, key: str = "ann_id", on: str = "image_id", cell: int | None = CELL) -> DataFrame:

@@ -162,9 +162,11 @@ def concave_contours(t: Tables) -> DataFrame:
 @query(f"WITH s AS ({CONCAVE}), n AS (SELECT ann_id, shape, sum(x1 - x0 + 1) AS n, sum(greatest(0, least(x1, 1199) - greatest(x0, 400) + 1)) FILTER (y >= 300 AND y < 1000) AS v FROM s GROUP BY ann_id, shape) SELECT ann_id, shape, round(v / n, 6) AS visible FROM n WHERE v / n >= 0.5")
 def visible_contours(t: Tables) -> DataFrame:
     """Contours of whose filled area at least half lies in a window, and that share."""
-    own = _concave(t).withColumns({"rows": contours.rows(F.col("points")), "y0": contours.first_row(F.col("points"))})
+    own = spatial.with_rows(_concave(t))
     inside = contours.clipped(F.col("rows"), F.col("y0"), F.lit(400), F.lit(300), F.lit(1200), F.lit(1000))
-    seen = own.select("ann_id", "shape", (contours.n_pixels(inside) / contours.n_pixels(F.col("rows"))).alias("visible"))
+    # a box without a place in the window has none in its contour
+    some = own.where("x1 < 1200 AND x2 > 400 AND y1 < 1000 AND y2 > 300")
+    seen = some.select("ann_id", "shape", (contours.n_pixels(inside) / F.col("pixels")).alias("visible"))
     return rounded(seen.where("visible >= 0.5"), "visible")
 
 
