@@ -42,9 +42,13 @@ def content_split(content: Column, p: float = 0.15) -> Column:
     return F.when(content_share(content) < p, "val").otherwise("train")
 
 
-def _unit(key: Column, block: Column, k: int) -> Column:
-    """The k-th of four numbers in [0, 1) from the md5 sum of a row's key and a block number."""
-    return F.conv(F.substring(F.md5(F.concat_ws("#", key, block.cast("string"))), 8 * k + 1, 8), 16, 10).cast("double") / 4294967296.0
+def _digest(key: Column, block: Column) -> Column:
+    return F.md5(F.concat_ws("#", key, block.cast("string")))
+
+
+def _unit(digest: Column, k: int) -> Column:
+    """The k-th of four numbers in [0, 1) from a digest."""
+    return F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
 #: Chances that a Poisson count of mean 1 is at most 0, 1, ...; what is beyond the last has no place among 2^32 draws.
@@ -87,7 +91,10 @@ def replicate_sums(df: DataFrame, key: Column, replicates: int, values: dict[str
     rows = rows.select(*by, key.cast("string").alias("key_"), (F.col("w_") * F.col("per_")).alias("mean_") if weight is not None else F.lit(None).cast("double").alias("mean_"), *(c.alias(f"v_{n}") for n, c in values.items()))
     blocks = rows.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
     mean = None if weight is None else F.col("mean_")
-    drawn = blocks.withColumns({f"n{k}_": poisson(_unit(F.col("key_"), F.col("block_"), k), mean) for k in range(4)})
+    # step by step: each is used more than once in the next
+    drawn = blocks.withColumn("digest_", _digest(F.col("key_"), F.col("block_")))
+    drawn = drawn.withColumns({f"u{k}_": _unit(F.col("digest_"), k) for k in range(4)})
+    drawn = drawn.withColumns({f"n{k}_": poisson(F.col(f"u{k}_"), mean) for k in range(4)})
     sums = drawn.groupBy(*by, "block_").agg(*(F.sum(F.col(f"n{k}_") * F.col(f"v_{n}")).alias(f"s{k}_{n}") for k in range(4) for n in values))
     each = F.explode(F.array(*(F.struct((F.col("block_") * 4 + k).alias("rep"), *(F.col(f"s{k}_{n}").alias(n) for n in values)) for k in range(4))))
     return sums.select(*by, each.alias("e")).select(*by, "e.*").where(F.col("rep") < replicates)

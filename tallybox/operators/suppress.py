@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +27,26 @@ def conflicts(df: DataFrame, clash: Column, cell: int | None = CELL, group: str
     return pairs.where(ahead & (F.col("a_ann_id") != F.col("b_ann_id"))).select(F.col(group).alias("group"), F.col("a_ann_id").alias("better"), F.col("b_ann_id").alias("worse"), F.col("a_conf").alias("conf"))
 
 
-def _sweep(pairs: pd.DataFrame) -> pd.DataFrame:
-    """What a group's conflicts suppress: those of the best row first, so a row is decided before it suppresses any."""
-    pairs = pairs.sort_values(["conf", "better"], ascending=[False, True])
-    gone: set = set()
-    for better, worse in zip(pairs["better"].tolist(), pairs["worse"].tolist(), strict=True):
-        if better not in gone:
-            gone.add(worse)
-    return pd.DataFrame({"ann_id": list(gone)}, dtype=pairs["better"].dtype)
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What conflicts suppress, from (group, better, worse) by group and, within it, those of the best row first.
+
+    So a row is decided before it suppresses any. Only what the group at hand has lost is held.
+    """
+    group, gone = object(), set()
+    for b in batches:
+        lost = []
+        for of, better, worse in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            if of != group:
+                group, gone = of, set()
+            if better not in gone and worse not in gone:
+                gone.add(worse)
+                lost.append(worse)
+        yield pa.RecordBatch.from_arrays([pa.array(lost, b.schema.field(2).type)], ["ann_id"])
+
+
+def _in_order(pairs: DataFrame, by: str, schema: str) -> DataFrame:
+    dealt = pairs.select(by, "better", "worse", "conf").repartition(by).sortWithinPartitions(by, F.desc("conf"), "better")
+    return dealt.drop("conf").mapInArrow(_sweep, schema)
 
 
 def _by_rounds(pairs: DataFrame, rounds: int) -> DataFrame:
@@ -70,13 +82,13 @@ def suppressed(pairs: DataFrame, most: int = MOST, rounds: int = 1000) -> DataFr
         return pairs.join(n, same, "left_anti"), pairs.join(n, same, "left_semi")
 
     few, many = split(pairs, "group")
-    gone = few.groupBy("group").applyInPandas(_sweep, schema)
+    gone = _in_order(few, "group", schema)
     if many.isEmpty():
         return gone
     home = components(many.select(F.col("better").alias("a"), F.col("worse").alias("b")))
     placed = written(many.join(home.withColumnRenamed("node", "better"), "better").select("component", "better", "worse", "conf"), "pairs")
     few, many = split(placed, "component")
-    gone = gone.unionByName(few.groupBy("component").applyInPandas(_sweep, schema))
+    gone = gone.unionByName(_in_order(few, "component", schema))
     return gone if many.isEmpty() else gone.unionByName(_by_rounds(many.select("better", "worse"), rounds))
 
 

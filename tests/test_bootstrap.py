@@ -53,7 +53,7 @@ def test_replicates_equal_the_plain_sums(sample, weighted):
 
 @pytest.mark.parametrize("mean", [0.0, 0.01, 1.0, 7.5, 120.0, 499.0, 2_000.0])
 def test_counts_have_the_mean_and_the_spread_of_poisson(spark, mean):
-    u = spark.range(20_000).select(resample._unit(F.col("id"), F.lit(0), 1).alias("u"))
+    u = spark.range(20_000).select(resample._unit(resample._digest(F.col("id"), F.lit(0)), 1).alias("u"))
     n = u.select(resample.poisson(F.col("u"), F.lit(mean)).alias("n")).agg(F.avg("n"), F.var_samp("n")).first()
     assert n[0] == pytest.approx(mean, abs=5 * math.sqrt(mean / 20_000) + 1e-9) and n[1] == pytest.approx(mean, rel=0.06, abs=1e-3)
 
