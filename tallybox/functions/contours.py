@@ -141,7 +141,7 @@ def rows(points: Column) -> Column:
     contour is what lies just above it, what lies just below it, and the edges that end or
     run on it: edges count in [low, high) for the one and (low, high] for the other, and
     sorted crossings pair up in both (even-odd). Rows of a batch are filled together in
-    numpy; as expressions over arrays the same takes some thirty times as long. Null
+    numpy; as expressions over arrays the same takes several times as long. Null
     contours stay null, empty ones have no rows.
     """
     return F.arrow_udf(_fill, ROWS)(points)
