@@ -7,8 +7,11 @@ adverts, reader comments) decides at once. Second pass: blocks of middle length
 good beside one of their kind or a good one; ambiguous short blocks take the label of
 the nearest decided neighbours, within the article if they stand in one, past link
 lists and boxes in it. Good blocks are joined in page order. Class names and ids count
-by whole names, never on a page's body or article; where they would leave a page
-without text, they are set aside, but for reader comments.
+by whole names, never on a page's body or article; parts that speak of comments or
+notices count within longer names as well. Where names would leave a page without
+text, they are set aside, but for whole names of reader comments. A link holds the
+blocks up to its end tag. On a page of short blocks only, those outside of ruled-out
+structure are its text.
 
 Each page is read on its own, whole. Null and empty pages have an empty text; repeated
 pages give repeated rows; an empty table gives an empty table; other columns than the
@@ -44,11 +47,16 @@ SILENT_TAGS = frozenset(SILENT.split("|"))
 BAD_TAGS = frozenset("aside dialog footer form menu nav".split())
 #: Parts of class names and ids. A name rules an element out if it has a bad part and no other than these.
 COMMENT_PARTS = frozenset("comment comments disqus replies reply respond".split())
-BAD_PARTS = COMMENT_PARTS | frozenset("ad ads advert adverts advertisement advertisements alert alerts banner banners breadcrumb breadcrumbs consent cookie cookies dialog footer gdpr legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination pager popup popups promo promos promoted recommended related search share sharing sidebar sidebars signup social sponsor sponsored subscribe tag tags toolbar topbar widget widgets".split())
+BAD_PARTS = COMMENT_PARTS | frozenset("ad ads advert adverts advertisement advertisements alert alerts banner banners breadcrumb breadcrumbs consent cookie cookies dialog disclaimer footer gdpr legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination paywall pager popup popups promo promos promoted recommended related search share sharing sidebar sidebars signup social sponsor sponsored subscribe tag tags toolbar topbar widget widgets".split())
+#: Parts that rule out in any company, in names of up to MOST_PARTS parts; and parts of names that tell a state, not a kind.
+ALONE_PARTS = frozenset("comment comments disclaimer disqus notice notices paywall".split())
+STATE_PARTS = frozenset("allow allowed closed disabled enabled has hide hidden no open with without".split())
+MOST_PARTS = 4
 NEUTRAL_PARTS = frozenset("area article articles bar block bottom box buttons column container content entry form global group header holder icons inner item items left links list main message outer page panel post posts primary right row secondary section side site slot sticky text thread title top unit user wrap wrapper".split())
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 BAD_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
 PIECE = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*)>|<[!/?a-zA-Z][^<>]*>""", re.DOTALL | re.IGNORECASE)
+LINK_TAG = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 SILENT_TAG = re.compile(rf"<(/?)({SILENT})(?=[\s/>])[^<>]*>", re.IGNORECASE)
 SENTENCE = re.compile(r"[.!?…。！？।؟]")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -68,6 +76,16 @@ def _named(attrs: str, parts: frozenset[str]) -> bool:
     return False
 
 
+def _speaks(attrs: str) -> bool:
+    """Whether a class or the id has a part of comments or notices, in any company but a state's."""
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        own = [p.lower() for p in PARTS.findall(name)]
+        if len(own) <= MOST_PARTS and ALONE_PARTS.intersection(own) and not STATE_PARTS.intersection(own):
+            return True
+    return False
+
+
 def _bad(tag: str, attrs: str, in_article: bool) -> bool:
     """Whether an element's kind or role rules it out."""
     if tag in BAD_TAGS or tag == "header" and not in_article:
@@ -90,12 +108,23 @@ def _silent_ends(page: str) -> dict[int, int]:
     return ends
 
 
+def _closed_links(page: str) -> set[int]:
+    """Where links start whose next tag of the kind is their end tag."""
+    closed, opened = set(), None
+    for m in LINK_TAG.finditer(page):
+        if m[1] and opened is not None:
+            closed.add(opened)
+        opened = None if m[1] else m.start()
+    return closed
+
+
 def blocks(page: str) -> list[tuple[str, int, bool, int, bool]]:
     """(text, characters in links, ruled out by structure, number of its article or 0, ruled out by a name alone)."""
     out, text, linked = [], [], 0
     stack: list[tuple[str, bool, int, bool, bool]] = [("", False, 0, False, False)]  # tag, ruled out, article, ruled out with any article inside, by name
     in_link, mute, articles, at, skip = False, False, 0, 0, 0
-    ends = _silent_ends(page)
+    over = 0  # depth at which a link began that may hold blocks, or 0
+    ends, closed = _silent_ends(page), _closed_links(page)
 
     def flush() -> None:
         nonlocal text, linked
@@ -122,6 +151,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, bool]]:
         tag = (m[3] or "").lower()
         if tag == "a":
             in_link = not m[2]
+            over = len(stack) if in_link and m.start() in closed and "href" in (m[4] or "").lower() else 0
         elif tag == "br":
             text.append(" ")
         elif m.start() in ends:
@@ -131,18 +161,20 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, bool]]:
         if tag not in BLOCK:
             continue
         flush()
-        in_link = mute = False
+        in_link, mute = over > 0, False
         if tag not in HOLDS:
             continue
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
+                    if k < over:  # the element that held the link has ended
+                        in_link, over = False, 0
                     break
             continue
         _, bad, article, firm, named = stack[-1]
         own = _bad(tag, m[4] or "", article > 0)
-        name = tag not in ("article", "body", "main") and bool(m[4]) and _named(m[4], BAD_PARTS)
+        name = tag not in ("article", "body", "main") and bool(m[4]) and (_named(m[4], BAD_PARTS) or _speaks(m[4]))
         comments = name and _named(m[4], COMMENT_PARTS)
         if tag in ("article", "main") and not own and not article and not firm:
             # an advert or a notice left open doesn't swallow the article after it
@@ -222,13 +254,26 @@ def second_pass(first: list[int], regions: list[int]) -> list[int]:
     return out
 
 
+def _short_page(found: list[tuple[str, int, bool, int, bool]], first: list[int], least: int) -> list[int] | None:
+    """GOOD for the short blocks outside of ruled-out structure, if nothing else stands there and ``least`` of them are sentences."""
+    free = [k for k, b in enumerate(found) if not b[2]]
+    if not free or any(first[k] != OPEN for k in free) or sum(bool(SENTENCE.search(found[k][0])) for k in free) < least:
+        return None
+    return [BAD if b[2] else GOOD for b in found]
+
+
 def labels(found: list[tuple[str, int, bool, int, bool]]) -> list[int]:
-    """GOOD or BAD for each block. What only a name rules out is judged by its text where a page has no other."""
-    regions = [b[3] for b in found]
-    out = second_pass(first_pass(found), regions)
-    if GOOD not in out and any(b[4] for b in found):
+    """GOOD or BAD for each block. Where a page has no other text, its short blocks are taken, then what only a name rules out is judged by its text."""
+    regions, first = [b[3] for b in found], first_pass(found)
+    out = second_pass(first, regions)
+    if GOOD in out:
+        return out
+    short = _short_page(found, first, 2)
+    if short is None and any(b[4] for b in found):
         out = second_pass(first_pass([(*b[:2], b[2] and not b[4], *b[3:]) for b in found]), regions)
-    return out
+    if GOOD in out:
+        return out
+    return short or _short_page(found, first, 0) or out
 
 
 def main_text(page: str | None) -> str:

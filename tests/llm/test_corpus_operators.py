@@ -486,6 +486,21 @@ JAPANESE = "昨日の朝、私たちは川へ行きました。太陽は強く
         (f"<body><div class='sidebar'><p>{PROSE}</p></div><div id='comments'><p>{PROSE}</p></div><p>{PROSE} {PROSE}</p></body>", f"{PROSE} {PROSE}"),
         (f"<body><div class='cookie-notice'><p>{PROSE} {PROSE}</p></div><article><p>{PROSE}</p></article><section class='comments-section'><p>{PROSE} {PROSE}</p></section></body>", PROSE),
         (f"<body><div id='comments'><p>{PROSE} {PROSE}</p></div></body>", ""),
+        # links that hold blocks, and links left open
+        (f"<body><article><p>{PROSE}</p></article>" + f"<a href='/x'><h3>A card</h3><p>{PROSE} {PROSE}</p></a>" * 3 + "</body>", PROSE),
+        (f"<body><p>{PROSE} {PROSE}</p><div><a href='/x'><h3>A card</h3><p>{PROSE} {PROSE}</p></a></div></body>", f"{PROSE} {PROSE}"),
+        (f"<article><a name='top'><p>{PROSE}</p></a><a href='/x'><p>{PROSE}</p><p>{PROSE}</p></article>", "\n".join([PROSE] * 3)),
+        (f"<body><div><a href='/x'>x</div><article><p>{PROSE}</p></a><p>{PROSE}</p></article></body>", f"{PROSE}\n{PROSE}"),
+        # comments and notices in longer names
+        (f"<article><p>{PROSE}</p><div class='comment-body'><p>{PROSE}</p></div><div class='CommentThread__body'><p>{PROSE}</p></div></article>", PROSE),
+        (f"<article><div class='paywall-notice'><p>{PROSE}</p></div><p>{PROSE}</p><div class='disclaimer'><p>{PROSE}</p></div></article>", PROSE),
+        (f"<body><div class='notice-of-change'><article><p>{PROSE}</p></article></div></body>", PROSE),
+        (f"<article><div class='no-comments post-text'><p>{PROSE}</p></div></article>", PROSE),
+        # short paragraphs only
+        ("<body><p>One short line.</p><p>Another one.</p></body>", "One short line.\nAnother one."),
+        ("<body><nav><a href='/'>home</a></nav><p>One short line.</p><p>Another one.</p><footer>the site</footer></body>", "One short line.\nAnother one."),
+        (f"<body><div class='cookie-notice'><p>{PROSE} {PROSE}</p></div><p>One short line.</p><p>Another one.</p></body>", "One short line.\nAnother one."),
+        ("<body><nav><a href='/'>home</a></nav><ul><li><a href='/a'>first</a></li></ul></body>", ""),
         (f"<article><p>{PROSE}</p><script>if (a</script><style>p{{}}</style><textarea>typed</textarea></article>", PROSE),
     ],
 )
