@@ -11,8 +11,9 @@ join the pivot's group. A group is checked in blocks of bounded size: every memb
 against the pivot, then members that the pivot did not link against those members of
 the block that share one of their rarest shingles: of linked sets one must, so nothing
 is lost, and members that are not alike cost nothing. All links are confirmed on the
-full sets. A group of several blocks has the members that its pivot did not link sent
-to its other blocks too. So each pair of documents that share a bucket either is
+full sets. In a group of several blocks a member that the pivot did not link is sent to
+those other blocks where one of its rarest shingles is also one of a member's rarest,
+by counts over the whole group. So each pair of documents that share a bucket either is
 compared, or ruled out by its rarest shingles, or lies in one component already.
 Components come from alternating large-star and small-star.
 
@@ -31,7 +32,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybox.llm.common import WordHash, lean, mix, short_batches, window_hashes, written
@@ -241,6 +242,97 @@ def _checked(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return dealt.select("pivot", "block", "role", "id", "text").mapInArrow(lean(run), "a bigint, b bigint")
 
 
+def _by_block(it: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple]:
+    """Batches sorted by pivot, block and role to ((pivot, block), ids, sets, shingles, totals) of each block."""
+
+    def runs() -> Iterator[tuple]:
+        for b in it:
+            pivot, block, role = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cuts = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0)) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if y > x:
+                    yield (int(pivot[x]), int(block[x])), int(role[x]), b.slice(x, y - x)
+
+    hashes = WordHash()
+    for key, own in groupby(runs(), key=lambda r: r[0]):
+        ids, sets, shingles, totals = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, role, b in own:
+            if role:
+                ids += b.column(3).to_pylist()
+                sets += [shingle_set(t.as_py(), shingle, hashes) for t in b.column(4)]
+            else:
+                shingles.append(b.column(5).to_numpy(zero_copy_only=False).astype(np.int64))
+                totals.append(b.column(6).to_numpy(zero_copy_only=False).astype(np.int64))
+        yield key, ids, sets, np.concatenate(shingles).view(np.uint64), np.concatenate(totals)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "role", "id").select("pivot", "block", "role", "id", "text", "shingle", "total")
+
+
+def _counted(seats: DataFrame, shingle: int) -> DataFrame:
+    """(pivot, block, id, text) to (pivot, block, shingle, n): members of the block that hold it."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (pivot, block), _, sets, _, _ in _by_block(it, shingle):
+            every, n = np.unique(np.concatenate(sets), return_counts=True)
+            for at in range(0, len(every), 100_000):
+                part = every[at : at + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), pivot)), pa.array(np.full(len(part), block, np.int32)), pa.array(part), pa.array(n[at : at + 100_000])], ["pivot", "block", "shingle", "n"])
+
+    rows = seats.withColumns({"role": F.lit(1), "shingle": F.lit(None).cast("bigint"), "total": F.lit(None).cast("bigint")})
+    return _dealt(rows).mapInArrow(lean(run), "pivot bigint, block int, shingle bigint, n bigint")
+
+
+def _rarest(seats: DataFrame, totals: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(pivot, block, id, shingle): those of each member's rarest shingles that other blocks hold too.
+
+    totals: (pivot, block, shingle, total) for the shingles of a block that other blocks hold;
+    of the rest the block's own counts are the group's.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (pivot, block), ids, sets, shared, total in _by_block(it, shingle):
+            if not sets:
+                continue
+            every, codes, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            at = np.searchsorted(every, shared)
+            n[at] = total
+            abroad = np.zeros(len(every), bool)
+            abroad[at] = True
+            rank = np.empty(len(every), np.int64)
+            order = np.lexsort((every, n))
+            rank[order] = np.arange(len(every))
+            end = 0
+            for own, s in zip(ids, sets, strict=True):
+                low = np.sort(rank[codes[end : end + len(s)]])[: prefix_length(len(s), percent)]
+                end += len(s)
+                sent = order[low]
+                sent = every[sent[abroad[sent]]].view(np.int64)
+                if len(sent):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sent), pivot)), pa.array(np.full(len(sent), block, np.int32)), pa.array(np.full(len(sent), own)), pa.array(sent)], ["pivot", "block", "id", "shingle"])
+
+    none = {"role": F.lit(1), "shingle": F.lit(None).cast("bigint"), "total": F.lit(None).cast("bigint")}
+    rows = seats.withColumns(none).unionByName(totals.withColumns({"role": F.lit(0), "id": F.lit(None).cast("bigint"), "text": F.lit(None).cast("string")}))
+    return _dealt(rows).mapInArrow(lean(run), "pivot bigint, block int, id bigint, shingle bigint")
+
+
+def _guests(seats: DataFrame, left: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(pivot, block, id): the blocks that hold a possible partner of a member of another block.
+
+    seats: (pivot, block, id, text) of the groups' members. left: (pivot, id) of those that
+    need partners beyond their block. A shingle has at most a row for each block before
+    its count is known, so that a frequent one is no hot key.
+    """
+    counts = written(_counted(seats, shingle), "block-counts")
+    group = Window.partitionBy("pivot", "shingle")
+    totals = counts.select("pivot", "block", "shingle", F.sum("n").over(group).alias("total"), F.count("*").over(group).alias("blocks")).where("blocks > 1").drop("blocks")
+    rarest = written(_rarest(seats, totals, shingle, percent), "rarest")
+    hosts = rarest.select("pivot", "shingle", F.col("block").alias("to")).distinct()
+    sent = rarest.join(left, ["pivot", "id"]).join(hosts, ["pivot", "shingle"]).where("to <> block")
+    return sent.select("pivot", F.col("to").alias("block"), "id").distinct()
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per row: id, n_shingles, component_id, kept; see the module. The id is an integer.
 
@@ -285,10 +377,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         many = split.where("blocks > 1")
         root_of = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
         left = many.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(root_of, "pivot", "left")
-        left = left.where(F.coalesce("root", "id") != F.coalesce("pivot_root", "pivot"))
-        guests = left.withColumn("to", each).where("to <> block").select("pivot", F.col("to").alias("block"), F.lit(2).alias("role"), "id")
-        hosts = seats.join(many.select("pivot").distinct(), "pivot", "left_semi")
-        links = links.unionByName(written(_checked(with_text(hosts.unionByName(guests)), shingle, percent), "links"))
+        left = written(left.where(F.coalesce("root", "id") != F.coalesce("pivot_root", "pivot")).select("pivot", "id"), "left")
+        open_groups = many.join(left.select("pivot").distinct(), "pivot", "left_semi").select("pivot", "block", "id")
+        guests = written(_guests(with_text(open_groups), left, shingle, percent), "guests")
+        hosts = seats.join(guests.select("pivot", "block").distinct(), ["pivot", "block"], "left_semi")
+        links = links.unionByName(written(_checked(with_text(hosts.unionByName(guests.withColumn("role", F.lit(2)))), shingle, percent), "links"))
         roots = connected_components(links)
 
     reps = classes.select("k1", "k2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))

@@ -128,6 +128,26 @@ def test_near_groups_of_a_large_family_in_blocks(spark):
     assert near_dedup.drop_near(df, shingle=3, percent=85).count() == len({c for _, c in want.values()})
 
 
+def test_pages_of_a_template_are_not_sent_to_all_blocks(spark, monkeypatch):
+    kept, sent = near_dedup.written, {}
+
+    def recorded(df, label):
+        out = kept(df, label)
+        if label in ("guests", "left"):
+            sent[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", recorded)
+    common = " ".join(f"c{i}" for i in range(100))
+    for n in (500, 1_000):
+        # half the texts have a partner that differs in one word; the others have none
+        rows = [(i, f"{common} " + " ".join(f"w{i // 2 if i < n // 2 else i}_{k}" for k in range(50)) + (f" end{i}" if i % 2 else "")) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(df, block=15_000).collect()}
+        assert got == {i: i - i % 2 if i < n // 2 else i for i in range(n)}
+        assert sent["left"] > n // 2 and sent["guests"] <= 2 * n
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 480)] + [(7, 7)]
