@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybox.functions.normal import normal_quantile
-from tallybox.operators.ordered import numbered
+from tallybox.operators.ordered import scan
+from tallybox.operators.work import written
 
 PRIME = 2147483647
 
@@ -118,15 +119,29 @@ def outcome_bootstrap(matches: DataFrame, replicates: int, *by: str) -> DataFram
     return replicate_sums(matches, F.concat_ws(":", "idx_1", "idx_2"), replicates, {"tp": is_("TP"), "fp": is_("FP"), "fn": is_("FN")}, *by)
 
 
-def block_bootstrap(df: DataFrame, replicates: int, order: list, *by: str) -> DataFrame:
-    """max(1, floor(sqrt(s) / 2)) blocks of s // blocks rows around drawn starts, cut to the range."""
-    rows = numbered(df, order, *by)
-    s = df.groupBy(*by).agg(F.count("*").alias("s"))
-    s = s.withColumn("blocks", F.greatest(F.lit(1), F.floor(F.sqrt("s") / 2)).cast("bigint")).withColumn("size", F.floor(F.col("s") / F.col("blocks")).cast("bigint"))
+def drawn_blocks(sizes: DataFrame, replicates: int, *by: str) -> DataFrame:
+    """(by, rep, from_, to_, chunk_): the blocks of groups of ``s`` rows, a row for each chunk of ``size`` rows that a block touches (two at most)."""
+    s = sizes.withColumn("blocks", F.greatest(F.lit(1), F.floor(F.sqrt("s") / 2)).cast("bigint")).withColumn("size", _block_size())
     b = s.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     first = draw(F.col("s"), F.col("rep"), F.col("block")) - draw(F.col("size"), F.col("block"), F.col("rep"))
-    b = b.withColumn("first", first).withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("first")), F.least(F.col("s"), F.col("first") + F.col("size")) - 1)))
-    return b.select(*by, "rep", "i").join(rows, [*by, "i"])
+    b = b.withColumn("first", first).withColumn("from_", F.greatest(F.lit(0).cast("bigint"), F.col("first"))).withColumn("to_", F.least(F.col("s"), F.col("first") + F.col("size")))
+    return b.withColumn("chunk_", F.explode(F.sequence(F.expr("from_ div size"), F.expr("(to_ - 1) div size")))).select(*by, "rep", "from_", "to_", "chunk_")
+
+
+def _block_size() -> Column:
+    return F.floor(F.col("s") / F.greatest(F.lit(1), F.floor(F.sqrt("s") / 2))).cast("bigint")
+
+
+def block_bootstrap(df: DataFrame, replicates: int, order: list, *by: str) -> DataFrame:
+    """max(1, floor(sqrt(s) / 2)) blocks of s // blocks rows around drawn starts, cut to the range.
+
+    Blocks are never spread to their rows: a row meets the blocks that touch its chunk. The
+    blocks, about as many as the root of the rows, are written, so that Spark knows their size.
+    """
+    rows = written(scan(df, list(by), order, {"i": F.lit(1).cast("bigint")}, totals={"s": F.lit(1).cast("bigint")}).withColumn("i", F.col("i") - 1), "block-rows")
+    blocks = written(drawn_blocks(rows.groupBy(*by).agg(F.count("*").alias("s")), replicates, *by), "blocks")
+    met = rows.withColumn("size", _block_size()).withColumn("chunk_", F.expr("i div size")).drop("s", "size").join(blocks, [*by, "chunk_"])
+    return met.where("i >= from_ AND i < to_").drop("chunk_", "from_", "to_")
 
 
 def oversampled(df: DataFrame, weight: str, target: int, rounds: int = 10) -> DataFrame:
