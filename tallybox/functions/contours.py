@@ -88,8 +88,14 @@ def _union(r: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, n
     return r, x0[new], reach[last] - r * wide + least
 
 
-def _fill(points: pa.Array) -> pa.Array:
-    """A column of contours to their filled rows, all contours of a batch at once."""
+def _runs(points: pa.Array) -> tuple[np.ndarray, ...]:
+    """A column of contours, all of a batch at once, as runs of equal filled rows.
+
+    (owner, y, n, at, x0, x1, first, height): contour, first row and number of rows of each run,
+    by contour and row; run, x0 and x1 of each span; first row and number of rows of each
+    contour. Between two corners rows are equal where all edges run straight down; there one
+    row stands for all, elsewhere each row is a run.
+    """
     n = len(points)
     held = points.is_valid().to_numpy(zero_copy_only=False)
     sizes = np.where(held, pc.list_value_length(points).fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
@@ -98,42 +104,190 @@ def _fill(points: pa.Array) -> pa.Array:
     owner, at = np.repeat(np.arange(n), sizes), np.arange(len(x))
     after = np.where(at + 1 == sizes.cumsum()[owner], at + 1 - sizes[owner], at + 1)
     ax, ay, bx, by = x, y, x[after], y[after]
-
-    top, bottom = np.full(n, np.inf), np.full(n, -np.inf)
-    np.minimum.at(top, owner, y)
-    np.maximum.at(bottom, owner, y)
-    some = sizes > 0
-    first = np.where(some, np.ceil(np.where(some, top, 0)), 0).astype(np.int64)
-    height = np.where(some, np.maximum(1, np.floor(np.where(some, bottom, 0)) - first + 1), 0).astype(np.int64)
-
-    low, high = np.minimum(ay, by), np.maximum(ay, by)
-    begin = np.ceil(low).astype(np.int64)
-    count = np.maximum(0, np.floor(high).astype(np.int64) - begin + 1)
-    e = np.repeat(at, count)  # an edge for each row it meets
-    line = begin[e] + np.arange(len(e)) - np.repeat(count.cumsum() - count, count)
-    slope = ay[e] != by[e]
+    slope = ay != by
+
+    # corners by contour and height; those of one height are a level, and levels take turns with the gaps above them
+    order = np.lexsort((y, owner))
+    high_, of_ = y[order], owner[order]
+    new = np.r_[True, (high_[1:] != high_[:-1]) | (of_[1:] != of_[:-1])] if len(x) else np.zeros(0, bool)
+    level = np.empty(len(x), np.int64)
+    level[order] = new.cumsum() - 1
+    height_of, holder = high_[new], of_[new]
+    last = np.r_[holder[1:] != holder[:-1], True] if len(holder) else new
+    low, high = np.minimum(level, level[after]), np.maximum(level, level[after])
+    bent = slope & (ax != bx)
+    slanted = np.bincount(low[bent], minlength=len(height_of)).cumsum() - np.bincount(high[bent], minlength=len(height_of)).cumsum() > 0
+    begin = np.floor(height_of).astype(np.int64) + 1
+    end = np.where(last, begin, np.ceil(np.r_[height_of[1:], 0.0]).astype(np.int64)) if len(height_of) else begin
+    inner = np.maximum(0, end - begin)
+    exact = height_of == np.floor(height_of)
+    lines = np.c_[exact.astype(np.int64), np.where(slanted, inner, np.minimum(inner, 1))].ravel()
+    unit = np.repeat(np.arange(len(lines)), lines)
+    before = np.r_[0, lines.cumsum()]
+    gap = unit % 2 == 1
+    y_run = np.where(gap, begin[unit // 2] + np.arange(len(unit)) - before[unit], begin[unit // 2] - 1)
+    n_run = np.where(gap & ~slanted[unit // 2], inner[unit // 2], 1)
+
+    start = before[2 * low]
+    count = before[2 * high + 1] - start
+    e = np.repeat(at, count)  # an edge for each run it meets
+    run = np.repeat(start - (count.cumsum() - count), count) + np.arange(len(e))
+    line = y_run[run]
+    steep = slope[e]
     # multiplied first: a quotient without rest is exact
-    cross = np.where(slope, ax[e] + (line - ay[e]) * (bx[e] - ax[e]) / np.where(slope, by[e] - ay[e], 1), ax[e])
-    row = (height.cumsum() - height)[owner[e]] + line - first[owner[e]]  # rows of all contours, numbered
-
+    cross = np.where(steep, ax[e] + (line - ay[e]) * (bx[e] - ax[e]) / np.where(steep, by[e] - ay[e], 1), ax[e])
+    # crossings by run, then by x: one order serves what lies above a row and what lies below it
+    order = np.lexsort((cross, run))
+    e, run, line, cross, steep = e[order], run[order], line[order], cross[order], steep[order]
     parts = []
-    for inside in (slope & (line < high[e]), slope & (line > low[e])):
-        order = np.lexsort((cross[inside], row[inside]))
-        r, c = row[inside][order], cross[inside][order]
+    for inside in (steep & (line < np.maximum(ay, by)[e]), steep & (line > np.minimum(ay, by)[e])):
+        r, c = run[inside], cross[inside]
         parts.append((r[0::2], c[0::2], c[1::2]))
-    ends = slope & ((line == ay[e]) | (line == by[e]))
-    parts += [(row[ends], cross[ends], cross[ends]), (row[~slope], np.minimum(ax, bx)[e][~slope], np.maximum(ax, bx)[e][~slope])]
-    r, x0, x1 = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    ends = steep & ((line == ay[e]) | (line == by[e]))
+    parts += [(run[ends], cross[ends], cross[ends]), (run[~steep], np.minimum(ax, bx)[e][~steep], np.maximum(ax, bx)[e][~steep])]
+    at, x0, x1 = (np.concatenate([p[k] for p in parts]) for k in range(3))
     x0, x1 = np.ceil(x0).astype(np.int64), np.floor(x1).astype(np.int64)
     keep = x1 >= x0
-    r, x0, x1 = r[keep], x0[keep], x1[keep]
-    r, x0, x1 = _union(r, x0, x1)
-    spans_ = pa.StructArray.from_arrays([pa.array(x0, pa.int64()), pa.array(x1, pa.int64())], ["x0", "x1"])
-    rows_ = pa.ListArray.from_arrays(np.r_[0, np.bincount(r, minlength=height.sum()).cumsum()].astype(np.int32), spans_)
-    offsets = pa.array(np.r_[0, height.cumsum()].astype(np.int32), mask=np.r_[~held, False])
+    at, x0, x1 = _union(at[keep], x0[keep], x1[keep])
+
+    first, height = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    first[holder[::-1]] = np.ceil(height_of[::-1]).astype(np.int64)
+    bottom = np.zeros(n, np.int64)
+    bottom[holder] = np.floor(height_of).astype(np.int64)
+    height[holder] = np.maximum(1, bottom - first + 1)[holder]
+    return holder[unit // 2], y_run, n_run, at, x0, x1, first, height
+
+
+def _fill(points: pa.Array) -> pa.Array:
+    """A column of contours to their filled rows, all contours of a batch at once."""
+    held = points.is_valid().to_numpy(zero_copy_only=False)
+    owner, y, n, at, x0, x1, first, height = _runs(points)
+    base = np.r_[0, height.cumsum()]
+    of = np.full(int(base[-1]), -1)  # the run of each row; a contour between two rows has a row without one
+    of[np.repeat(base[owner] + y - first[owner] - (n.cumsum() - n), n) + np.arange(int(n.sum()))] = np.repeat(np.arange(len(n)), n)
+    spans_of = np.bincount(at, minlength=len(n) + 1)  # the last stands for no run
+    begin = np.r_[0, spans_of.cumsum()[:-1]]
+    many = spans_of[of]
+    pick = np.repeat(begin[of] - (many.cumsum() - many), many) + np.arange(int(many.sum()))
+    spans_ = pa.StructArray.from_arrays([pa.array(x0[pick], pa.int64()), pa.array(x1[pick], pa.int64())], ["x0", "x1"])
+    rows_ = pa.ListArray.from_arrays(np.r_[0, many.cumsum()].astype(np.int32), spans_)
+    offsets = pa.array(base.astype(np.int32), mask=np.r_[~held, False])
     return pa.ListArray.from_arrays(offsets, rows_)
 
 
+#: Corners and rows, or rectangles of pairs, of a column that are worked on at once.
+AT_ONCE = 1 << 19
+
+
+def _slices(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows of about AT_ONCE in all."""
+    cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(sizes.cumsum() // AT_ONCE)) + 1, len(sizes)])
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+def _corner_slices(points: pa.Array) -> list[pa.Array]:
+    """A column of contours in parts of about AT_ONCE corners and rows that edges meet."""
+    sizes = pc.list_value_length(points).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    y = points.flatten().field(1).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    tall = np.r_[0, np.abs(np.diff(y, prepend=y[:1])).cumsum()]
+    stops = sizes.cumsum()
+    # the edge that closes a contour is no taller than the others together
+    return [points.slice(a, b - a) for a, b in _slices(sizes + 2 * (tall[stops] - tall[np.minimum(stops - sizes + 1, stops)]).astype(np.int64))] or [points]
+
+
+#: A filled contour: its pixels, its box (corners inclusive; null without pixels), and rectangles of four longs (y, rows, x0, x1).
+FILLED = "struct<pixels:bigint,x1:bigint,y1:bigint,x2:bigint,y2:bigint,rectangles:binary>"
+
+
+def _rectangles(points: pa.Array) -> pa.Array:
+    made = []
+    for part in _corner_slices(points):
+        owner, y, n, at, x0, x1, _, _ = _runs(part)
+        of, y, n, held = owner[at], y[at], n[at], part.is_valid().to_numpy(zero_copy_only=False)
+        each = np.bincount(of, minlength=len(part))
+        stops = np.r_[0, each.cumsum()]
+        pixels = np.r_[0, (n * (x1 - x0 + 1)).cumsum()]
+        some = each > 0
+        edge = {}
+        for k, v, f in (("x1", x0, np.minimum), ("y1", y, np.minimum), ("x2", x1, np.maximum), ("y2", y + n - 1, np.maximum)):
+            full = np.zeros(len(part), np.int64)
+            if some.any():
+                full[some] = f.reduceat(v, stops[:-1][some])
+            edge[k] = pa.array(full, mask=~some)
+        data = np.ascontiguousarray(np.c_[y, n, x0, x1], "<i8")
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((stops * 32).astype(np.int32)), pa.py_buffer(data)])
+        total = pa.array(pixels[stops[1:]] - pixels[stops[:-1]], mask=~held)
+        made.append(pa.StructArray.from_arrays([total, *edge.values(), packed], ["pixels", *edge, "rectangles"]))
+    return pa.concat_arrays(made)
+
+
+def filled(points: Column) -> Column:
+    """Pixels, box and rectangles of a filled contour, as FILLED; null contours have null pixels.
+
+    The same pixels as those of ``rows``, but equal rows in a row are one rectangle, so an
+    upright contour takes a few numbers, whatever its size.
+    """
+    return F.arrow_udf(_rectangles, FILLED)(points)
+
+
+def _unpacked(rectangles: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row of the column, y, rows, x0, x1) of packed rectangles."""
+    size = pc.binary_length(rectangles).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 32
+    held = rectangles.drop_null()
+    data = np.frombuffer(b"".join(held.to_pylist()), "<i8").reshape(-1, 4)
+    return np.repeat(np.arange(len(rectangles)), size), *data.T
+
+
+def _in_window(rectangles: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+    of, y, n, x0, xe = _unpacked(rectangles)
+    left, top, right, bottom = (v.to_numpy(zero_copy_only=False)[of] for v in (x1, y1, x2, y2))
+    wide = np.maximum(0, np.minimum(xe, right - 1) - np.maximum(x0, left) + 1)
+    tall = np.maximum(0, np.minimum(y + n, bottom) - np.maximum(y, top))
+    total = np.r_[0, (wide * tall).cumsum()]
+    stops = np.r_[0, np.bincount(of, minlength=len(rectangles)).cumsum()]
+    return pa.array(total[stops[1:]] - total[stops[:-1]])
+
+
+def pixels_in_window(rectangles: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Pixels of a filled contour in a window whose corners are inclusive and exclusive."""
+    return F.arrow_udf(_in_window, "bigint")(rectangles, *(c.cast("bigint") for c in (x1, y1, x2, y2)))
+
+
+def _common(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Pixels of both contours of each pair.
+
+    Rectangles of a contour don't overlap and stand by rows, so those of the other that share
+    a row with one are a range of theirs, and the pixels of both add up over such pairs.
+    """
+    out = []
+    sizes = (pc.binary_length(a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + pc.binary_length(b).fill_null(0).to_numpy(zero_copy_only=False)) // 32
+    for s, t in _slices(sizes):
+        p, y, n, x0, x1 = _unpacked(a.slice(s, t - s))
+        q, v, m, u0, u1 = _unpacked(b.slice(s, t - s))
+        total = np.zeros(t - s, np.int64)
+        if len(p) and len(q):
+            least = min(y.min(), v.min())
+            high = int(max((y + n).max(), (v + m).max()) - least) + 2
+            begin, end = p * high + (y - least), p * high + (y + n - least)
+            other, stop = q * high + (v - least), q * high + (v + m - least)
+            low = np.searchsorted(stop, begin, side="right")
+            many = np.maximum(0, np.searchsorted(other, end, side="left") - low)
+            # a few rectangles at a time, however many share a row
+            for c, d in _slices(many):
+                k = np.repeat(np.arange(c, d), many[c:d])
+                j = np.repeat(low[c:d] - (many[c:d].cumsum() - many[c:d]), many[c:d]) + np.arange(len(k))
+                tall = np.minimum(end[k], stop[j]) - np.maximum(begin[k], other[j])
+                wide = np.maximum(0, np.minimum(x1[k], u1[j]) - np.maximum(x0[k], u0[j]) + 1)
+                np.add.at(total, p[k], tall * wide)
+        out.append(total)
+    return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+
+
+def common_pixels(a: Column, b: Column) -> Column:
+    """Pixels of both of two filled contours, from their rectangles."""
+    return F.arrow_udf(_common, "bigint")(a, b)
+
+
 def rows(points: Column) -> Column:
     """The filled pixel rows of a contour from its least y on, each an array of spans (x0, x1), ends included.
 
@@ -160,32 +314,6 @@ def n_pixels(rows_: Column) -> Column:
     return _total(F.transform(F.flatten(rows_), lambda s: s["x1"] - s["x0"] + 1))
 
 
-def _listed(rows_: pa.Array, y0: pa.Array) -> tuple[np.ndarray, ...]:
-    """(pair, y, x0, x1) of all spans of a column of filled rows."""
-    lines = rows_.flatten()
-    tall = pc.list_value_length(rows_).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    pair = np.repeat(np.arange(len(rows_)), tall)
-    y = np.repeat(y0.fill_null(0).to_numpy(zero_copy_only=False), tall) + np.arange(len(pair)) - np.repeat(tall.cumsum() - tall, tall)
-    n = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lines.flatten()
-    return np.repeat(pair, n), np.repeat(y, n), *(flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-
-
-def _shared(rows_a: pa.Array, y_a: pa.Array, rows_b: pa.Array, y_b: pa.Array) -> pa.Array:
-    """Pixels of both contours of each pair: those of each, less those of their union."""
-    parts = [np.concatenate(p) for p in zip(_listed(rows_a, y_a), _listed(rows_b, y_b), strict=True)]
-    pair, y, x0, x1 = parts
-    total = np.bincount(pair, x1 - x0 + 1, len(rows_a))
-    high = int(y.max() - y.min()) + 1 if len(y) else 1
-    r, x0, x1 = _union(pair * high + (y - y.min() if len(y) else y), x0, x1)
-    return pa.array((total - np.bincount(r // high, x1 - x0 + 1, len(rows_a))).astype(np.int64))
-
-
-def shared_pixels(rows_a: Column, y_a: Column, rows_b: Column, y_b: Column) -> Column:
-    """Pixels of both of two filled contours; y_a and y_b are their first rows."""
-    return F.arrow_udf(_shared, "bigint")(rows_a, y_a, rows_b, y_b)
-
-
 def clipped(rows_: Column, y0: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """The rows cut to a window whose corners are inclusive and exclusive; rows outside become empty."""
 

@@ -46,24 +46,24 @@ def self_overlaps(df: DataFrame, on: str = "image_id", key: str = "ann_id", cell
 
 
 def with_rows(df: DataFrame, points: str = "points") -> DataFrame:
-    """``df`` with the filled rows of its contours in place of them, their first row y0, their pixels, and x1..y2 of the box they fill (corners inclusive and exclusive).
+    """``df`` with its contours filled in place of their points: ``rows`` as packed rectangles, their pixels, and x1..y2 of the box they fill (corners inclusive and exclusive).
 
     Written, so that contours are filled once however often their columns are used.
     """
-    own = df.withColumn("rows", contours.rows(F.col(points))).withColumn("y0", contours.first_row(F.col(points))).drop(points)
-    box = contours.row_bounds(F.col("rows"), F.col("y0"))
-    return written(own.withColumns({"pixels": contours.n_pixels(F.col("rows"))} | {s: box[s] + int(s in ("x2", "y2")) for s in boxes.SIDES}), "contour-rows")
+    own = df.withColumn("filled_", contours.filled(F.col(points))).drop(points)
+    sides = {s: F.col(f"filled_.{s}") + int(s in ("x2", "y2")) for s in boxes.SIDES}
+    return written(own.withColumns({"rows": F.col("filled_.rectangles"), "pixels": F.col("filled_.pixels")} | sides).drop("filled_"), "contour-rows")
 
 
 def contour_intersections(a: DataFrame, b: DataFrame, key: str = "ann_id", on: str = "image_id", cell: int | None = CELL) -> DataFrame:
     """Pairs of contours of one image that share pixels, from two tables ``with_rows``: on, a_key, b_key, a_pixels, b_pixels, pixels.
 
-    Contours meet where their boxes do, in grid cells; rows travel with their contour and are
-    held against each other within a pair, so no table of pixel rows is joined.
+    Contours meet where their boxes do, in grid cells; rows travel with their contour as
+    rectangles and are held against each other within a pair, so no table of pixel rows is joined.
     """
-    need = [on, key, "rows", "y0", "pixels", *boxes.SIDES]
+    need = [on, key, "rows", "pixels", *boxes.SIDES]
     pairs = overlap_join(a.select(*need), b.select(*need), on, cell)
-    both = pairs.withColumn("pixels", contours.shared_pixels(F.col("a_rows"), F.col("a_y0"), F.col("b_rows"), F.col("b_y0")))
+    both = pairs.withColumn("pixels", contours.common_pixels(F.col("a_rows"), F.col("b_rows")))
     return both.where("pixels > 0").select(on, f"a_{key}", f"b_{key}", "a_pixels", "b_pixels", "pixels")
 
 

@@ -97,3 +97,24 @@ def test_spans_list_the_rows(shapes):
     for r in contours.spans(df).collect():
         got.setdefault(r["ann_id"], set()).update((x, r["y"]) for x in range(r["x0"], r["x1"] + 1))
     assert got == pixels
+
+
+def test_upright_contours_are_few_rectangles_whatever_their_size():
+    box = [[(0, 0), (9, 0), (9, 4_000), (0, 4_000)], [(0, 0), (3, 0), (3, 500), (6, 500), (6, 0), (9, 0), (9, 900), (0, 900)]]
+    got = contours._rectangles(pa.array([[{"x": x, "y": y} for x, y in p] for p in box], POINT)).to_pylist()
+    assert [g["pixels"] for g in got] == [10 * 4_001, 500 * 8 + 401 * 10]
+    assert all(len(g["rectangles"]) // 32 <= 10 for g in got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(coordinate, min_size=0, max_size=9), min_size=2, max_size=4))
+def test_rectangles_hold_the_same_pixels(many):
+    made = contours._rectangles(pa.array([[{"x": x, "y": y} for x, y in p] for p in many], POINT))
+    pixels = [plain(p) if p else set() for p in many]
+    for p, g in zip(pixels, made.to_pylist(), strict=True):
+        xs, ys = [x for x, _ in p], [y for _, y in p]
+        assert (g["pixels"], g["x1"], g["y1"], g["x2"], g["y2"]) == (len(p), *((min(xs), min(ys), max(xs), max(ys)) if p else (None,) * 4))
+    packed = made.field(5)
+    assert contours._common(packed, pa.concat_arrays([packed[1:], packed[:1]])).to_pylist() == [len(p & q) for p, q in zip(pixels, pixels[1:] + pixels[:1], strict=True)]
+    window = [pa.array([v] * len(many)) for v in (-4, -3, 6, 5)]
+    assert contours._in_window(packed, *window).to_pylist() == [sum(-4 <= x < 6 and -3 <= y < 5 for x, y in p) for p in pixels]
