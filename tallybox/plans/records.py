@@ -10,7 +10,7 @@ from tallybox.operators import evaluation as E
 from tallybox.operators import naming, reshape, spatial
 from tallybox.operators import statistics as S
 from tallybox.operators.ordered import numbered
-from tallybox.operators.work import folder
+from tallybox.operators.work import folder, written
 from tallybox.plans.analysis import RUNS, _octagons, _points, _runs
 from tallybox.plans.detection import _ap_sql, rounded
 from tallybox.plans.tables import MATCHES, Tables, query
@@ -155,18 +155,18 @@ def _concave(t: Tables) -> DataFrame:
 @query(f"WITH s AS ({CONCAVE}) SELECT ann_id, shape, sum(x1 - x0 + 1)::BIGINT AS pixels, min(x0) AS x1, min(y) AS y1, max(x1) AS x2, max(y) AS y2 FROM s GROUP BY ann_id, shape")
 def concave_contours(t: Tables) -> DataFrame:
     """Filled pixels of concave contours, and boxes out of their filled rows."""
-    own = _concave(t).withColumns({"rows": contours.rows(F.col("points")), "y0": contours.first_row(F.col("points"))})
-    return own.select("ann_id", "shape", contours.n_pixels(F.col("rows")).alias("pixels"), *(c.alias(k) for k, c in contours.row_bounds(F.col("rows"), F.col("y0")).items()))
+    own = _concave(t).select("ann_id", "shape", contours.filled(F.col("points")).alias("f"))
+    return own.select("ann_id", "shape", "f.pixels", *(f"f.{s}" for s in boxes.SIDES))
 
 
 @query(f"WITH s AS ({CONCAVE}), n AS (SELECT ann_id, shape, sum(x1 - x0 + 1) AS n, sum(greatest(0, least(x1, 1199) - greatest(x0, 400) + 1)) FILTER (y >= 300 AND y < 1000) AS v FROM s GROUP BY ann_id, shape) SELECT ann_id, shape, round(v / n, 6) AS visible FROM n WHERE v / n >= 0.5")
 def visible_contours(t: Tables) -> DataFrame:
     """Contours of whose filled area at least half lies in a window, and that share."""
-    own = spatial.with_rows(_concave(t))
-    inside = contours.clipped(F.col("rows"), F.col("y0"), F.lit(400), F.lit(300), F.lit(1200), F.lit(1000))
-    # a box without a place in the window has none in its contour
-    some = own.where("x1 < 1200 AND x2 > 400 AND y1 < 1000 AND y2 > 300")
-    seen = some.select("ann_id", "shape", (contours.n_pixels(inside) / F.col("pixels")).alias("visible"))
+    own = _concave(t).select("ann_id", "shape", contours.filled(F.col("points")).alias("f"))
+    inside = contours.pixels_in_window(F.col("f.rectangles"), F.lit(400), F.lit(300), F.lit(1200), F.lit(1000))
+    # written, so that contours aren't filled once for the filter and once for the share
+    counted = written(own.select("ann_id", "shape", F.col("f.pixels").alias("pixels"), inside.alias("inside")), "visible")
+    seen = counted.select("ann_id", "shape", (F.col("inside") / F.col("pixels")).alias("visible"))
     return rounded(seen.where("visible >= 0.5"), "visible")
 
 
