@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,107 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+#: Edges of a group whose components, or nodes of a group whose tree, one task finds.
+MOST = 500_000
+
+
+class Sets:
+    """Disjoint sets of keys, each named by its least."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        top = x
+        while (above := up.get(top, top)) != top:
+            top = above
+        while x != top:
+            up[x], x = top, up[x]
+        return top
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        p, q = self.find(a), self.find(b)
+        self.up.setdefault(p, p)
+        if p == q:
+            return False
+        self.up[max(p, q)] = min(p, q)
+        self.up.setdefault(min(p, q), min(p, q))
+        return True
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) from (group, a, b) by group; only the group at hand is held."""
+    group, sets = object(), Sets()
+
+    def out(sets: Sets) -> pa.RecordBatch:
+        nodes = list(sets.up)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(sets.find, nodes)), pa.int64())], ["node", "component"])
+
+    for batch in batches:
+        for of, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if of != group:
+                if sets.up:
+                    yield out(sets)
+                group, sets = of, Sets()
+            for x in (a, b):
+                sets.up.setdefault(x, x)
+            sets.join(a, b)
+    yield out(sets)
+
+
+def components_within(edges: DataFrame, group: str = "group", most: int = MOST) -> DataFrame:
+    """(node, component) of edges (group, a, b) with long keys whose two ends are in one group.
+
+    The edges of a group of ``most`` or fewer meet in one pass, after one shuffle; only larger groups
+    go through rounds over all tasks.
+    """
+    edges = written(edges.select(group, F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")), "edges")
+    n = edges.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    same = F.col(group).eqNullSafe(F.col("of"))
+    found = edges.join(n, same, "left_anti").repartition(group).sortWithinPartitions(group).mapInArrow(_joined, "node bigint, component bigint")
+    return found if n.isEmpty() else found.unionByName(components(edges.join(n, same, "left_semi")))
+
+
+def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of each group's least tree, from (g, part, w, a, b) by group and part and rising within it: Kruskal's way. Only sets of nodes are held."""
+    group, sets = object(), Sets()
+    for batch in batches:
+        keep = []
+        for k, (g, part, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "part", "a", "b")), strict=True)):
+            if (g, part) != group:
+                group, sets = (g, part), Sets()
+            if sets.join(a, b):
+                keep.append(k)
+        kept = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("g", "a", "b", "w")], ["g", "a", "b", "w"])
+
+
+def spanning_trees(edges: DataFrame, nodes: DataFrame, each: int = 200_000, most: int = MOST) -> DataFrame:
+    """(a, b, w): minimum spanning forest of (g, a, b, w) with long keys, ties by ends; no edge leaves its group g.
+
+    nodes: (g, n), how many nodes a group has. Parts of about ``each`` edges hand on the edges of their
+    own least trees, since others are in no least tree; then a group is one part. Groups of more
+    than ``most`` nodes are finished by rounds over all tasks instead.
+    """
+    sized = nodes.select(F.col("g").alias("of"), F.col("n").alias("nodes"))
+    same = F.col("g").eqNullSafe(F.col("of"))
+    edges = edges.select("g", F.least("a", "b").cast("bigint").alias("a"), F.greatest("a", "b").cast("bigint").alias("b"), "w")
+    rest = written(edges, "edges")
+
+    def least(rows: DataFrame, part: Column) -> DataFrame:
+        dealt = rows.withColumn("part", part).repartition("g", "part").sortWithinPartitions("g", "part", "w", "a", "b")
+        return dealt.select("g", "part", "w", "a", "b").mapInArrow(_light, "g bigint, a bigint, b bigint, w double")
+
+    counts = rest.groupBy(F.col("g").alias("in_")).agg(F.ceil(F.count("*") / each).cast("bigint").alias("parts"))
+    parted = rest.join(counts, F.col("g").eqNullSafe(F.col("in_")))
+    few = written(least(parted, F.pmod(F.xxhash64("a", "b"), F.col("parts"))).select("g", "a", "b", "w"), "few-edges")
+    done = least(few.join(sized.where(F.col("nodes") <= most), same, "left_semi"), F.lit(0)).select("a", "b", "w")
+    large = few.join(sized.where(F.col("nodes") > most), same, "left_semi").select("a", "b", "w")
+    return done if large.isEmpty() else done.unionByName(spanning_tree(large))
+
+
 def spanning_tree(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Minimum spanning forest of (a, b, w), by Boruvka: every component takes its lightest edge, ties by ends."""
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w"), "edges")

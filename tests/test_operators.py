@@ -294,3 +294,31 @@ def test_identifiers_in_texts(spark):
     pairs = spark.createDataFrame([("doi", "10.12"), ("x", "see"), ("", "a")], "p string, q string")
     both = naming.holding_both(texts.select(F.col("text").alias("holder")), pairs, "p", "q")
     assert sorted(map(tuple, both.select("holder", "p", "q").collect())) == [("doi/10.12", "doi", "10.12"), ("see doi/10.1 and x", "x", "see")]
+
+
+def test_components_within_groups_take_no_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    edges = [(g, 100 * g + a, 100 * g + b) for g in range(6) for a in range(40) for b in range(a + 1, 40) if r.random() < 0.03]
+    df = spark.createDataFrame(edges, "group bigint, a bigint, b bigint")
+    want = {r["node"]: r["component"] for r in graph.components(df).collect()}
+    rounds = []
+    monkeypatch.setattr(graph, "components", lambda e, plain=graph.components: rounds.append(1) or plain(e))
+    assert {r["node"]: r["component"] for r in graph.components_within(df).collect()} == want and not rounds
+    assert {r["node"]: r["component"] for r in graph.components_within(df, most=22).collect()} == want and rounds
+
+
+def test_spanning_trees_of_groups_equal_the_rounds(spark):
+    r = random.Random(6)
+    edges = [(g, 100 * g + a, 100 * g + b, float(r.randrange(30))) for g in range(4) for a in range(40) for b in range(a + 1, 40) if r.random() < 0.15 * (g + 1)]
+    df = spark.createDataFrame(edges, "g bigint, a bigint, b bigint, w double")
+    nodes = spark.createDataFrame([(g, 40 if g else 41) for g in range(4)], "g bigint, n bigint")
+    want = sorted(tuple(x) for x in graph.spanning_tree(df).select("a", "b", "w").collect())
+    for most in (500, 40):
+        assert sorted(tuple(x) for x in graph.spanning_trees(df, nodes, each=30, most=most).select("a", "b", "w").collect()) == want
+
+
+def test_cluster_first_suppression_makes_no_clusters(spark, monkeypatch):
+    monkeypatch.setattr(suppress, "clusters", None)
+    rows = [(1, k, float(k), 0.0, float(k) + 10, 10.0, k / 100) for k in range(12)]
+    df = spark.createDataFrame(rows, "image_id bigint, ann_id bigint, x1 double, y1 double, x2 double, y2 double, conf double")
+    assert {x["ann_id"] for x in suppress.cluster_first_nms(df, 0.2).collect()} == {x["ann_id"] for x in suppress.nms(df, 0.2).collect()}
