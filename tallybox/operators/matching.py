@@ -23,6 +23,12 @@ def match(gt: DataFrame, pred: DataFrame, threshold: float = 0.2, cell: int | No
     return taken.select("image_id", "idx_1", (-F.col("m.last")).alias("idx_2"), (-F.col("m.low")).alias("iou"))
 
 
+def matched(gt: DataFrame, pred: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """The rows of ``match`` with their ground truth's dataset: those of the match table that are matched, without its joins with all rows."""
+    own = gt.select("image_id", F.col("ann_id").alias("idx_1"), "dataset")
+    return match(gt, pred, threshold).join(own, ["image_id", "idx_1"])
+
+
 def match_table(gt: DataFrame, pred: DataFrame, threshold: float = 0.2, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row for each ground truth and each unmatched prediction; -1, 0 and null stand for none.
 

@@ -56,6 +56,13 @@ class Tables:
 
         return match_table(self.gt, self.pred)
 
+    @property
+    def hits(self) -> DataFrame:
+        """The matched rows of ``matches``: image_id, dataset, idx_1, idx_2, iou."""
+        from tallybox.operators.matching import matched
+
+        return matched(self.gt, self.pred)
+
 
 FIXTURE = """
 base AS (

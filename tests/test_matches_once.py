@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallybox.plans import detection, files, tables
+from tallybox.plans import analysis, detection, files, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +26,18 @@ def test_result_tables_make_the_matches_once(spark, monkeypatch):
 def test_curves_count_positives_without_the_matches(spark):
     plan = detection.pr_curve(tables.Tables(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     assert "Outer" not in plan  # matches are an outer join
+
+
+def test_matched_rows_are_those_of_the_match_table(spark):
+    t = tables.Tables(spark, SF)
+    want = t.matches.where("result = 'TP'").select("image_id", "dataset", "idx_1", "idx_2", "iou")
+    assert sorted(map(tuple, t.hits.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (t.hits, analysis._per_image(t))]
+    assert not any("Outer" in p for p in plans)
+
+
+def test_shapes_are_not_carried_through_the_matches(spark, monkeypatch):
+    carried = []
+    monkeypatch.setattr(files, "match_table", lambda *a, plain=files.match_table, **k: carried.extend(k["carry"]) or plain(*a, **k))
+    files.match_csv_with_shapes(tables.Tables(spark, SF))
+    assert carried and "points" not in carried
