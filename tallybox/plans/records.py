@@ -190,7 +190,7 @@ def concave_iou(t: Tables) -> DataFrame:
 @query("WITH w AS (SELECT dataset, image_id, avg(iou) AS v FROM matches WHERE result = 'TP' GROUP BY ALL), q AS (SELECT dataset, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM w GROUP BY dataset), o AS (SELECT w.dataset, image_id, v FROM w JOIN q ON w.dataset = q.dataset WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) SELECT dataset, image_id, (row_number() OVER (PARTITION BY dataset ORDER BY v, image_id) % 2)::INT AS side FROM o", MATCHES)
 def alternating_outliers(t: Tables) -> DataFrame:
     """Outlying images, labelled left and right in turn."""
-    v = t.matches.where("result = 'TP'").groupBy("dataset", "image_id").agg(F.avg("iou").alias("v"))
+    v = t.hits.groupBy("dataset", "image_id").agg(F.avg("iou").alias("v"))
     out = S.outlier_flag(v, "v", "dataset").where("outlier")
     return numbered(out, ["v", "image_id"], "dataset", name="n").select("dataset", "image_id", ((F.col("n") + 1) % 2).cast("int").alias("side"))
 
