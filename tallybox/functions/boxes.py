@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,3 +97,33 @@ def geometric_side(prefix: str = "") -> Column:
 def away_from_edge(tile: Column, margin: int, prefix: str = "") -> Column:
     """Whether a box in tile coordinates keeps its distance from the tile's edges."""
     return (side(prefix, "x1") >= margin) & (side(prefix, "y1") >= margin) & (side(prefix, "x2") <= tile - margin) & (side(prefix, "y2") <= tile - margin)
+
+
+# ---- all pairs of a few boxes at once, from arrays of their sides x1, y1, x2, y2: whether they overlap and
+
+
+def pairs_above(threshold: float) -> Callable[..., np.ndarray]:
+    """``iou`` is above the threshold."""
+
+    def clash(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+        w = np.minimum(x2[:, None], x2) - np.maximum(x1[:, None], x1)
+        h = np.minimum(y2[:, None], y2) - np.maximum(y1[:, None], y1)
+        out = np.zeros(w.shape, bool)
+        a, b = np.nonzero((w > 0) & (h > 0))
+        inter, area = w[a, b] * h[a, b], (x2 - x1) * (y2 - y1)
+        out[a, b] = inter.astype(float) / (area[a] + area[b] - inter).astype(float) > threshold
+        return out
+
+    return clash
+
+
+def pairs_nearer(margin: int) -> Callable[..., np.ndarray]:
+    """``max_side_difference`` is below the margin."""
+
+    def clash(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+        out = (x1[:, None] < x2) & (x1 < x2[:, None]) & (y1[:, None] < y2) & (y1 < y2[:, None])
+        for s in (x1, y1, x2, y2):
+            out &= np.abs(s[:, None] - s) < margin
+        return out
+
+    return clash

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructType
 
 from tallybox.functions import boxes
 from tallybox.operators.graph import components, components_within
@@ -18,6 +21,10 @@ Score = Callable[[str, str], Column]
 
 #: Conflicts of an image, or of a component of a larger one, that one task decides in order.
 MOST = 500_000
+#: Rows of an image whose pairs are compared at once; larger images go by a join in grid cells.
+WHOLE = 1_000
+#: A step of suppression: the names of the four sides, and which pairs of them clash.
+Step = tuple[tuple[str, ...], Callable[..., np.ndarray]]
 
 
 def conflicts(df: DataFrame, clash: Column, cell: int | None = CELL, group: str = "image_id") -> DataFrame:
@@ -92,13 +99,78 @@ def suppressed(pairs: DataFrame, most: int = MOST, rounds: int = 1000) -> DataFr
     return gone if many.isEmpty() else gone.unionByName(_by_rounds(many.select("better", "worse"), rounds))
 
 
+def _kept(known: np.ndarray, steps: list[tuple[Callable[..., np.ndarray], list[np.ndarray]]]) -> np.ndarray:
+    """Which rows of an image, the best first, all steps leave one after the other. Rows that aren't known clash with none."""
+    keep, left = np.ones(len(known), bool), np.flatnonzero(known)
+    for clash, sides in steps:
+        ahead = np.triu(clash(*(s[left] for s in sides)), 1)
+        lost = np.zeros(len(left), bool)
+        for k in np.flatnonzero(ahead.any(axis=1)):
+            if not lost[k]:
+                lost |= ahead[k]
+        keep[left[lost]] = False
+        left = left[~lost]
+    return keep
+
+
+def settled(df: DataFrame, *steps: Step, whole: int = WHOLE, group: str = "image_id") -> tuple[DataFrame, DataFrame | None]:
+    """(kept, larger): what greedy suppression keeps, step after step, of images of ``whole`` rows or fewer, and all rows of larger ones, None without any.
+
+    The rows of an image move once and meet in one task, the best first; a larger image's go through it in batches.
+    """
+    need = list(dict.fromkeys([group, "ann_id", "conf", *(c for names, _ in steps for c in names)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, ()  # rows of the image at hand, and its id if it is too large
+
+        def out(rows: pa.Table, keep: np.ndarray, decided: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from rows.append_column("decided_", pa.array(decided)).filter(pa.array(keep)).combine_chunks().to_batches()
+
+        def parts(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, large
+            runs = pc.run_end_encode(rows.column(group).chunk(0))
+            ends, ids = runs.run_ends.to_pylist(), runs.values.to_pylist()
+            known = np.logical_and.reduce([rows.column(c).is_valid().to_numpy() for c in need])
+            sides = [[rows.column(c).fill_null(0).to_numpy() for c in names] for names, _ in steps]
+            sides = [[s.astype(np.int64) if s.dtype.kind == "i" else s for s in own] for own in sides]
+            keep, decided, at = np.ones(len(rows), bool), np.ones(len(rows), bool), 0
+            held = None
+            for end, of in zip(ends, ids, strict=True):
+                if of is not None and (large == (of,) or end - at > whole):
+                    decided[at:end], large = False, (of,)
+                elif of is not None and end == len(rows) and not last:
+                    held = rows.slice(at)
+                    rows, keep, decided = rows.slice(0, at), keep[:at], decided[:at]
+                elif of is not None and end - at > 1:
+                    keep[at:end] = _kept(known[at:end], [(clash, [s[at:end] for s in own]) for (_, clash), own in zip(steps, sides, strict=True)])
+                at = end
+            if len(rows):
+                yield from out(rows, keep, decided)
+
+        for b in batches:
+            if b.num_rows:
+                new = pa.Table.from_batches([b])
+                yield from parts(new if held is None else pa.concat_tables([held, new]).combine_chunks(), False)
+        if held is not None:
+            yield from parts(held, True)
+
+    schema = StructType([*df.schema.fields]).add("decided_", BooleanType())
+    dealt = df.repartition(group).sortWithinPartitions(group, F.desc("conf"), "ann_id")
+    made = written(dealt.mapInArrow(run, schema), "settled")
+    larger = made.where("NOT decided_").drop("decided_")
+    return made.where("decided_").drop("decided_"), None if larger.isEmpty() else larger
+
+
 def _without(df: DataFrame, pairs: DataFrame, **how: int) -> DataFrame:
     return df.join(suppressed(pairs, **how), "ann_id", "left_anti")
 
 
-def nms(df: DataFrame, threshold: float, score: Score = boxes.iou, cell: int | None = CELL, **how: int) -> DataFrame:
-    """Rows kept by greedy suppression; a pair clashes if its score is above the threshold."""
-    return _without(df, conflicts(df, score("a_", "b_") > threshold, cell), **how)
+def nms(df: DataFrame, threshold: float, score: Score = boxes.iou, cell: int | None = CELL, whole: int = WHOLE, **how: int) -> DataFrame:
+    """Rows kept by greedy suppression; a pair clashes if its score is above the threshold. Other scores than the IoU are columns of joined pairs."""
+    if score is not boxes.iou:
+        return _without(df, conflicts(df, score("a_", "b_") > threshold, cell), **how)
+    kept, larger = settled(df, (boxes.SIDES, boxes.pairs_above(threshold)), whole=whole)
+    return kept if larger is None else kept.unionByName(_without(larger, conflicts(larger, score("a_", "b_") > threshold, cell), **how))
 
 
 def one_pass_nms(df: DataFrame, threshold: float, score: Score = boxes.iou) -> DataFrame:
@@ -107,9 +179,10 @@ def one_pass_nms(df: DataFrame, threshold: float, score: Score = boxes.iou) -> D
     return df.join(gone, "ann_id", "left_anti")
 
 
-def drop_near_equal(df: DataFrame, margin: int) -> DataFrame:
+def drop_near_equal(df: DataFrame, margin: int, whole: int = WHOLE) -> DataFrame:
     """Greedy suppression of boxes all of whose sides differ by less than the margin."""
-    return _without(df, conflicts(df, boxes.max_side_difference("a_", "b_") < margin))
+    kept, larger = settled(df, (boxes.SIDES, boxes.pairs_nearer(margin)), whole=whole)
+    return kept if larger is None else kept.unionByName(_without(larger, conflicts(larger, boxes.max_side_difference("a_", "b_") < margin)))
 
 
 def clusters(df: DataFrame, threshold: float, score: Score = boxes.iou) -> DataFrame:
@@ -119,11 +192,11 @@ def clusters(df: DataFrame, threshold: float, score: Score = boxes.iou) -> DataF
     return df.select("ann_id").join(found.withColumnRenamed("node", "ann_id"), "ann_id", "left").select("ann_id", F.coalesce("component", "ann_id").alias("component"))
 
 
-def cluster_first_nms(df: DataFrame, threshold: float, least: int = 10) -> DataFrame:
+def cluster_first_nms(df: DataFrame, threshold: float, least: int = 10, **how: int) -> DataFrame:
     """Greedy suppression within clusters of a quarter of the threshold, in images of ``least`` boxes or more.
 
     A pair above the threshold is above a quarter of it, so two boxes that clash are always of one
     cluster, and suppression within clusters keeps what suppression in the whole image keeps.
     Clusters only spare comparisons, which grid cells do here; so none are made, and ``least`` doesn't matter.
     """
-    return nms(df, threshold)
+    return nms(df, threshold, **how)

@@ -49,9 +49,13 @@ def scaled_images(levels: DataFrame, tile: int = 1024) -> DataFrame:
 
 
 def to_image(tile_detections: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Boxes of tiles in image coordinates: tile offset, clamp to the scaled image, undo the scale."""
-    t = tiles.select("image_id", "level", "m", "n", "x0", "y0", "w", "h", "scale_x", "scale_y")
-    d = tile_detections.join(t, ["image_id", "level", "m", "n"])
+    """Boxes of tiles in image coordinates: tile offset, clamp to the scaled image, undo the scale.
+
+    The join's key is the image, which has few tiles, so detections that lie by image need not move again.
+    """
+    place = ("level", "m", "n")
+    t = tiles.select("image_id", *(F.col(c).alias(f"of_{c}") for c in place), "x0", "y0", "w", "h", "scale_x", "scale_y")
+    d = tile_detections.join(t, "image_id").where(" AND ".join(f"{c} - of_{c} = 0" for c in place))
     out = {}
     for s in boxes.SIDES:
         x = s[0] == "x"
@@ -71,12 +75,19 @@ def postprocess(detections: DataFrame, most: int, low: float, high: float, size:
     return suppress.one_pass_nms(kept, threshold).where((boxes.area() if mask is None else mask) >= pixels)
 
 
-def merged(detections: DataFrame, images: DataFrame, margin: int, threshold: float, pad: int = 5) -> DataFrame:
-    """Detections of all tiles and scales of an image: near-equal boxes go, boxes are padded and clamped, clusters are suppressed."""
-    few = suppress.drop_near_equal(detections, margin)
-    sized = few.join(images.select("image_id", "width", "height"), "image_id")
-    safe = sized.withColumns(boxes.scaled_padded(F.lit(0), F.lit(0), F.lit(1.0), F.col("width"), F.col("height"), pad)).drop("width", "height")
-    return suppress.cluster_first_nms(safe, threshold)
+def merged(detections: DataFrame, images: DataFrame, margin: int, threshold: float, pad: int = 5, whole: int = suppress.WHOLE) -> DataFrame:
+    """Detections of all tiles and scales of an image: near-equal boxes go, boxes are padded and clamped, clusters are suppressed.
+
+    Padding looks at one box only, so it comes first, and both suppressions of an image are one pass.
+    """
+    sized = detections.join(images.select("image_id", "width", "height"), "image_id")
+    safe = {f"safe_{s}": c for s, c in boxes.scaled_padded(F.lit(0), F.lit(0), F.lit(1.0), F.col("width"), F.col("height"), pad).items()}
+    both = sized.select(*detections.columns, *(c.alias(s) for s, c in safe.items()))
+    kept, larger = suppress.settled(both, (boxes.SIDES, boxes.pairs_nearer(margin)), (tuple(safe), boxes.pairs_above(threshold)), whole=whole)
+    padded = lambda df: df.select(*(F.col(f"safe_{c}").alias(c) if c in boxes.SIDES else F.col(c) for c in detections.columns))
+    if larger is None:
+        return padded(kept)
+    return padded(kept).unionByName(suppress.cluster_first_nms(padded(suppress.drop_near_equal(larger, margin, whole)), threshold, whole=whole))
 
 
 def detect(tiles: DataFrame, detector: Callable, schema: str) -> DataFrame:

@@ -322,3 +322,24 @@ def test_cluster_first_suppression_makes_no_clusters(spark, monkeypatch):
     rows = [(1, k, float(k), 0.0, float(k) + 10, 10.0, k / 100) for k in range(12)]
     df = spark.createDataFrame(rows, "image_id bigint, ann_id bigint, x1 double, y1 double, x2 double, y2 double, conf double")
     assert {x["ann_id"] for x in suppress.cluster_first_nms(df, 0.2).collect()} == {x["ann_id"] for x in suppress.nms(df, 0.2).collect()}
+
+
+def test_images_decided_at_once_keep_what_joined_pairs_keep(spark, monkeypatch):
+    r = random.Random(0)
+    rows = [(k, r.choice([None, 1, 2, 2, 2, 3]), "d", x := r.randrange(60), y := r.randrange(60), x + r.randrange(-2, 25), y + r.randrange(25), r.choice([None, 0.1, 0.5, 0.9])) for k in range(160)]
+    df = spark.createDataFrame(rows, BOX).repartition(3)
+    ids = lambda d: sorted(x["ann_id"] for x in d.collect())
+    want = ids(suppress.nms(df, 0.2, whole=0)), ids(suppress.drop_near_equal(df, 6, whole=0))
+    assert len(want[0]) < len(want[1]) < 160
+    assert ids(suppress.nms(df, 0.2, whole=0, most=8)) == want[0]
+    images = spark.createDataFrame([(i, 70, 60) for i in (1, 2, 3)], "image_id bigint, width int, height int")
+    safe = sorted(map(tuple, tiles.merged(df, images, 6, 0.2, whole=0).collect()), key=repr)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # images lie across batches
+    try:
+        assert (ids(suppress.nms(df, 0.2, whole=40)), ids(suppress.drop_near_equal(df, 6, whole=40))) == want
+        assert sorted(map(tuple, tiles.merged(df, images, 6, 0.2, whole=40).collect()), key=repr) == safe
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(suppress, "overlap_join", None)  # images of a usual size make no pairs in Spark
+    assert ids(suppress.nms(df, 0.2)) == want[0] and ids(suppress.drop_near_equal(df, 6)) == want[1]
+    assert sorted(map(tuple, tiles.merged(df, images, 6, 0.2).collect()), key=repr) == safe
