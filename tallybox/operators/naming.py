@@ -1,13 +1,21 @@
-"""Joins on names that hold one another, met at the rarest substring of the part instead of in a loop over all pairs."""
+"""Joins on names that hold one another, met at a rare substring of the part instead of in a loop over all pairs."""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from tallybox.operators.work import written
 
 GRAM = 3
+#: Identifiers, and bytes of theirs, that go to every task; of more, texts meet each at its rarest substring.
+FEW, FEW_BYTES = 100_000, 8_000_000
 
 
 def _grams(name: Column, n: int) -> Column:
@@ -71,13 +79,82 @@ def holding_both(holders: DataFrame, pairs: DataFrame, first: str, second: str)
     return found.join(wanted, "part").where(F.contains("holder", F.col(first)) & F.contains("holder", F.col(second))).drop("part")
 
 
-def mentions(texts: DataFrame, identifiers: DataFrame) -> DataFrame:
+def _codes(data: np.ndarray, n: int) -> np.ndarray:
+    """The number of the n bytes from each place on."""
+    out = data[: max(len(data) - n + 1, 0)].astype(np.int32)
+    for k in range(1, n):
+        out = out << 8 | data[k : len(data) - n + 1 + k]
+    return out
+
+
+class Finder:
+    """Which of some parts stand in texts. Each part is looked for where one run of its bytes, a rare one of the first texts, is found."""
+
+    def __init__(self, parts: list[str], size: int = 1 << 20):
+        self.parts, self.size, self.at = [p.encode() for p in parts], size, None
+
+    def _anchors(self, data: np.ndarray) -> dict[int, tuple[np.ndarray, dict[int, list[int]]]]:
+        """By length of the run: a table of the wanted ones, and the parts of each."""
+        found = {n: defaultdict(list) for n in range(1, GRAM + 1)}
+        seen = np.bincount(_codes(data, GRAM) % 65_521, minlength=65_521)
+        for k, p in enumerate(self.parts):
+            n = min(GRAM, len(p))
+            own = _codes(np.frombuffer(p, np.uint8), n)
+            found[n][int(own[np.argmin(seen[own % 65_521])]) if n == GRAM else int(own[0])].append(k)
+        tables = {}
+        for n, of in found.items():
+            if of:
+                tables[n] = np.zeros(1 << 8 * n, bool), of
+                tables[n][0][list(of)] = True
+        return tables
+
+    def pairs(self, texts: pa.Array) -> Iterator[tuple[int, int]]:
+        """(row, part), each once."""
+        texts = texts.cast(pa.large_binary())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data or b"", np.uint8)
+        first = 0
+        while first < len(texts):  # rows of some ``size`` bytes, a longer text for itself
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + self.size, side="right")) - 1)
+            own, of = data[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
+            if self.at is None:
+                self.at = self._anchors(own)
+            for n, (wanted, parts) in self.at.items():
+                codes = _codes(own, n)
+                hits = np.flatnonzero(wanted[codes])
+                rows = np.searchsorted(of, hits, side="right") - 1
+                met = np.unique(rows << 24 | codes[hits])
+                row, text = -1, b""
+                for r, c in zip((met >> 24).tolist(), (met & 0xFFFFFF).tolist(), strict=True):
+                    if r != row:
+                        row, text = r, own[of[r] : of[r + 1]].tobytes()
+                    for k in parts[c]:
+                        if self.parts[k] in text:
+                            yield first + r, k
+            first = last
+
+
+def mentions(texts: DataFrame, identifiers: DataFrame, few: int = FEW) -> DataFrame:
     """(id, identifier) for texts (id, text) that hold an identifier, each pair once.
 
-    Identifiers are made distinct first and meet texts at their rarest substring; only ids
+    Identifiers are made distinct first. Up to ``few`` of them (counted first) go to the tasks, and each text
+    is read once where it lies. More meet texts at their rarest substring; only ids
     travel with the substrings, and the texts are joined to what met.
     """
-    known = written(texts.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").alias("key"), "text").distinct(), "texts")
+    some = texts.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text")
     wanted = written(identifiers.where(F.length("identifier") > 0).select(F.col("identifier").alias("part")).distinct(), "parts")
+    n, size = wanted.agg(F.count("*"), F.sum(F.octet_length("part"))).first()
+    if n <= few and (size or 0) <= FEW_BYTES:
+        parts = [r[0] for r in wanted.collect()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(parts)
+            for b in batches:
+                met = list(finder.pairs(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _ in met], pa.int64())), pa.array([parts[k] for _, k in met], pa.string())], ["id", "identifier"])
+
+        return some.mapInArrow(run, StructType([some.schema["id"]]).add("identifier", StringType())).distinct()
+    known = written(some.withColumnRenamed("id", "key").distinct(), "texts")
     met = _candidates(known, wanted).distinct().join(known, "key").where(F.contains("text", "part"))
     return met.select(F.col("key").alias("id"), F.col("part").alias("identifier")).distinct()

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,22 @@ def test_identifiers_in_texts(spark):
     assert sorted(map(tuple, both.select("holder", "p", "q").collect())) == [("doi/10.12", "doi", "10.12"), ("see doi/10.1 and x", "x", "see")]
 
 
+def test_few_identifiers_are_found_in_one_pass(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abé日 -") for _ in range(n))
+    rows = [(k // 2, None if k % 17 == 0 else word(r.randrange(30))) for k in range(200)] + [(None, "ab"), (500, word(4_000))]
+    parts = sorted({word(n) for n in (1, 1, 2, 2, 3, 4, 5, 6, 9)} | {"b", "é", "日a", "zzz"})
+    want = {(i, p) for i, t in rows if i is not None and t for p in parts if p in t}
+    texts, ids = spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame([(p,) for p in parts], "identifier string")
+    assert {tuple(x) for x in naming.mentions(texts, ids, few=0).collect()} == want
+    column = pa.array([t for _, t in rows if t is not None])
+    for size in (1, 50, 1 << 20):  # a slice of the column, cut into pieces
+        assert {(k, parts[p]) for k, p in naming.Finder(parts, size).pairs(column.slice(5, 90))} == {(k, p) for k, t in enumerate(column.to_pylist()[5:95]) for p in parts if p in t}
+    monkeypatch.setattr(naming, "_candidates", None)  # no substrings of texts are spread to rows
+    got = naming.mentions(texts, ids).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
 def test_components_within_groups_take_no_rounds(spark, monkeypatch):
     r = random.Random(5)
     edges = [(g, 100 * g + a, 100 * g + b) for g in range(6) for a in range(40) for b in range(a + 1, 40) if r.random() < 0.03]
