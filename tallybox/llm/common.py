@@ -51,6 +51,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def coded_words(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """``word_codes`` with the distinct words as strings."""
+    return ((words.to_pylist(), codes, ends) for words, codes, ends in word_codes(texts, size))
+
+
+def word_codes(texts: pa.Array, size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Slices of a column of texts, of some ``size`` bytes, as (distinct words, code of each word, ends).
 
     Row k of a slice has the codes from ``ends[k]`` to ``ends[k + 1]``. Texts are cut at
@@ -66,7 +71,7 @@ def coded_words(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[list[str
         split = pc.ascii_split_whitespace(texts.slice(at, to - at))
         ends = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        yield coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), ends - ends[0]
+        yield coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), ends - ends[0]
         at = to
 
 

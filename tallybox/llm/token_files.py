@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallybox.llm.common import shared_folder, written
+from tallybox.llm.common import lean, shared_folder, written
 from tallybox.llm.tokens import ID, tokenizer
 
 END, SHARD, BROADCAST = 2, 4_000_000, 100_000
@@ -67,17 +67,25 @@ def decode_ranks(control: list[bytes], data: list[bytes], counts: np.ndarray) ->
 
 
 def _tokenised(df: DataFrame, id_col: str, text_col: str, end: int, vocabulary: str | None) -> DataFrame:
-    """(id, ids): ids of two or four bytes, as the vocabulary needs."""
+    """(id, ids, width, counts): ids of two or four bytes, as the vocabulary needs; and a row of each task with counts alone, how often each id is in it, eight bytes each."""
     last = np.array([end], ID).tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
+        tok, total = tokenizer(vocabulary), np.zeros(0, np.int64)
         for b in it:
             ids = [np.frombuffer(x + last, ID).astype(f"<u{tok.width}").tobytes() for x in tok.column(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([tok.width] * len(ids), pa.int32())], ["id", "ids", "width"])
+            if ids:
+                kind = b.column(0).type
+                n = np.bincount(np.frombuffer(b"".join(ids), f"<u{tok.width}"), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([tok.width] * len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, width int")
+    names = ["id", "ids", "width", "counts"]
+    kind_of_id = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind_of_id}, ids binary, width int, counts binary")
 
 
 def _ids(ids: pa.Array, width: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +97,8 @@ def _ids(ids: pa.Array, width: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in it:
-        if b.num_rows:
-            n = np.bincount(_ids(b.column(0), b.column(1))[0])
+        for own in b.column(0).to_pylist():
+            n = np.frombuffer(own, "<i8")
             if len(n) > len(total):
                 total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
             total[: len(n)] += n
@@ -103,33 +111,28 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     _tokenised(df, id_col, text_col, end, vocabulary).write.option("compression", "zstd").parquet(f"{folder}/tokenised")
-    plain = spark.read.parquet(f"{folder}/tokenised")
-    counts = plain.select("ids", "width").mapInArrow(_counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    made = spark.read.parquet(f"{folder}/tokenised")
+    plain = made.where("ids IS NOT NULL").select("id", "ids", "width")
+    counts = made.where("counts IS NOT NULL").select("counts").mapInArrow(_counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(((r["n"], r["id"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))  # a row for each id of the vocabulary at most
     spark.createDataFrame([(k, i, n) for k, (n, i) in enumerate(ranked)], "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(max((i for _, i in ranked), default=0) + 1, np.uint32)
     rank[[i for _, i in ranked]] = np.arange(len(ranked), dtype=np.uint32)
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
         for b in it:
             if b.num_rows:
                 found, n = _ids(b.column(1), b.column(2))
                 control, data = encode_ranks(rank[found], n)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["id", "n_tokens", "control", "data"])
-
-    def placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for b in it:
-            n = b.column(1).to_numpy()
-            ends = at + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), b.column(0), pa.array(ends - n, pa.int64()), b.column(1), b.column(2), b.column(3)], ["shard", "id", "place", "n_tokens", "control", "data"])
-            at = int(ends[-1]) if len(n) else at
+                ends = at + np.cumsum(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), b.column(0), pa.array(ends - n, pa.int64()), pa.array(n), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["shard", "id", "place", "n_tokens", "control", "data"])
+                at = int(ends[-1])
 
     shards = max(1, -(-sum(n for n, _ in ranked) // shard))
     (
-        plain.mapInArrow(encoded, f"id {kind}, n_tokens bigint, control binary, data binary")
-        .repartitionByRange(shards, "id").sortWithinPartitions("id")
-        .mapInArrow(placed, f"shard int, id {kind}, place bigint, n_tokens bigint, control binary, data binary")
+        plain.repartitionByRange(shards, "id").sortWithinPartitions("id")
+        .mapInArrow(encoded, f"shard int, id {kind}, place bigint, n_tokens bigint, control binary, data binary")
         .write.option("compression", "zstd").parquet(f"{folder}/shards")
     )
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -249,6 +250,29 @@ def test_word_tokenizer_equals_whole_texts(parts):
     assert np.frombuffer(tok.encode(text), "<u4").tolist() == tok.whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("limit", [4, 400_000])
+def test_words_meet_in_their_letters_whatever_the_table_holds(limit):
+    """Case and marks make no new entries, a full table forgets, and letters that only compose in one case stay as written."""
+    tok = tokens.WordTokenizer(public_tokenizers.path(tokens.TOKENIZER), limit)
+    texts = ["Ninth ninth, NINTH*** ninth.%% 'ninth'", None, "", "J\u030c H\u0331. İ \u212a É*** éÉ! ×a ÿ' ß? ª, 12. don't it's.", "<|endoftext|> a<|endoftext|>. <|ENDOFTEXT|> <|", "wordword" * 30 + ".", "ninth ninth"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tok.column(pa.array(texts, pa.string()))]
+    assert got == [tok.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for k in range(0, len(texts)) for x in tok.column(pa.array(texts[k : k + 1], pa.string()))] == got
+    if limit == 4:
+        assert len(tok.parts) <= 4
+    else:
+        assert tok.parts.to_pylist().count("ninth") == 1 and not [w for w in tok.parts.to_pylist() if w.lower().startswith("ninth") and w != "ninth"]
+
+
+def test_ids_are_counted_where_they_are_made(docs, spark, tmp_path):
+    """No second pass over all ids: each task leaves its counts beside its rows."""
+    token_files.write_tokens(docs, f"{tmp_path}/f")
+    made = spark.read.parquet(f"{tmp_path}/f/tokenised")
+    counts = sum(int(np.frombuffer(r["counts"], "<i8").sum()) for r in made.where("counts IS NOT NULL").collect())
+    assert counts == sum(len(r["ids"]) // r["width"] for r in made.where("ids IS NOT NULL").collect()) > 0
+    assert made.where("ids IS NOT NULL").count() == docs.count()
+
+
 # ---- toxicity, quality, mixing, licences, pages
 
 
